@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat
+from . import chat, merkle
 
 
 def queries() -> dict:
-    return {"op5_chat_format": chat.op5_chat_format}
+    return {"op4_merkle_fingerprints": merkle.op4_merkle_fingerprints, "op5_chat_format": chat.op5_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
