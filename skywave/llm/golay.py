@@ -7,7 +7,6 @@ two words that differ in at most 2 bits have one of these in common.
 
 from __future__ import annotations
 
-from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -22,9 +21,13 @@ def _remainder(word: int) -> int:
     return word
 
 
-@cache
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Syndromes of the upper 12 bits; by syndrome, the nearest error and the five of weight 4 (or -1)."""
+_MADE: list = []
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Made once in each process. Syndromes of the upper 12 bits; by syndrome, the nearest error and the five of weight 4 (or -1)."""
+    if _MADE:
+        return _MADE[0]
     high = np.array([_remainder(x << 11) for x in range(4096)], dtype=np.int64)
     single = [_remainder(1 << i) for i in range(23)]
     errors = [[] for _ in range(2048)]
@@ -38,6 +41,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     table = np.full((2048, 6), -1, dtype=np.int64)
     for s, found in enumerate(errors):
         table[s, : len(found)] = found
+    _MADE.append((high, table))
     return high, table
 
 

@@ -31,9 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import golay
 from .common import arrow_rows, cut_lineage, read
 from .components import components
+from .golay import keys as golay_keys
 
 BITS = 3
 GROUP = 1024
@@ -74,7 +74,7 @@ def fuzzy_keys(fp: np.ndarray) -> np.ndarray:
     """(n, 48) keys of signed fingerprints; -1 where a fingerprint has fewer."""
     x = fp.astype(np.int64).view(np.uint64)
     one, two, rest = (x >> np.uint64(41)).astype(np.int64), (x >> np.uint64(18)).astype(np.int64) & 0x7FFFFF, x.astype(np.int64) & 0x3FFFF
-    g1, g2 = golay.keys(one), golay.keys(two)
+    g1, g2 = golay_keys(one), golay_keys(two)
     out = []
 
     def add(kind: int, exact: np.ndarray, code: np.ndarray) -> None:
