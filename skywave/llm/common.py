@@ -13,15 +13,18 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder of spark.checkpoint.dir.
-
-    Unset (as in local tests) a folder of our own is used. The files go once the frame is unreachable
-    if spark.cleaner.referenceTracking.cleanCheckpoints is on.
-    """
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; where that is unset (as in local tests), one of our own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skywave-ckpt-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skywave-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in checkpoint_folder(). The files go once the frame is unreachable if
+    spark.cleaner.referenceTracking.cleanCheckpoints is on."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

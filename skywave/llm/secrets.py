@@ -114,12 +114,12 @@ def redact(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     that can hold a secret are shuffled; the columns stay as they are, n_chars follows the text."""
     text = text_of()
     suspect = text.rlike(ASSIGN) | text.rlike(ACCESS) | text.rlike(HEX) | text.rlike(CANDIDATE)
-    live = scan(docs, id_col, **options).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.filter("spans", lambda s: s.live).alias("_live")).where(F.size("_live") > 0)
-    rows = docs.where(suspect).join(live, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash")), "left")
-    new = F.when(F.col("_live").isNull(), F.col("text")).otherwise(redacted(text, F.col("_live")))
+    live = scan(docs, id_col, **options).select(F.col("id").alias("_scan_id"), F.col("text_hash").alias("_scan_hash"), F.filter("spans", lambda s: s.live).alias("_scan_live")).where(F.size("_scan_live") > 0)
+    rows = docs.where(suspect).join(live, F.col(id_col).eqNullSafe(F.col("_scan_id")) & (F.xxhash64(text) == F.col("_scan_hash")), "left")
+    new = F.when(F.col("_scan_live").isNull(), F.col("text")).otherwise(redacted(text, F.col("_scan_live")))
     rows = rows.withColumn("text", new)
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_live").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        rows = rows.withColumn("n_chars", F.when(F.col("_scan_live").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return rows.select(*docs.columns).unionByName(docs.where(~suspect))
 
 

@@ -129,8 +129,8 @@ def score_texts(texts: pd.Series, model: dict) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(sums + model["bias"], -35, 35)))
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with a column score."""
+def score(docs: DataFrame, model: dict, out_col: str = "score") -> DataFrame:
+    """docs with a column of scores."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -138,7 +138,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             yield pd.Series(score_texts(b.reset_index(drop=True), shared.value))
 
     arrow_rows(docs, 500)
-    return docs.withColumn("score", F.pandas_udf(run, "double", _scalar_iter())(text_of()))
+    return docs.withColumn(out_col, F.pandas_udf(run, "double", _scalar_iter())(text_of()))
 
 
 def _scalar_iter():
