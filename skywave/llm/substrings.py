@@ -42,7 +42,7 @@ from .common import arrow_rows, cut_lineage, fixed_layout, read, text_of
 
 WIDTH = 200
 BUCKET_BYTES = 6_000_000
-PART_ENTRIES = 1_000_000
+PART_ENTRIES = 300_000
 BLOCK = 1 << 20
 _MARGIN, _GRAM = 50, 8
 
@@ -136,15 +136,18 @@ def _in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
 
 
 def _sent(bucket: int, parts: int, key: np.ndarray, other: np.ndarray | None) -> pd.DataFrame:
-    """Entries by range of key; an entry that occurs more than once is sent twice."""
+    """Entries by range of key (other is left out for strings, which are their own key); an entry that
+    occurs more than once is sent twice."""
     order = np.argsort(key, kind="stable") if other is None else np.lexsort((other, key))
     key = key[order]
-    other = key if other is None else other[order]
+    other = key[:0] if other is None else other[order]
     new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (other[1:] != other[:-1])
+    new[1:] = key[1:] != key[:-1]
+    if len(other):
+        new[1:] |= other[1:] != other[:-1]
     keep = new.copy()
     keep[1:] |= new[:-1]
-    key, other = key[keep], other[keep]
+    key, other = key[keep], other[keep[: len(other)]]
     at = np.searchsorted(key, np.array([((p << 64) // parts) for p in range(parts)], dtype=np.uint64))
     bound = np.append(at, len(key))
     some = [p for p in range(parts) if bound[p] < bound[p + 1]]
@@ -157,8 +160,9 @@ def _met(d: pd.DataFrame) -> pd.DataFrame:
     key = np.concatenate([np.frombuffer(x, np.uint64) for x in d["key"]])
     other = np.concatenate([np.frombuffer(x, np.uint64) for x in d["other"]])
     bucket = np.repeat(d["bucket"].to_numpy(), [len(x) // 8 for x in d["key"]])
-    order = np.lexsort((other, key))
-    key, other, bucket = key[order], other[order], bucket[order]
+    order = np.lexsort((other, key)) if len(other) else np.argsort(key, kind="stable")
+    key, bucket = key[order], bucket[order]
+    other = other[order] if len(other) else key
     new = np.append(True, key[1:] != key[:-1])
     start = np.flatnonzero(new)
     n = np.diff(np.append(start, len(key)))
