@@ -1,0 +1 @@
+"""Scalar expressions that Spark has under another name or not at all."""

@@ -1,0 +1 @@
+"""Joins, latest states, rollups, detectors and classification, as DataFrame operators."""

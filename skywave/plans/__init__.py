@@ -1,0 +1 @@
+"""Query catalogue over the telemetry relations."""

@@ -1,0 +1 @@
+"""Readers and decoders of line, frame and sample streams."""

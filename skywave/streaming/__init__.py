@@ -1,0 +1 @@
+"""Structured Streaming forms of ingest, rollups and per-key state."""
