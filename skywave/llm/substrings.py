@@ -129,6 +129,17 @@ def strings(raw: bytes, first: np.ndarray, last: np.ndarray, width: int) -> tupl
     return at, np.array([digest(raw[a : a + width], 3) for a in at.tolist()], dtype=np.uint64)
 
 
+def _pack(ordered: np.ndarray) -> bytes:
+    """Ascending numbers as differences, byte by byte: the upper bytes are zeros, and vanish."""
+    gaps = np.diff(ordered, prepend=np.uint64(0))
+    return zstandard.ZstdCompressor(level=1).compress(gaps.view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
 def _in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     if not len(ordered):
         return np.zeros(len(values), bool)
@@ -151,15 +162,16 @@ def _sent(bucket: int, parts: int, key: np.ndarray, other: np.ndarray | None) ->
     at = np.searchsorted(key, np.array([((p << 64) // parts) for p in range(parts)], dtype=np.uint64))
     bound = np.append(at, len(key))
     some = [p for p in range(parts) if bound[p] < bound[p + 1]]
-    return pd.DataFrame({"part": pd.array(some, dtype="int64"), "bucket": bucket, "key": [key[bound[p] : bound[p + 1]].tobytes() for p in some], "other": [other[bound[p] : bound[p + 1]].tobytes() for p in some]})
+    return pd.DataFrame({"part": pd.array(some, dtype="int64"), "bucket": bucket, "key": [_pack(key[bound[p] : bound[p + 1]]) for p in some], "other": [other[bound[p] : bound[p + 1]].tobytes() for p in some]})
 
 
 def _met(d: pd.DataFrame) -> pd.DataFrame:
     """Answers of one range of hashes: by bucket, the phrases (or strings) all of whose context's
     entries are equal and at two or more places (all), and those with unlike ones beside them (mixed)."""
-    key = np.concatenate([np.frombuffer(x, np.uint64) for x in d["key"]])
+    keys = [_unpack(x) for x in d["key"]]
+    key = np.concatenate(keys)
     other = np.concatenate([np.frombuffer(x, np.uint64) for x in d["other"]])
-    bucket = np.repeat(d["bucket"].to_numpy(), [len(x) // 8 for x in d["key"]])
+    bucket = np.repeat(d["bucket"].to_numpy(), [len(x) for x in keys])
     order = np.lexsort((other, key)) if len(other) else np.argsort(key, kind="stable")
     key, bucket = key[order], bucket[order]
     other = other[order] if len(other) else key
@@ -173,7 +185,7 @@ def _met(d: pd.DataFrame) -> pd.DataFrame:
         mine = np.flatnonzero(kind == k)
         mine = mine[np.lexsort((other[mine], bucket[mine]))]
         cut = np.flatnonzero(np.diff(bucket[mine])) + 1
-        out += [(int(bucket[g[0]]), k, np.unique(other[g]).tobytes()) for g in np.split(mine, cut) if len(g)]
+        out += [(int(bucket[g[0]]), k, _pack(np.unique(other[g]))) for g in np.split(mine, cut) if len(g)]
     return pd.DataFrame(out, columns=["bucket", "kind", "keys"]).astype({"bucket": "int64", "kind": "int32"})
 
 
@@ -181,7 +193,7 @@ _ENTRY, _ANSWER = "part long, bucket long, key binary, other binary", "bucket lo
 
 
 def _answers(right: pd.DataFrame, kind: int) -> np.ndarray:
-    got = [np.frombuffer(x, np.uint64) for x in right.loc[right["kind"] == kind, "keys"]]
+    got = [_unpack(x) for x in right.loc[right["kind"] == kind, "keys"]]
     return np.sort(np.concatenate(got)) if got else np.empty(0, np.uint64)
 
 
@@ -203,7 +215,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, text_col: str = "text",
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in names if c in ("doc_id", "n_chars")], F.substring(text_of(text_col), 1, 64)), F.lit(n_buckets))
 
     def squeeze(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=7)
         for b in batches:
             yield b.map(press.compress)
 
