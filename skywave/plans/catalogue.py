@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dashboards
+from . import dashboards, kernels
 from .relations import relation, with_views
 
-_PARTS = [dashboards.CATALOGUE]
+_PARTS = [dashboards.CATALOGUE, kernels.CATALOGUE]
 
 
 def _bound(plan) -> Callable[[SparkSession, str], DataFrame]:

@@ -18,6 +18,8 @@ VIEWS = {
     "scans": f"""SELECT ts, 88000000 + (user_id % 150) * 2500000 AS freq_hz, value / 5 - 60 AS power_dbfs,
         CASE WHEN user_id % 10 = 0 THEN 'airband:' ELSE 'full:' END || {_HOUR} AS sweep_id,
         'run-' || substring(CAST(ts AS STRING), 9, 1) AS run_id, {_V3} AS dongle_id FROM events""",
+    "bins": f"""SELECT substring(CAST(ts AS STRING), 1, 10) AS sweep_id, {_V3} AS dongle_id, 88000000 + (user_id % 150) * 100000 AS freq_hz, max(ts) AS ts, max(floor(value)) / 5 - 60 AS power_dbfs
+        FROM events GROUP BY substring(CAST(ts AS STRING), 1, 10), {_V3}, 88000000 + (user_id % 150) * 100000""",
     "sweep_health": f"""SELECT {_V3} AS dongle_id, 'full:' || {_HOUR} AS sweep_id, 'full' AS preset, max(ts) AS ts, max(value / 5 - 60) AS max_power,
         count(*) AS total_captures, sum(CASE WHEN value > 200 THEN 1 ELSE 0 END) AS clipped_captures, 88000000 + max(user_id % 150) * 2500000 AS worst_clip_freq_hz
         FROM events GROUP BY {_V3}, 'full:' || {_HOUR}""",
