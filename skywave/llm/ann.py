@@ -116,7 +116,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
     n = points.count()
     sample = points.orderBy(F.xxhash64("point", F.lit(1)), "point").limit(sample_rows).toPandas()
     depth = int(min(max_depth, max(0, np.ceil(np.log2(max(n, 1) / leaf)))))
-    x = np.array(sample["vec"].tolist(), dtype=np.float32).reshape(len(sample), -1)
+    x = np.array(sample["vec"].tolist(), dtype=np.float32).reshape(len(sample), len(sample["vec"].iloc[0]) if n else 1)
     spark = vectors.sparkSession
     forest = spark.sparkContext.broadcast(fit_forest(x, trees, depth))
 

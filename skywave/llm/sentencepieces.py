@@ -75,7 +75,8 @@ class Pieces:
             for c in p:
                 node = node.setdefault(c, {})
             node[""] = s
-        self.known, self.parts = _Known(self.word), _Known(self.search)
+        self.known, self.parts = _Known(self.decoded_word), _Known(self.search)
+        self.text_of = [bytes([int(p[3:5], 16)]) if b else p.replace(SPACE, " ").encode() for p, b in zip(self.pieces, self.is_byte, strict=True)]
 
     def lattice(self, seg: str) -> tuple[list[float], list[list[tuple[int, float]]], list[int]]:
         """Best score of each prefix; by end, the edges (start, score) and the start of the best one."""
@@ -160,6 +161,18 @@ class Pieces:
         found.append(self.parts[word[a:]])
         return b"".join(f[0] for f in found), sum(f[1] for f in found), min(f[2] for f in found)
 
+    def decoded_word(self, word: str) -> tuple[bytes, float, float, bytes]:
+        """word(), and the bytes that its ids decode to."""
+        ids, score, loss = self.word(word)
+        return ids, score, loss, b"".join([self.text_of[i] for i in np.frombuffer(ids, "<u4").tolist()])
+
+    def decoded(self, text: str | None) -> bytes:
+        """Bytes of the best segmentation of a text, each distinct word's ids decoded once."""
+        if not text:
+            return b""
+        known = self.known
+        return b"".join([known[w][3] for w in _WORD.findall(SPACE + text.replace(" ", SPACE))])[1:]
+
     def encode(self, text: str | None, n: int = N_BEST) -> list[tuple[float, bytes]]:
         """The n best segmentations of a text: (score, ids as little-endian unsigned 32-bit numbers)."""
         if not text:
@@ -185,10 +198,7 @@ class Pieces:
 
     def decode(self, ids) -> str:
         """Text of ids: runs of byte pieces are UTF-8, the dummy space in front goes."""
-        out: list[bytes] = []
-        for i in ids:
-            out.append(bytes([int(self.pieces[i][3:5], 16)]) if self.is_byte[i] else self.pieces[i].encode())
-        return b"".join(out).decode("utf-8", "replace").replace(SPACE, " ")[1:]
+        return b"".join([self.text_of[i] for i in ids]).decode("utf-8", "replace")[1:]
 
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", n: int = N_BEST, model: str = MODEL) -> DataFrame:
@@ -198,12 +208,11 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", n: int = N_BEST, m
         import hashlib
 
         sp = Pieces(model)
-        byte_of = [bytes([int(p[3:5], 16)]) if b else p.replace(SPACE, " ").encode() for p, b in zip(sp.pieces, sp.is_byte, strict=True)]
         for b in batches:
             rows = []
             for id_, text in zip(b["id"], b["text"], strict=True):
                 best = sp.encode(text, n)
-                back = b"".join([byte_of[i] for i in np.frombuffer(best[0][1], "<u4").tolist()])[1:]
+                back = sp.decoded(text)
                 rows.append((id_, len(best[0][1]) // 4, best[0][0], zlib.crc32(best[0][1]), [s for s, _ in best], [zlib.crc32(i) for _, i in best], hashlib.sha256(back).hexdigest(), back == (text or "").encode("utf-8", "surrogatepass")))
             out = pd.DataFrame(rows, columns=["id", "n_pieces", "score", "ids_crc32", "nbest_scores", "nbest_crc32", "decoded_sha256", "round_trip"])
             yield out.astype({"id": "Int64"})
