@@ -221,12 +221,12 @@ add("k13_classifier_health", _health, f"WITH c AS ({SQL_CLASS}) SELECT count(*)
 
 
 def _depression(rel):
-    base = rel("bins").groupBy("freq_hz", "dongle_id").agg(F.avg("power_dbfs").alias("base")).where("base >= -50")
+    base = rel("bins").groupBy("freq_hz", "dongle_id").agg(F.avg("power_dbfs").alias("base")).where("base >= -50.03")
     d = rel("bins").join(base, ["freq_hz", "dongle_id"]).groupBy("sweep_id", "dongle_id").agg(F.percentile(F.col("base") - F.col("power_dbfs"), F.lit(0.5)).alias("m"))
     return d.select("sweep_id", "dongle_id", r("m", 9).alias("depression_db"), (F.col("m") >= 5.0).alias("fires"))
 
 
-add("k14_depression", _depression, "WITH b AS (SELECT freq_hz, dongle_id, avg(power_dbfs) AS base FROM bins GROUP BY 1, 2 HAVING avg(power_dbfs) >= -50) SELECT sweep_id, c.dongle_id, round(quantile_cont(base - power_dbfs, 0.5), 9) AS depression_db, quantile_cont(base - power_dbfs, 0.5) >= 5.0 AS fires FROM bins c JOIN b ON b.freq_hz = c.freq_hz AND b.dongle_id = c.dongle_id GROUP BY 1, 2")
+add("k14_depression", _depression, "WITH b AS (SELECT freq_hz, dongle_id, avg(power_dbfs) AS base FROM bins GROUP BY 1, 2 HAVING avg(power_dbfs) >= -50.03) SELECT sweep_id, c.dongle_id, round(quantile_cont(base - power_dbfs, 0.5), 9) AS depression_db, quantile_cont(base - power_dbfs, 0.5) >= 5.0 AS fires FROM bins c JOIN b ON b.freq_hz = c.freq_hz AND b.dongle_id = c.dongle_id GROUP BY 1, 2")
 add("k15_clip_split", lambda rel: rel("sweep_health").select("sweep_id", "dongle_id", *[((F.col("clipped_captures") >= 5) & (F.col("worst_clip_freq_hz") > 0) & F.col("worst_clip_freq_hz").between(a, b)).cast("int").alias(n) for n, a, b in (("clip_fm", 88_000_000, 108_000_000), ("clip_dvbt", 174_000_000, 230_000_000))]), "SELECT sweep_id, dongle_id, CAST(clipped_captures >= 5 AND worst_clip_freq_hz > 0 AND worst_clip_freq_hz BETWEEN 88000000 AND 108000000 AS INT) AS clip_fm, CAST(clipped_captures >= 5 AND worst_clip_freq_hz > 0 AND worst_clip_freq_hz BETWEEN 174000000 AND 230000000 AS INT) AS clip_dvbt FROM sweep_health")
 
 
