@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dashboards, kernels
+from . import dashboards, frames, kernels
 from .relations import relation, with_views
 
-_PARTS = [dashboards.CATALOGUE, kernels.CATALOGUE]
+_PARTS = [dashboards.CATALOGUE, kernels.CATALOGUE, frames.CATALOGUE]
 
 
 def _bound(plan) -> Callable[[SparkSession, str], DataFrame]:
