@@ -18,18 +18,21 @@ from .relations import AS_OF, COMPARE, CURRENT
 Plan = Callable[[Callable[[str], DataFrame]], DataFrame]
 CATALOGUE: dict[str, tuple[Plan, str]] = {}
 
-NOW = F.lit(AS_OF).cast("timestamp_ntz")
 SQL_NOW = f"TIMESTAMP '{AS_OF}'"
 BANDS = [("1_FM", 88_000_000, 108_000_000), ("2_Airband", 108_000_000, 137_000_000), ("3_VHF", 137_000_000, 174_000_000), ("4_DVB-T", 174_000_000, 230_000_000), ("5_Mid", 230_000_000, 380_000_000), ("6_UHF", 380_000_000, 470_000_000)]
 SQL_BAND = "CASE " + " ".join(f"WHEN freq_hz BETWEEN {a} AND {b} THEN '{n}'" for n, a, b in BANDS) + " END"
 
 
+def now() -> Column:
+    return F.lit(AS_OF).cast("timestamp_ntz")
+
+
 def add(name: str, plan: Plan, sql: str) -> None:
     CATALOGUE[name] = (plan, sql)
 
 
 def since(hours: int, ts: str = "ts") -> Column:
-    return (F.col(ts) > NOW - F.expr(f"INTERVAL {hours} HOURS")) & (F.col(ts) <= NOW)
+    return (F.col(ts) > now() - F.expr(f"INTERVAL {hours} HOURS")) & (F.col(ts) <= now())
 
 
 def sql_since(hours: int, ts: str = "ts") -> str:
@@ -45,27 +48,27 @@ def r(c: str | Column, n: int) -> Column:
 
 def counter(name: str, rel: str, hours: int, distinct: str | None = None, where: str = "1 = 1", per: int = 1) -> None:
     """Rows, or distinct values, of a look-back window."""
-    value = F.count_distinct(*distinct.split(",")) if distinct else F.count("*")
+    value = lambda: F.count_distinct(*distinct.split(",")) if distinct else F.count("*")
     many = distinct and "," in distinct
     sql_value = f"count(DISTINCT {'(' + distinct + ')' if many else distinct})" if distinct else "count(*)"
     if many:  # rows with a null in any of the columns do not count
         where = " AND ".join([where, *(f"{c} IS NOT NULL" for c in distinct.split(","))])
-    plan = lambda rel_: rel_(rel).where(since(hours)).where(where).agg((value / per if per > 1 else value).alias("n"))
+    plan = lambda rel_: rel_(rel).where(since(hours)).where(where).agg((value() / per if per > 1 else value()).alias("n"))
     add(name, plan, f"SELECT {sql_value}{f' / {per}' if per > 1 else ''} AS n FROM {rel} WHERE {sql_since(hours)} AND {where}")
 
 
-def per_minutes(name: str, rel: str, minutes: int, hours: int, value: Column, sql_value: str, where: str = "1 = 1") -> None:
+def per_minutes(name: str, rel: str, minutes: int, hours: int, value: Callable[[], Column], sql_value: str, where: str = "1 = 1") -> None:
     """One value for each interval."""
-    t = S.minutes_bucket(F.col("ts"), minutes) if minutes < 60 else S.bucket(F.col("ts"), "hour")
+    t = lambda: S.minutes_bucket(F.col("ts"), minutes) if minutes < 60 else S.bucket(F.col("ts"), "hour")
     sql_t = f"time_bucket(INTERVAL {minutes} MINUTE, ts)"
-    plan = lambda rel_: rel_(rel).where(since(hours)).where(where).groupBy(t.alias("t")).agg(value.alias("value"))
+    plan = lambda rel_: rel_(rel).where(since(hours)).where(where).groupBy(t().alias("t")).agg(value().alias("value"))
     add(name, plan, f"SELECT {sql_t} AS t, {sql_value} AS value FROM {rel} WHERE {sql_since(hours)} AND {where} GROUP BY 1")
 
 
-def top(name: str, rel: str, key: str, n: int, hours: int, where: str = "1 = 1", expr: Column | None = None, sql_expr: str | None = None) -> None:
+def top(name: str, rel: str, key: str, n: int, hours: int, where: str = "1 = 1", expr: Callable[[], Column] | None = None, sql_expr: str | None = None) -> None:
     """The n keys with most rows, ties by key."""
-    col = (expr if expr is not None else F.col(key)).alias(key)
-    plan = lambda rel_: rel_(rel).where(since(hours)).where(where).groupBy(col).agg(F.count("*").alias("msgs")).orderBy(F.desc("msgs"), key).limit(n)
+    col = lambda: (expr() if expr else F.col(key)).alias(key)
+    plan = lambda rel_: rel_(rel).where(since(hours)).where(where).groupBy(col()).agg(F.count("*").alias("msgs")).orderBy(F.desc("msgs"), key).limit(n)
     add(name, plan, f"SELECT {sql_expr or key} AS {key}, count(*) AS msgs FROM {rel} WHERE {sql_since(hours)} AND {where} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {n}")
 
 
@@ -89,13 +92,13 @@ counter("q_ac1", "messages", 5)
 counter("q_ac2", "messages", 24, "flight", "flight <> ''")
 counter("q_ac3", "messages", 12, "tail", "tail <> ''")
 counter("q_ac4", "messages", 12)
-per_minutes("q_ac5", "messages", 1, 48, F.count("*"), "count(*)")
+per_minutes("q_ac5", "messages", 1, 48, lambda: F.count("*"), "count(*)")
 top("q_ac6", "messages", "flight", 15, 240, "flight <> ''")
 top("q_ac7", "messages", "tail", 15, 240, "tail <> ''")
 top("q_ac8", "messages", "label", 20, 240, "label <> ''")
-top("q_ac9", "messages", "freq", 1000, 240, expr=r("freq_mhz", 3).cast("string"), sql_expr="CAST(round(freq_mhz, 3) AS VARCHAR)")
-per_minutes("q_ac10", "messages", 15, 240, r(F.avg("level_db"), 6), "round(avg(level_db), 6)")
-top("q_ac11", "messages", "route", 15, 240, "depa <> '' AND dsta <> ''", F.concat("depa", F.lit("-"), "dsta"), "depa || '-' || dsta")
+top("q_ac9", "messages", "freq", 1000, 240, expr=lambda: r("freq_mhz", 3).cast("string"), sql_expr="CAST(round(freq_mhz, 3) AS VARCHAR)")
+per_minutes("q_ac10", "messages", 15, 240, lambda: r(F.avg("level_db"), 6), "round(avg(level_db), 6)")
+top("q_ac11", "messages", "route", 15, 240, "depa <> '' AND dsta <> ''", lambda: F.concat("depa", F.lit("-"), "dsta"), "depa || '-' || dsta")
 rows("q_ac12", "messages", "event_id; ts; freq_mhz; level_db; label; flight; tail; text", f"ts <= '{AS_OF}'", "ts DESC, event_id", 100)
 add(
     "q_ac13",
@@ -108,8 +111,8 @@ counter("q_ad1", "positions", 1, "hex_ident")
 counter("q_ad2", "positions", 5, per=5)
 counter("q_ad3", "positions", 12, "hex_ident")
 add("q_ad4", lambda rel: rel("positions").agg(S.readable(F.count("*")).alias("total")), "SELECT CASE WHEN count(*) >= 1000000 THEN printf('%.2f million', count(*) / 1e6) WHEN count(*) >= 1000 THEN printf('%.2f thousand', count(*) / 1e3) ELSE printf('%.2f', count(*) / 1e0) END AS total FROM positions")
-per_minutes("q_ad5", "positions", 5, 48, F.count_distinct("hex_ident"), "count(DISTINCT hex_ident)")
-per_minutes("q_ad6", "positions", 1, 48, F.count("*"), "count(*)")
+per_minutes("q_ad5", "positions", 5, 48, lambda: F.count_distinct("hex_ident"), "count(DISTINCT hex_ident)")
+per_minutes("q_ad6", "positions", 1, 48, lambda: F.count("*"), "count(*)")
 rows("q_ad7", "positions", "event_id; altitude", f"ts <= '{AS_OF}' AND altitude > 0 AND altitude < 50000", "event_id")
 add(
     "q_ad8",
@@ -163,8 +166,8 @@ counter("q_ai1", "ships", 1, "mmsi")
 counter("q_ai2", "ships", 5, per=5)
 counter("q_ai3", "ships", 12, "mmsi")
 counter("q_ai4", "ships", 12)
-per_minutes("q_ai5", "ships", 5, 48, F.count_distinct("mmsi"), "count(DISTINCT mmsi)")
-per_minutes("q_ai6", "ships", 1, 48, F.count("*"), "count(*)")
+per_minutes("q_ai5", "ships", 5, 48, lambda: F.count_distinct("mmsi"), "count(DISTINCT mmsi)")
+per_minutes("q_ai6", "ships", 1, 48, lambda: F.count("*"), "count(*)")
 add(
     "q_ai7",
     lambda rel: rel("ships").where(since(240)).where("ship_type > 0").groupBy(ship_type(F.col("ship_type"), F.concat(F.lit("Type "), F.col("ship_type").cast("string"))).alias("type_name")).agg(F.count_distinct("mmsi").alias("n")),
@@ -209,7 +212,7 @@ counter("q_is2", "sensors", 5, per=5)
 counter("q_is3", "sensors", 240, "model,device_id")
 counter("q_is4", "sensors", 12)
 add("q_is5", lambda rel: rel("sensors").groupBy("model").agg(F.count_distinct("device_id").alias("devices"), F.count("*").alias("n")).orderBy(F.desc("n"), "model").limit(15), "SELECT model, count(DISTINCT device_id) AS devices, count(*) AS n FROM sensors GROUP BY 1 ORDER BY 3 DESC, 1 LIMIT 15")
-per_minutes("q_is6", "sensors", 1, 48, F.count("*"), "count(*)")
+per_minutes("q_is6", "sensors", 1, 48, lambda: F.count("*"), "count(*)")
 rows("q_is7", "sensors", "ts; temperature_c AS value; model || ' #' || coalesce(device_id, '?') AS metric", f"ts <= '{AS_OF}' AND temperature_c IS NOT NULL", "ts")
 rows("q_is8", "sensors", "ts; humidity AS value; model || ' #' || coalesce(device_id, '?') AS metric", f"ts <= '{AS_OF}' AND humidity IS NOT NULL", "ts")
 rows("q_is9", "sensors", "ts; model; device_id; channel; temperature_c; humidity; round(rssi, 1) AS rssi_db; round(snr, 1) AS snr_db", f"ts <= '{AS_OF}'", "ts DESC, event_id", 20)
@@ -234,17 +237,21 @@ add("q_no6", lambda rel: pass_latest(rel).groupBy("satellite").agg(F.count("*").
 add("q_no7", lambda rel: pass_latest(rel).groupBy(S.bucket(F.col("pass_start"), "day").alias("day")).agg(F.count("*").alias("passes")), f"SELECT date_trunc('day', pass_start)::TIMESTAMP AS day, count(*) AS passes FROM ({SQL_PASSES}) GROUP BY 1")
 
 # --- run comparison ---
-RUN = F.when(F.col("run_id") == CURRENT, "current").otherwise("compare")
+def run_label() -> Column:
+    return F.when(F.col("run_id") == CURRENT, "current").otherwise("compare")
+
+
+
 SQL_RUN = f"CASE WHEN run_id = '{CURRENT}' THEN 'current' ELSE 'compare' END"
 BOTH = f"sweep_id LIKE 'full:%' AND run_id IN ('{CURRENT}', '{COMPARE}')"
-add("q_rc1", lambda rel: rel("scan_runs").select("run_id", "started_at", "ended_at", "gain_db", "noise_floor_dbfs", "peak_signal_dbfs", r(F.col("peak_signal_freq_hz") / 1e6, 2).alias("peak_mhz"), S.unit_diff("MINUTE", F.col("started_at"), F.coalesce("ended_at", NOW)).alias("duration_min")), f"SELECT run_id, started_at, ended_at, gain_db, noise_floor_dbfs, peak_signal_dbfs, round(peak_signal_freq_hz / 1e6, 2) AS peak_mhz, date_diff('minute', started_at, coalesce(ended_at, {SQL_NOW})) AS duration_min FROM scan_runs")
-add("q_rc2", lambda rel: rel("scan_runs").where(F.col("run_id").isin(CURRENT, COMPARE)).select(F.upper(RUN).alias("label"), "run_id", "gain_db", "noise_floor_dbfs", "peak_signal_dbfs"), f"SELECT upper({SQL_RUN}) AS label, run_id, gain_db, noise_floor_dbfs, peak_signal_dbfs FROM scan_runs WHERE run_id IN ('{CURRENT}', '{COMPARE}')")
+add("q_rc1", lambda rel: rel("scan_runs").select("run_id", "started_at", "ended_at", "gain_db", "noise_floor_dbfs", "peak_signal_dbfs", r(F.col("peak_signal_freq_hz") / 1e6, 2).alias("peak_mhz"), S.unit_diff("MINUTE", F.col("started_at"), F.coalesce("ended_at", now())).alias("duration_min")), f"SELECT run_id, started_at, ended_at, gain_db, noise_floor_dbfs, peak_signal_dbfs, round(peak_signal_freq_hz / 1e6, 2) AS peak_mhz, date_diff('minute', started_at, coalesce(ended_at, {SQL_NOW})) AS duration_min FROM scan_runs")
+add("q_rc2", lambda rel: rel("scan_runs").where(F.col("run_id").isin(CURRENT, COMPARE)).select(F.upper(run_label()).alias("label"), "run_id", "gain_db", "noise_floor_dbfs", "peak_signal_dbfs"), f"SELECT upper({SQL_RUN}) AS label, run_id, gain_db, noise_floor_dbfs, peak_signal_dbfs FROM scan_runs WHERE run_id IN ('{CURRENT}', '{COMPARE}')")
 
 
 def band_delta(rel) -> DataFrame:
     """Power by run and band: mean, peak, noise floor (10th percentile), distinct sweeps."""
     s = rel("scans").where(BOTH).withColumn("band", S.band(F.col("freq_hz"), BANDS)).where("band IS NOT NULL")
-    return s.groupBy(RUN.alias("run"), "band").agg(r(F.avg("power_dbfs"), 1).alias("avg_power"), r(F.max("power_dbfs"), 1).alias("peak"), r(F.percentile("power_dbfs", F.lit(0.1)), 1).alias("noise_floor"), F.count_distinct("sweep_id").alias("sweeps"))
+    return s.groupBy(run_label().alias("run"), "band").agg(r(F.avg("power_dbfs"), 1).alias("avg_power"), r(F.max("power_dbfs"), 1).alias("peak"), r(F.percentile("power_dbfs", F.lit(0.1)), 1).alias("noise_floor"), F.count_distinct("sweep_id").alias("sweeps"))
 
 
 add("q_rc3", band_delta, f"SELECT {SQL_RUN} AS run, {SQL_BAND} AS band, round(avg(power_dbfs), 1) AS avg_power, round(max(power_dbfs), 1) AS peak, round(quantile_cont(power_dbfs, 0.1), 1) AS noise_floor, count(DISTINCT sweep_id) AS sweeps FROM scans WHERE {BOTH} GROUP BY 1, 2 HAVING band IS NOT NULL")
@@ -265,12 +272,12 @@ def _key_signals(rel):
     s = rel("scans").where(BOTH)
     tops = s.groupBy("run_id", "sweep_id", "freq_hz").agg(F.max("power_dbfs").alias("power"))
     names = named(s.select("freq_hz").distinct(), rel, ["freq_hz"])
-    return tops.join(F.broadcast(names), "freq_hz").groupBy(RUN.alias("run"), F.col("kf_name").alias("signal")).agg(r(F.avg("power"), 1).alias("avg_power"), r(F.max("power"), 1).alias("peak"))
+    return tops.join(F.broadcast(names), "freq_hz").groupBy(run_label().alias("run"), F.col("kf_name").alias("signal")).agg(r(F.avg("power"), 1).alias("avg_power"), r(F.max("power"), 1).alias("peak"))
 
 
 add("q_rc4", _key_signals, f"WITH m AS (SELECT s.run_id, s.sweep_id, s.freq_hz, max(k.name) AS signal, max(s.power_dbfs) AS power FROM scans s, known_frequencies k WHERE {SQL_NEAR} AND {BOTH} GROUP BY 1, 2, 3) SELECT {SQL_RUN} AS run, signal, round(avg(power), 1) AS avg_power, round(max(power), 1) AS peak FROM m GROUP BY 1, 2")
-add("q_rc5", lambda rel: rel("scans").where(BOTH).where("freq_hz BETWEEN 400000000 AND 470000000").groupBy(RUN.alias("run")).agg(*[r(F.percentile("power_dbfs", F.lit(p)), 2).alias(n) for p, n in ((0.1, "p10"), (0.25, "p25"), (0.5, "p50"))]), f"SELECT {SQL_RUN} AS run, round(quantile_cont(power_dbfs, 0.1), 2) AS p10, round(quantile_cont(power_dbfs, 0.25), 2) AS p25, round(quantile_cont(power_dbfs, 0.5), 2) AS p50 FROM scans WHERE {BOTH} AND freq_hz BETWEEN 400000000 AND 470000000 GROUP BY 1")
-add("q_rc6", lambda rel: rel("scans").where(BOTH).groupBy("run_id", "sweep_id").agg(F.max("power_dbfs").alias("mp")).groupBy(RUN.alias("run")).agg(F.count("*").alias("total"), F.count_if(F.col("mp") > 30).alias("clipped"), r(F.count_if(F.col("mp") > 30) * 100.0 / F.count("*"), 1).alias("clip_pct")), f"WITH m AS (SELECT run_id, sweep_id, max(power_dbfs) AS mp FROM scans WHERE {BOTH} GROUP BY 1, 2) SELECT {SQL_RUN} AS run, count(*) AS total, count(*) FILTER (WHERE mp > 30) AS clipped, round(count(*) FILTER (WHERE mp > 30) * 100.0 / count(*), 1) AS clip_pct FROM m GROUP BY 1")
+add("q_rc5", lambda rel: rel("scans").where(BOTH).where("freq_hz BETWEEN 400000000 AND 470000000").groupBy(run_label().alias("run")).agg(*[r(F.percentile("power_dbfs", F.lit(p)), 2).alias(n) for p, n in ((0.1, "p10"), (0.25, "p25"), (0.5, "p50"))]), f"SELECT {SQL_RUN} AS run, round(quantile_cont(power_dbfs, 0.1), 2) AS p10, round(quantile_cont(power_dbfs, 0.25), 2) AS p25, round(quantile_cont(power_dbfs, 0.5), 2) AS p50 FROM scans WHERE {BOTH} AND freq_hz BETWEEN 400000000 AND 470000000 GROUP BY 1")
+add("q_rc6", lambda rel: rel("scans").where(BOTH).groupBy("run_id", "sweep_id").agg(F.max("power_dbfs").alias("mp")).groupBy(run_label().alias("run")).agg(F.count("*").alias("total"), F.count_if(F.col("mp") > 30).alias("clipped"), r(F.count_if(F.col("mp") > 30) * 100.0 / F.count("*"), 1).alias("clip_pct")), f"WITH m AS (SELECT run_id, sweep_id, max(power_dbfs) AS mp FROM scans WHERE {BOTH} GROUP BY 1, 2) SELECT {SQL_RUN} AS run, count(*) AS total, count(*) FILTER (WHERE mp > 30) AS clipped, round(count(*) FILTER (WHERE mp > 30) * 100.0 / count(*), 1) AS clip_pct FROM m GROUP BY 1")
 
 
 def _mhz_delta(rel):
@@ -290,7 +297,7 @@ SERVICES = [("Airband (unidentified)", 118_000_000, 137_000_000), ("VHF Gov/Busi
 
 def latest_sweep(rel) -> DataFrame:
     """Scans of the last full sweep before AS_OF: the sweep is one row, joined by broadcast."""
-    last = rel("sweep_health").where(F.col("ts") <= NOW).agg(F.max_by("sweep_id", "ts").alias("sweep_id"))
+    last = rel("sweep_health").where(F.col("ts") <= now()).agg(F.max_by("sweep_id", "ts").alias("sweep_id"))
     return rel("scans").join(F.broadcast(last), "sweep_id")
 
 
@@ -383,11 +390,11 @@ rows("q_ch8", "health", "computed_at; total_classifications", f"computed_at <= '
 
 # --- ad hoc ---
 add("q_inv2", lambda rel: rel("scans").where(since(240)).where("freq_hz BETWEEN 118000000 AND 137000000").groupBy("freq_hz").agg(F.count("*").alias("n"), r(F.avg("power_dbfs"), 1).alias("mean"), r(F.stddev_pop("power_dbfs"), 2).alias("std"), r(F.max("power_dbfs"), 1).alias("peak")).where("n > 2"), f"SELECT freq_hz, count(*) AS n, round(avg(power_dbfs), 1) AS mean, round(stddev_pop(power_dbfs), 2) AS std, round(max(power_dbfs), 1) AS peak FROM scans WHERE {sql_since(240)} AND freq_hz BETWEEN 118000000 AND 137000000 GROUP BY 1 HAVING count(*) > 2")
-add("q_ab2", lambda rel: rel("sweep_health").groupBy((F.col("ts") < NOW).alias("before")).agg(F.count("*").alias("sweeps"), F.sum("clipped_captures").alias("clipped"), r(F.sum("clipped_captures") * 100.0 / F.sum("total_captures"), 2).alias("pct")), f"SELECT ts < {SQL_NOW} AS before, count(*) AS sweeps, sum(clipped_captures)::BIGINT AS clipped, round(sum(clipped_captures) * 100.0 / sum(total_captures), 2) AS pct FROM sweep_health GROUP BY 1")
+add("q_ab2", lambda rel: rel("sweep_health").groupBy((F.col("ts") < now()).alias("before")).agg(F.count("*").alias("sweeps"), F.sum("clipped_captures").alias("clipped"), r(F.sum("clipped_captures") * 100.0 / F.sum("total_captures"), 2).alias("pct")), f"SELECT ts < {SQL_NOW} AS before, count(*) AS sweeps, sum(clipped_captures)::BIGINT AS clipped, round(sum(clipped_captures) * 100.0 / sum(total_captures), 2) AS pct FROM sweep_health GROUP BY 1")
 
 
 def _lost(rel):
-    before = F.col("ts") < NOW
+    before = F.col("ts") < now()
     d = rel("scans").groupBy("freq_hz").agg(F.max(F.when(before, F.col("power_dbfs"))).alias("was"), F.max(F.when(~before, F.col("power_dbfs"))).alias("now"))
     return d.where("was > 0 AND (now IS NULL OR was - now >= 10)").select("freq_hz", r("was", 1).alias("was"), r("now", 1).alias("now"))
 
@@ -395,7 +402,7 @@ def _lost(rel):
 add("q_ab3", _lost, f"SELECT freq_hz, round(max(power_dbfs) FILTER (WHERE ts < {SQL_NOW}), 1) AS was, round(max(power_dbfs) FILTER (WHERE NOT ts < {SQL_NOW}), 1) AS now FROM scans GROUP BY 1 HAVING max(power_dbfs) FILTER (WHERE ts < {SQL_NOW}) > 0 AND (max(power_dbfs) FILTER (WHERE NOT ts < {SQL_NOW}) IS NULL OR max(power_dbfs) FILTER (WHERE ts < {SQL_NOW}) - max(power_dbfs) FILTER (WHERE NOT ts < {SQL_NOW}) >= 10)")
 add("q_ab4", lambda rel: rel("scans").where("freq_hz BETWEEN 88000000 AND 108000000").groupBy("dongle_id").agg(*[r(F.percentile("power_dbfs", F.lit(p)), 3).alias(n) for p, n in ((0.5, "p50"), (0.99, "p99"))], F.count("*").alias("n")), "SELECT dongle_id, round(quantile_cont(power_dbfs, 0.5), 3) AS p50, round(quantile_cont(power_dbfs, 0.99), 3) AS p99, count(*) AS n FROM scans WHERE freq_hz BETWEEN 88000000 AND 108000000 GROUP BY 1")
 add("q_mc1", lambda rel: rel("messages").agg(F.count("*").alias("msgs"), F.count_distinct("flight").alias("flights"), F.count_distinct("tail").alias("tails"), F.min("ts").alias("first"), F.max("ts").alias("last")), "SELECT count(*) AS msgs, count(DISTINCT flight) AS flights, count(DISTINCT tail) AS tails, min(ts) AS first, max(ts) AS last FROM messages")
-per_minutes("q_mc2", "messages", 60, 240, F.count("*"), "count(*)")
+per_minutes("q_mc2", "messages", 60, 240, lambda: F.count("*"), "count(*)")
 add("q_mc3", lambda rel: rel("messages").groupBy(F.round(F.col("freq_mhz") * 1e6).cast("long").alias("freq_hz")).agg(F.count("*").alias("n"), r(F.avg("level_db"), 2).alias("level")), "SELECT CAST(round(freq_mhz * 1e6) AS BIGINT) AS freq_hz, count(*) AS n, round(avg(level_db), 2) AS level FROM messages GROUP BY 1")
 add("q_mc4", lambda rel: rel("messages").agg(r(F.sum("error_count") * 100.0 / F.count("*"), 3).alias("error_pct")), "SELECT round(sum(error_count) * 100.0 / count(*), 3) AS error_pct FROM messages")
 add("q_mc6", lambda rel: rel("messages").groupBy("flight", "tail", "label").agg(F.count("*").alias("n")).where("n > 1"), "SELECT flight, tail, label, count(*) AS n FROM messages GROUP BY 1, 2, 3 HAVING count(*) > 1")

@@ -9,13 +9,16 @@ from ..functions import scalars as S
 from ..operators import classify as C
 from ..operators import detect as D
 from ..operators import joins, state
-from .dashboards import NOW, SQL_CLASS, SQL_LATEST, SQL_NOW, SQL_PASSES, class_latest, pass_latest, r, ship_latest
+from .dashboards import now, SQL_CLASS, SQL_LATEST, SQL_NOW, SQL_PASSES, class_latest, pass_latest, r, ship_latest
 
 CATALOGUE: dict[str, tuple] = {}
-HOUR = S.bucket(F.col("ts"), "hour").alias("hour")
 SQL_HOUR = "date_trunc('hour', ts) AS hour"
 
 
+def hour():
+    return S.bucket(F.col("ts"), "hour").alias("hour")
+
+
 def add(name: str, plan, sql: str | None) -> None:
     CATALOGUE[name] = (plan, sql)
 
@@ -24,24 +27,24 @@ def add(name: str, plan, sql: str | None) -> None:
 
 
 def _baseline(rel) -> DataFrame:
-    parts = rel("scans").groupBy(HOUR, "freq_hz", "dongle_id").agg(*state.partials("power_dbfs"))
+    parts = rel("scans").groupBy(hour(), "freq_hz", "dongle_id").agg(*state.partials("power_dbfs"))
     return state.finished(state.merge(parts, ["hour", "freq_hz", "dongle_id"]))
 
 
 add("mv1_hourly_baseline", lambda rel: _baseline(rel).select("hour", "freq_hz", "dongle_id", "n", r("mean", 9).alias("mean"), r("std", 4).alias("std")), f"SELECT {SQL_HOUR}, freq_hz, dongle_id, count(*) AS n, round(avg(power_dbfs), 9) AS mean, round(stddev_pop(power_dbfs), 4) AS std FROM scans GROUP BY 1, 2, 3")
-add("mv2_acars_hourly", lambda rel: rel("messages").groupBy(HOUR, "freq_mhz").agg(F.count("*").alias("n"), r(F.avg("level_db"), 9).alias("level"), F.count_distinct("flight").alias("flights"), F.count_distinct("tail").alias("tails")), f"SELECT {SQL_HOUR}, freq_mhz, count(*) AS n, round(avg(level_db), 9) AS level, count(DISTINCT flight) AS flights, count(DISTINCT tail) AS tails FROM messages GROUP BY 1, 2")
+add("mv2_acars_hourly", lambda rel: rel("messages").groupBy(hour(), "freq_mhz").agg(F.count("*").alias("n"), r(F.avg("level_db"), 9).alias("level"), F.count_distinct("flight").alias("flights"), F.count_distinct("tail").alias("tails")), f"SELECT {SQL_HOUR}, freq_mhz, count(*) AS n, round(avg(level_db), 9) AS level, count(DISTINCT flight) AS flights, count(DISTINCT tail) AS tails FROM messages GROUP BY 1, 2")
 for _key, _other in (("flight", "tail"), ("tail", "flight")):
     add(f"mv3_{_key}_latest", lambda rel, k=_key, o=_other: state.latest_values(rel("messages").where(f"{k} <> ''"), [k], "ts", [o, "label", "depa", "dsta", "freq_mhz"]), f"SELECT {_key}, max(ts) AS last_seen, count(*) AS n, " + ", ".join(f"arg_max({c}, ts) AS {c}" for c in (_other, "label", "depa", "dsta", "freq_mhz")) + f" FROM messages WHERE {_key} <> '' GROUP BY 1")
-add("mv5_aircraft_hourly", lambda rel: rel("positions").groupBy(HOUR).agg(F.count("*").alias("n"), F.count_distinct("hex_ident").alias("aircraft"), F.max("altitude").alias("max_altitude"), r(F.avg("ground_speed"), 9).alias("speed")), f"SELECT {SQL_HOUR}, count(*) AS n, count(DISTINCT hex_ident) AS aircraft, max(altitude) AS max_altitude, round(avg(ground_speed), 9) AS speed FROM positions GROUP BY 1")
+add("mv5_aircraft_hourly", lambda rel: rel("positions").groupBy(hour()).agg(F.count("*").alias("n"), F.count_distinct("hex_ident").alias("aircraft"), F.max("altitude").alias("max_altitude"), r(F.avg("ground_speed"), 9).alias("speed")), f"SELECT {SQL_HOUR}, count(*) AS n, count(DISTINCT hex_ident) AS aircraft, max(altitude) AS max_altitude, round(avg(ground_speed), 9) AS speed FROM positions GROUP BY 1")
 add("mv5_aircraft_latest", lambda rel: state.latest_values(rel("positions"), ["hex_ident"], "ts", ["callsign", "altitude", "ground_speed"]), "SELECT hex_ident, max(ts) AS last_seen, count(*) AS n, " + ", ".join(f"arg_max({c}, ts) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in ("callsign", "altitude", "ground_speed")) + " FROM positions GROUP BY 1")
 add("mv5_aircraft_latest_nulls", lambda rel: state.latest_values(rel("positions"), ["hex_ident"], "ts", ["altitude"], keep_nulls=True), "SELECT hex_ident, max(ts) AS last_seen, count(*) AS n, arg_max_null(altitude, ts) AS altitude FROM positions GROUP BY 1")
-add("mv6_ais_hourly", lambda rel: rel("ships").groupBy(HOUR).agg(F.count("*").alias("n"), F.count_distinct("mmsi").alias("ships"), r(F.avg("speed"), 9).alias("speed")), f"SELECT {SQL_HOUR}, count(*) AS n, count(DISTINCT mmsi) AS ships, round(avg(speed), 9) AS speed FROM ships GROUP BY 1")
+add("mv6_ais_hourly", lambda rel: rel("ships").groupBy(hour()).agg(F.count("*").alias("n"), F.count_distinct("mmsi").alias("ships"), r(F.avg("speed"), 9).alias("speed")), f"SELECT {SQL_HOUR}, count(*) AS n, count(DISTINCT mmsi) AS ships, round(avg(speed), 9) AS speed FROM ships GROUP BY 1")
 add("mv6_ship_latest", ship_latest, SQL_LATEST)
-add("mv7_ism_hourly", lambda rel: rel("sensors").groupBy(HOUR, "model").agg(F.count("*").alias("n"), F.count_distinct(F.struct("model", "device_id")).alias("devices"), r(F.avg("temperature_c"), 9).alias("temperature")), f"SELECT {SQL_HOUR}, model, count(*) AS n, count(DISTINCT coalesce(device_id, '?')) AS devices, round(avg(temperature_c), 9) AS temperature FROM sensors GROUP BY 1, 2")
+add("mv7_ism_hourly", lambda rel: rel("sensors").groupBy(hour(), "model").agg(F.count("*").alias("n"), F.count_distinct(F.struct("model", "device_id")).alias("devices"), r(F.avg("temperature_c"), 9).alias("temperature")), f"SELECT {SQL_HOUR}, model, count(*) AS n, count(DISTINCT coalesce(device_id, '?')) AS devices, round(avg(temperature_c), 9) AS temperature FROM sensors GROUP BY 1, 2")
 add("mv7_device_latest", lambda rel: state.latest_values(rel("sensors"), ["model", "device_id"], "ts", ["channel", "temperature_c", "humidity"]), "SELECT model, device_id, max(ts) AS last_seen, count(*) AS n, " + ", ".join(f"arg_max({c}, ts) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in ("channel", "temperature_c", "humidity")) + " FROM sensors GROUP BY 1, 2")
 add("mv8_pass_latest", lambda rel: pass_latest(rel).select("seq", "pass_start", "satellite", "status"), f"SELECT seq, pass_start, satellite, status FROM ({SQL_PASSES})")
 add("mv8_monthly_summary", lambda rel: rel("passes").groupBy(S.bucket(F.col("pass_start"), "month").alias("month"), "satellite").agg(F.count("*").alias("rows"), F.count_distinct("pass_start").alias("passes"), F.count_if(F.col("status") == "decoded").alias("decoded"), r(F.avg(F.when(F.col("status") == "decoded", F.col("snr_db"))), 11).alias("snr")), "SELECT date_trunc('month', pass_start)::TIMESTAMP AS month, satellite, count(*) AS rows, count(DISTINCT pass_start) AS passes, count(*) FILTER (WHERE status = 'decoded') AS decoded, round(avg(snr_db) FILTER (WHERE status = 'decoded'), 11) AS snr FROM passes GROUP BY 1, 2")
-add("v1_freq_latest", lambda rel: rel("scans").where(F.col("ts") > NOW - F.expr("INTERVAL 10 DAYS")).where(F.col("ts") <= NOW).groupBy("freq_hz", "dongle_id").agg(F.max("ts").alias("last_seen"), F.max_by("power_dbfs", "ts").alias("power_dbfs")), f"SELECT freq_hz, dongle_id, max(ts) AS last_seen, arg_max(power_dbfs, ts) AS power_dbfs FROM scans WHERE ts > {SQL_NOW} - INTERVAL 10 DAY AND ts <= {SQL_NOW} GROUP BY 1, 2")
+add("v1_freq_latest", lambda rel: rel("scans").where(F.col("ts") > now() - F.expr("INTERVAL 10 DAYS")).where(F.col("ts") <= now()).groupBy("freq_hz", "dongle_id").agg(F.max("ts").alias("last_seen"), F.max_by("power_dbfs", "ts").alias("power_dbfs")), f"SELECT freq_hz, dongle_id, max(ts) AS last_seen, arg_max(power_dbfs, ts) AS power_dbfs FROM scans WHERE ts > {SQL_NOW} - INTERVAL 10 DAY AND ts <= {SQL_NOW} GROUP BY 1, 2")
 
 SQL_ALLOC = "(VALUES " + ", ".join(f"({a}, {b}, '{s}')" for a, b, s in C.ALLOCATIONS) + ") AS al(lo, hi, service)"
 
@@ -59,11 +62,11 @@ add("v2_signal_catalog", _catalog, f"SELECT service, count(k.freq_hz) AS n, max(
 
 def _dongles(rel) -> DataFrame:
     tile = F.floor(F.col("freq_hz") / 1e6).cast("long").alias("mhz")
-    d = rel("scans").groupBy(HOUR, tile, "dongle_id").agg(F.avg("power_dbfs").alias("avg"), F.max("power_dbfs").alias("peak"), F.percentile("power_dbfs", F.lit(0.1)).alias("floor"))
+    d = rel("scans").groupBy(hour(), tile, "dongle_id").agg(F.avg("power_dbfs").alias("avg"), F.max("power_dbfs").alias("peak"), F.percentile("power_dbfs", F.lit(0.1)).alias("floor"))
     # one pass over both receivers; a key that one of them lacks gets nulls, as a full join would give
     pick = lambda dongle, c: F.max(F.when(F.col("dongle_id") == dongle, F.col(c))).alias(f"{dongle[:2]}_{c}")
     d = d.groupBy("hour", "mhz").agg(*[pick(g, c) for g in ("v3-01", "v4-01") for c in ("avg", "peak", "floor")])
-    clips = rel("sweep_health").groupBy(HOUR).agg(*[F.sum(F.when(F.col("dongle_id") == g, F.col("clipped_captures"))).alias(f"{g[:2]}_clips") for g in ("v3-01", "v4-01")])
+    clips = rel("sweep_health").groupBy(hour()).agg(*[F.sum(F.when(F.col("dongle_id") == g, F.col("clipped_captures"))).alias(f"{g[:2]}_clips") for g in ("v3-01", "v4-01")])
     return d.join(clips, "hour", "left").withColumn("delta_floor", r(F.col("v4_floor") - F.col("v3_floor"), 9)).select("hour", "mhz", *[r(f"{g}_{c}", 9).alias(f"{g}_{c}") for g in ("v3", "v4") for c in ("avg", "peak", "floor")], "v3_clips", "v4_clips", "delta_floor")
 
 
@@ -242,9 +245,9 @@ add("k20_promotions", lambda rel: rel("messages").groupBy(F.round(F.col("freq_mh
 
 
 def _freshness(rel):
-    seen = rel("scans").where(F.col("ts") <= NOW).groupBy("dongle_id").agg(F.max("ts").alias("last"))
+    seen = rel("scans").where(F.col("ts") <= now()).groupBy("dongle_id").agg(F.max("ts").alias("last"))
     expected = seen.sparkSession.createDataFrame([("v3-01",), ("v4-01",), ("v5-01",)], "dongle_id string")
-    stale = F.coalesce(S.unit_diff("SECOND", F.col("last"), NOW), F.lit(21600))
+    stale = F.coalesce(S.unit_diff("SECOND", F.col("last"), now()), F.lit(21600))
     return expected.join(seen, "dongle_id", "left").select("dongle_id", stale.alias("stale_s"), C.freshness(stale).alias("level"))
 
 
@@ -253,8 +256,8 @@ add("k22_signal_quality", lambda rel: rel("sweep_health").groupBy("dongle_id").a
 
 
 def _emergence(rel):
-    since = lambda h: F.avg(F.when(F.col("ts") > NOW - F.expr(f"INTERVAL {h} HOURS"), (F.col("power_dbfs") > 0).cast("int")))
-    d = rel("scans").where(F.col("ts") <= NOW).groupBy("freq_hz", "dongle_id").agg(since(48).alias("near"), since(480).alias("far"))
+    since = lambda h: F.avg(F.when(F.col("ts") > now() - F.expr(f"INTERVAL {h} HOURS"), (F.col("power_dbfs") > 0).cast("int")))
+    d = rel("scans").where(F.col("ts") <= now()).groupBy("freq_hz", "dongle_id").agg(since(48).alias("near"), since(480).alias("far"))
     return d.where("near > 0.3 AND far < 0.3").select("freq_hz", "dongle_id", r("near", 4).alias("near"), r("far", 4).alias("far"))
 
 
