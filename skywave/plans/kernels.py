@@ -148,7 +148,7 @@ add("w2_transients", lambda rel: D.transients(rel("bins"), "sweep_id").select("s
  FROM i c JOIN i p ON p.i = c.i - 1 AND p.dongle_id = c.dongle_id AND p.freq_hz = c.freq_hz WHERE abs(c.power_dbfs - p.power_dbfs) >= 15""")
 add("w3_bursts", lambda rel: D.bursts(rel("bins"), ["dongle_id", "freq_hz"], "sweep_id", F.col("power_dbfs") > -20, F.lit(300)).groupBy("dongle_id", "freq_hz").agg(F.count("*").alias("n"), F.percentile("duration_s", F.lit(0.5)).alias("p50"), r(F.percentile("duration_s", F.lit(0.95)), 4).alias("p95")), """WITH a AS (SELECT *, power_dbfs > -20 AS act, row_number() OVER (PARTITION BY dongle_id, freq_hz ORDER BY sweep_id) - row_number() OVER (PARTITION BY dongle_id, freq_hz, power_dbfs > -20 ORDER BY sweep_id) AS g FROM bins),
  b AS (SELECT dongle_id, freq_hz, count(*) * 300 AS d FROM a WHERE act GROUP BY dongle_id, freq_hz, g HAVING count(*) > 1) SELECT dongle_id, freq_hz, count(*) AS n, quantile_cont(d, 0.5) AS p50, round(quantile_cont(d, 0.95), 4) AS p95 FROM b GROUP BY 1, 2""")
-add("w4_bandwidth", lambda rel: D.bandwidth(rel("bins"), ["sweep_id", "dongle_id"]).select("sweep_id", "dongle_id", "freq_hz", "bandwidth_hz"), "WITH w AS (SELECT sweep_id, dongle_id, freq_hz, " + ", ".join(f"coalesce({', '.join(f'CASE WHEN power_dbfs - {f}(power_dbfs, {k}) OVER w >= 3 THEN {k} END' for k in range(1, 9))}) AS {n}" for f, n in (("lag", "l"), ("lead", "g"))) + " FROM bins WINDOW w AS (PARTITION BY sweep_id, dongle_id ORDER BY freq_hz)) SELECT sweep_id, dongle_id, freq_hz, coalesce((l + g + 1) * 100000, 999000000) AS bandwidth_hz FROM w")
+add("w4_bandwidth", lambda rel: D.bandwidth(rel("bins"), ["sweep_id", "dongle_id"]).select("sweep_id", "dongle_id", "freq_hz", "bandwidth_hz"), "WITH w AS (SELECT sweep_id, dongle_id, freq_hz, " + ", ".join(f"coalesce({', '.join(f'CASE WHEN power_dbfs - {f}(power_dbfs, {k}) OVER w >= 3 THEN {k} END' for k in range(1, 6))}) AS {n}" for f, n in (("lag", "l"), ("lead", "g"))) + " FROM bins WINDOW w AS (PARTITION BY sweep_id, dongle_id ORDER BY freq_hz)) SELECT sweep_id, dongle_id, freq_hz, coalesce((l + g + 1) * 100000, 999000000) AS bandwidth_hz FROM w")
 add("w9_gain", lambda rel: D.gain_steps(rel("sweep_health"), ["dongle_id"], "ts", F.col("clipped_captures") > 4, 40.0, 10.0, 2.0).select("dongle_id", "sweep_id", "gain_db"), "SELECT dongle_id, sweep_id, CAST(greatest(10, 40 - 2 * coalesce(sum(CASE WHEN clipped_captures > 4 THEN 1 ELSE 0 END) OVER (PARTITION BY dongle_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS DOUBLE) AS gain_db FROM sweep_health")
 add("w11_level_changes", lambda rel: D.level_changes(rel("sweep_health").withColumn("level", F.when(F.col("max_power") < 0, "CRIT").when(F.col("max_power") < 20, "WARN").otherwise("OK")), ["dongle_id"], "ts", "level").select("dongle_id", "sweep_id", "was", "level"), "WITH l AS (SELECT *, CASE WHEN max_power < 0 THEN 'CRIT' WHEN max_power < 20 THEN 'WARN' ELSE 'OK' END AS level FROM sweep_health), c AS (SELECT *, coalesce(lag(level) OVER (PARTITION BY dongle_id ORDER BY ts), 'OK') AS was FROM l) SELECT dongle_id, sweep_id, was, level FROM c WHERE was <> level")
 add("k7_sweep_health", lambda rel: D.sweep_health(rel("bins")), "SELECT sweep_id, dongle_id, count(*) AS bin_count, coalesce(max(power_dbfs) FILTER (WHERE freq_hz NOT BETWEEN 174000000 AND 230000000), -100.0) AS max_power, coalesce(max(power_dbfs), -100.0) AS max_power_dvbt FROM bins GROUP BY 1, 2")
