@@ -38,15 +38,17 @@ _WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
 class _Known(dict):
-    """What has been found for words or segments; emptied when it is full."""
+    """What has been found for words or segments. When it is full it becomes the older half, from which
+    what is asked for again comes back; the half before that goes."""
 
     def __init__(self, find):
         super().__init__()
-        self.find = find
+        self.find, self.older = find, {}
 
     def __missing__(self, word: str) -> tuple[bytes, float, float]:
-        found = self.find(word)
+        found = self.older.get(word) or self.find(word)
         if len(self) >= _KNOWN:
+            self.older = dict(self)
             self.clear()
         self[word] = found
         return found
