@@ -31,7 +31,7 @@ VIEWS = {
     "listening_log": """SELECT event_id, ts, (88000000 + (user_id % 150) * 2500000) / 1000000.0 AS freq_mhz, CASE WHEN user_id % 2 = 0 THEN 'AM' ELSE 'NFM' END AS mode,
         event_type AS class_id, props AS notes FROM events WHERE event_id % 50 = 0""",
     "known_frequencies": """SELECT 88000000 + p_partkey * 7300000 AS freq_hz, p_name AS name, p_size * 2000 AS bandwidth_hz, CASE WHEN p_partkey % 3 = 0 THEN 'AM' ELSE 'NFM' END AS modulation,
-        CASE p_partkey % 5 WHEN 0 THEN 'airband' WHEN 1 THEN 'marine' WHEN 2 THEN 'gov' WHEN 3 THEN 'business' ELSE 'broadcast_fm' END AS class_id FROM part WHERE p_partkey <= 50""",
+        CASE p_partkey % 5 WHEN 0 THEN 'airband' WHEN 1 THEN 'marine' WHEN 2 THEN 'gov' WHEN 3 THEN 'business' ELSE 'broadcast_fm' END AS class_id FROM part""",
     "messages": """SELECT event_id, ts, 131.0 + (user_id % 8) * 0.125 AS freq_mhz, -value / 10 AS level_db, event_type AS label,
         CASE WHEN user_id % 7 = 0 THEN '' ELSE 'FL' || CAST(user_id % 40 AS STRING) END AS flight, CASE WHEN user_id % 11 = 0 THEN '' ELSE 'SX' || CAST(user_id % 60 AS STRING) END AS tail,
         CASE WHEN user_id % 3 = 0 THEN '' ELSE 'A' || CAST(user_id % 5 AS STRING) END AS depa, CASE WHEN user_id % 4 = 0 THEN '' ELSE 'B' || CAST(user_id % 6 AS STRING) END AS dsta, props AS text,
