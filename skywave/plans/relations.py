@@ -29,7 +29,7 @@ VIEWS = {
         29.7 AS gain_db, max(value / 5 - 60) AS peak_signal_dbfs, min(value / 5 - 60) AS noise_floor_dbfs, 88000000 + max(user_id % 150) * 2500000 AS peak_signal_freq_hz
         FROM events GROUP BY 'run-' || substring(CAST(ts AS STRING), 9, 1)""",
     "listening_log": """SELECT event_id, ts, (88000000 + (user_id % 150) * 2500000) / 1000000.0 AS freq_mhz, CASE WHEN user_id % 2 = 0 THEN 'AM' ELSE 'NFM' END AS mode,
-        event_type AS class_id, props AS notes FROM events WHERE event_id % 50 = 0""",
+        event_type AS class_id, props AS notes FROM events""",
     "known_frequencies": """SELECT 88000000 + p_partkey * 7300000 AS freq_hz, p_name AS name, p_size * 2000 AS bandwidth_hz, CASE WHEN p_partkey % 3 = 0 THEN 'AM' ELSE 'NFM' END AS modulation,
         CASE p_partkey % 5 WHEN 0 THEN 'airband' WHEN 1 THEN 'marine' WHEN 2 THEN 'gov' WHEN 3 THEN 'business' ELSE 'broadcast_fm' END AS class_id FROM part""",
     "messages": """SELECT event_id, ts, 131.0 + (user_id % 8) * 0.125 AS freq_mhz, -value / 10 AS level_db, event_type AS label,

@@ -36,3 +36,15 @@ def test_nearest_known_and_best_in_tolerance_reach_the_whole_band(spark, small):
     seen = {r.freq_hz for r in relations.relation(spark, small, "classified").collect()}
     best = {r.k_freq for r in catalogue.queries()["j10_best_in_tolerance"](spark, small).collect()}
     assert best == {k for k in known if any(abs(k - f) <= 3_000_000 for f in seen)} and 460_300_000 in best
+
+
+def test_confirmations_are_all_events(spark, small):
+    events = spark.read.parquet(f"{small}/events.parquet").collect()
+    assert relations.relation(spark, small, "listening_log").count() == len(events) == 400
+    latest = sorted(events, key=lambda r: r.ts)[-20:]
+    assert sorted(r.ts for r in catalogue.queries()["q_lp3"](spark, small).collect()) == [r.ts for r in latest]
+    got = catalogue.queries()["j9_latest_confirmation"](spark, small).collect()
+    assert len(got) > 100
+    for r in got:
+        last = max((e for e in events if abs(88_000_000 + e.user_id % 150 * 2_500_000 - r.freq_hz) <= 2_000_000), key=lambda e: e.ts)
+        assert (r.class_id, r.confirmed_at) == (last.event_type, last.ts)
