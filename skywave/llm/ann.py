@@ -109,7 +109,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
     rows = rows.withColumn("rn", F.row_number().over(by.orderBy("id"))).withColumn("rep", F.min("id").over(by))
     # an id that comes with several vectors may be the least of more than one point: a point's key is its id and hash
     rows = cut_lineage(rows.select("id", "vec", "rn", F.xxhash64("rep", "vec").alias("point")))
-    points = rows.where("rn = 1").select("point", "vec")
+    points = rows.where("rn = 1").select("point", F.col("id").alias("least"), "vec")
     ids = rows.where(F.col("rn") <= k + 1).groupBy("point").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     queries = rows.where(is_query(F.col("id"))).select(F.col("id").alias("query_id"), F.col("point").alias("q"))
 
@@ -124,10 +124,10 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
         for b in batches:
             if len(b):
                 leaves = route(np.array(b["vec"].tolist(), dtype=np.float32), *forest.value) + (np.arange(trees) << 32)
-                yield pd.DataFrame({"leaf": leaves.ravel(), "point": np.repeat(b["point"].to_numpy(), trees), "vec": np.repeat(b["vec"].to_numpy(), trees)})
+                yield pd.DataFrame({"leaf": leaves.ravel(), "point": np.repeat(b["point"].to_numpy(), trees), "least": np.repeat(b["least"].to_numpy(), trees), "vec": np.repeat(b["vec"].to_numpy(), trees)})
 
     arrow_rows(vectors, 2000)
-    index = points.mapInPandas(place, "leaf long, point long, vec array<double>")
+    index = points.mapInPandas(place, "leaf long, point long, least long, vec array<double>")
     sizes = np.zeros((trees, 1 << depth), np.int64)
     for r in index.groupBy("leaf").count().collect():  # at most trees * 2**depth rows
         sizes[r.leaf >> 32, r.leaf & 0xFFFFFFFF] = r["count"]
@@ -145,14 +145,15 @@ def nearest(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", v
         out = []
         if len(left) and len(right):
             a, b = np.array(left["vec"].tolist()), np.array(right["vec"].tolist())
-            point, short = right["point"].to_numpy(), min(len(b), 2 * k + 8)
+            point, least, short = right["point"].to_numpy(), right["least"].to_numpy(), min(len(b), k + 1)
             norm = (b**2).sum(1)
+            slack = 1e-12 * b.shape[1] * (norm.max() + (a**2).sum(1).max())  # more than rough's rounding
             for at in range(0, len(a), 256):
                 rough = norm - 2 * a[at : at + 256] @ b.T
-                near = np.argpartition(rough, short - 1, axis=1)[:, :short]
-                for i, own in enumerate(near, at):
+                far = np.partition(rough, short - 1, axis=1)[:, short - 1] + slack
+                for i, own in enumerate((np.flatnonzero(~(r > f)) for r, f in zip(rough, far, strict=True)), at):  # all that tie with the last place
                     d = np.sqrt(((b[own] - a[i]) ** 2).sum(1))
-                    best = np.lexsort((point[own], d))[: k + 1]
+                    best = np.lexsort((least[own], d))[: k + 1]
                     out.append(pd.DataFrame({"q": left["q"].iloc[i], "point": point[own[best]], "score": d[best]}))
         return pd.concat(out) if out else pd.DataFrame({"q": [], "point": [], "score": []}).astype({"q": "int64", "point": "int64", "score": "float64"})
 
