@@ -61,8 +61,8 @@ _PART = "at double, count int, num int, msg_id string, channel string, payload s
 
 
 def assembled(parts: DataFrame, timeout_s: int = 30) -> DataFrame:
-    """Whole payloads of fragments (at: arrival in seconds, and nmea_fields()) with one open message a key
-    as state; an idle key's state goes after the timeout."""
+    """Whole payloads of fragments (at: arrival in seconds, and nmea_fields()), messages of one sentence as
+    they come, others with one open message a key as state; an idle key's state goes after the timeout."""
 
     def run(key, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
@@ -88,4 +88,6 @@ def assembled(parts: DataFrame, timeout_s: int = 30) -> DataFrame:
             held.remove()
         yield pd.DataFrame(out, columns=["at", "payload", "fill"])
 
-    return parts.where("count > 1").groupBy("count", "msg_id", "channel").applyInPandasWithState(run, "at double, payload string, fill int", "opened double, texts string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    single = parts.where("count = 1").select("at", "payload", "fill")
+    whole = parts.where("count > 1").groupBy("count", "msg_id", "channel").applyInPandasWithState(run, "at double, payload string, fill int", "opened double, texts string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return single.unionByName(whole)
