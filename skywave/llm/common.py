@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +16,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where that is unset (as in local tests), one of our own."""
+    """The shared folder of spark.checkpoint.dir. Where that is unset, a local master (one machine, as in tests)
+    gets a folder of its own; on a cluster this is an error, as executors could not read each other's files."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skywave-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="skywave-ckpt-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
@@ -40,9 +48,22 @@ def fixed_layout(df: DataFrame) -> DataFrame:
         conf.set("spark.sql.adaptive.enabled", was)
 
 
-def arrow_rows(df: DataFrame, rows: int) -> None:
-    """Rows of an Arrow batch: texts can be long, so batches are kept short."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def scratch(df: DataFrame, *names: str) -> list[str]:
+    """A name for each of names that no column of df has, whatever case it is written in."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def sliced(batches: Iterator, rows: int) -> Iterator:
+    """Batches of a pandas iterator in pieces of so many rows, so that what is made of them stays small."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.iloc[at : at + rows].reset_index(drop=True)
 
 
 def text_of(col: str = "text"):
