@@ -8,7 +8,8 @@ whole well-filled sequences of one parent into the other, removes the sequences
 pieces, and best-fits the displaced ones; mutation breaks up the emptiest sequences. After each epoch
 the elite of every island migrates to the next one of its chunk. Sequences of the best packing that
 are at least `keep` full are final; the pieces of the others meet in fewer chunks in the next round,
-until one chunk is left, whose best packing is final.
+until one chunk is left or a round has placed less than a tenth of its pieces (others of the same mix would not
+fare better): then the best packing of every chunk is final.
 
 A packing is held as lengths only; pieces of equal length are alike, so a chunk is its count of
 pieces by length. Defined results: null and empty texts are one piece of the end id; repeated rows
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut_lineage, read
+from .common import cut_lineage, read, sliced
 
 CAPACITY = 2048
 END = 0
@@ -38,6 +39,8 @@ GENERATIONS = 6
 POPULATION = 4
 KEEP = 0.998
 VOCABULARY = "byte_bpe_50k.tiktoken"  # the vocabulary of byte_bpe_50k.json as ranks: the same ids, made faster
+ADDED = "<|endoftext|>"  # its one added token, which the ranks lack: its string in a text is this id
+ADDED_ID = 50256
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 _WORDS = 400_000
 
@@ -45,8 +48,8 @@ _WORDS = 400_000
 def token_bytes(vocabulary: str = VOCABULARY):
     """text -> its ids as little-endian unsigned 32-bit numbers.
 
-    A text is cut where a single space stands between two other characters: a token never goes over
-    such a place, so each distinct piece is encoded once and kept (400,000 pieces at most)."""
+    A text is cut at each ADDED, then where a single space stands between two other characters: a token never
+    goes over such a place, so each distinct piece is encoded once and kept (400,000 pieces at most)."""
     import public_tokenizers
     import tiktoken
 
@@ -54,7 +57,6 @@ def token_bytes(vocabulary: str = VOCABULARY):
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    known: dict[str, bytes] = {}
 
     class Known(dict):
         def __missing__(self, word: str) -> bytes:
@@ -64,13 +66,13 @@ def token_bytes(vocabulary: str = VOCABULARY):
             self[word] = out
             return out
 
-    known = Known()
+    known, added = Known(), np.array([ADDED_ID], dtype="<u4").tobytes()
 
-    def run(text: str) -> bytes:
+    def plain(text: str) -> bytes:
         parts = _SAFE.split(text)
         return np.array(encode(parts[0]), dtype="<u4").tobytes() + b"".join([known[p] for p in parts[1:]])
 
-    return run
+    return lambda text: added.join([plain(t) for t in text.split(ADDED)])
 
 
 def pieces(docs: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -78,7 +80,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, vo
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end = token_bytes(vocabulary), np.array([END], dtype="<u4").tobytes()
-        for b in batches:
+        for b in sliced(batches, 1000):
             out = []
             for id_, text in zip(b["id"], b["text"], strict=True):
                 ids = encode(text or "") + end
@@ -92,7 +94,6 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, vo
             d = pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32"])
             yield d.astype({"id": "Int64"})
 
-    arrow_rows(docs, 1000)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     return rows.mapInPandas(run, "id long, piece int, start long, length long, ids_crc32 long")
 
@@ -241,7 +242,7 @@ def ga_round(counts: DataFrame, capacity: int, islands: int, epochs: int, genera
 
     def epoch_of(epoch: int):
         def epoch_run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
+            for b in sliced(batches, 8):
                 elites = []
                 for chunk, island, counted, elite in zip(b["chunk"], b["island"], b["counts"], b["elite"], strict=True):
                     rng = np.random.default_rng([int(chunk), int(island), epoch])
@@ -253,7 +254,6 @@ def ga_round(counts: DataFrame, capacity: int, islands: int, epochs: int, genera
         return epoch_run
 
     schema = "chunk long, island int, counts array<struct<length:long,n:long>>, elite array<int>"
-    arrow_rows(counts, 8)
     for e in range(epochs):
         state = state.repartition("chunk", "island").mapInPandas(epoch_of(e), schema)
         # the elite moves on to the next island of its chunk
@@ -270,13 +270,14 @@ def ga_round(counts: DataFrame, capacity: int, islands: int, epochs: int, genera
 def pack(parts: DataFrame, capacity: int = CAPACITY, chunk_rows: int = CHUNK_ROWS, islands: int = ISLANDS, epochs: int = EPOCHS, generations: int = GENERATIONS, population: int = POPULATION, keep: float = KEEP) -> DataFrame:
     """parts(row, length, ...) with sequence_id and offset."""
     rows = parts.where(F.col("length") < capacity).select("row", F.col("length").cast("int").alias("length"))
-    done, round_ = None, 0
+    done, round_, before_ = None, 0, None
     while True:
         n = rows.count()
         if not n:
             break
         chunks = max(1, round(n / chunk_rows))
-        last = chunks == 1 or round_ >= 8
+        last = chunks == 1 or (before_ is not None and n > 0.9 * before_)
+        before_ = n
         chunk = F.pmod(F.xxhash64("row", F.lit(round_)), F.lit(chunks))
         rows = rows.select("row", "length", chunk.alias("chunk"))
         counts = rows.groupBy("chunk", "length").agg(F.count("*").alias("n"))
