@@ -17,14 +17,12 @@ are rows like any other; no rows give no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut_lineage, read
+from .common import cut_lineage, read
 
 SHARDS = 24
 FINE = 200
@@ -106,17 +104,13 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
     text = F.col(text_col).cast("string")
     data = F.coalesce(text, F.lit("")).cast("binary")
 
-    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for b in batches:
-            yield b.map(lambda t: len(t.split()) if t else 0).astype("int64")
-
-    arrow_rows(docs, 1000)
+    words = F.size(F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", -1), lambda w: w != "")).cast("long")
     rows = docs.select(
         F.col(id_col).alias("id"),
         (F.length(data) + 8).cast("long").alias("size"),
         F.crc32(data).alias("text_crc32"),
         F.xxhash64(text).alias("grp"),
-        F.pandas_udf(tokens, "long", F.PandasUDFType.SCALAR_ITER)(text).alias("tokens"),
+        words.alias("tokens"),
         F.xxhash64(F.lit(11), text).alias("second"),
         F.monotonically_increasing_id().alias("row"),
     )

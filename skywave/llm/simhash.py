@@ -28,10 +28,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut_lineage, read
+from .common import cut_lineage, read, sliced
 from .components import components
 from .golay import keys as golay_keys
 
@@ -62,10 +62,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", words: int = 3) -> Dat
     """(id, fp): fp as a signed long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in sliced(batches, 1000):
             yield pd.DataFrame({"id": b["id"], "fp": np.fromiter((fingerprint(t, words) for t in b["text"]), np.int64, len(b))})
 
-    arrow_rows(docs, 1000)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     return rows.mapInPandas(run, "id long, fp long")
 
@@ -165,22 +164,21 @@ def links(fps: DataFrame, bits: int = BITS, group: int = GROUP) -> DataFrame:
         raise ValueError("the keys find pairs within 3 bits")
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in sliced(batches, 4000):
             fp = b["fp"].to_numpy()
             keys = fuzzy_keys(fp)
             keep = keys >= 0
             yield pd.DataFrame({"key": keys[keep], "fp": np.repeat(fp, keep.sum(axis=1))})
 
-    arrow_rows(fps, 4000)
     keyed = fps.select("fp").mapInPandas(emit, "key long, fp long")
-    n = F.count("*").over(Window.partitionBy("key"))
-    shared = cut_lineage(keyed.withColumn("n", n).where("n > 1"))
+    keyed = cut_lineage(keyed)
+    counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = cut_lineage(keyed.join(counts, "key"))
     blocks = F.ceil(F.col("n") / group).cast("int")
     own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
     cold = shared.where(F.col("n") <= group).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")
     hot = shared.where(F.col("n") > group).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     hot = hot.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
-    arrow_rows(fps, 50_000)
     dealt = cold.union(hot).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
     return dealt.mapInPandas(_linker(bits), "a long, b long")
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, cut_lineage, read, text_of
+from .common import cut_lineage, read, scratch, text_of
 
 MAX_ROWS = 12_288
 SHARDS = 1
@@ -107,7 +107,6 @@ def fit(docs: DataFrame, labelled: DataFrame, max_rows: int = MAX_ROWS, shards:
         return pd.DataFrame({"bucket": np.append(at, -1), "weight": np.append(w[at], bias)})
 
     dealt = rows.withColumn("shard", F.pmod(F.shiftright("h", 32), F.lit(shards)))
-    arrow_rows(labelled, 1000)
     parts = dealt.groupBy("shard").applyInPandas(learn, "bucket long, weight double")
     found = cut_lineage(parts.groupBy("bucket").agg(F.sum("weight").alias("weight"), F.count("*").alias("n")))
     models = found.where("bucket = -1").first()
@@ -135,9 +134,9 @@ def score(docs: DataFrame, model: dict, out_col: str = "score") -> DataFrame:
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            yield pd.Series(score_texts(b.reset_index(drop=True), shared.value))
+            parts = [score_texts(b.iloc[at : at + 500].reset_index(drop=True), shared.value) for at in range(0, len(b), 500)]
+            yield pd.Series(np.concatenate(parts) if parts else np.empty(0))
 
-    arrow_rows(docs, 500)
     return docs.withColumn(out_col, F.pandas_udf(run, "double", _scalar_iter())(text_of()))
 
 

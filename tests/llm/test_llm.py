@@ -63,12 +63,23 @@ def removed_plainly(texts, width=200):
     return sorted(out)
 
 
-@pytest.mark.parametrize("bucket_bytes", [10_000_000, 3_000])
-def test_substrings(odd, none, bucket_bytes):
+def removed(rows):
+    return sorted((r.repeats.n_bytes, r.repeats.n_removed, r.repeats.n_spans, r.repeats.kept_sha256) for r in rows)
+
+
+@pytest.mark.parametrize("options", [{}, {"bucket_bytes": 3_000, "part_entries": 100}, {"bucket_bytes": 3_000, "part_entries": 60, "hot": 0, "fan": 4}, {"bucket_bytes": 9_000, "hot": 3, "fan": 2}])
+def test_substrings(odd, none, options):
     want = removed_plainly([text(r).encode() for r in odd_rows()])
-    got = substrings.remove_repeats(odd, bucket_bytes=bucket_bytes)
-    assert sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == want
-    assert substrings.remove_repeats(none).count() == 0
+    assert removed(substrings.remove_repeats(odd, **options).collect()) == want
+    assert substrings.remove_repeats(none, **options).count() == 0
+
+
+def test_substrings_keep_columns_and_large_numbers(spark):
+    rows = [(2**60 + 1, "a" * 300, 1, [None, 2**60 + 3], "x"), (None, "b", 2, None, "y")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, n_bytes long, bucket array<long>, PACKED string")
+    got = substrings.remove_repeats(d, into="own")
+    assert got.columns == [*d.columns, "own"]
+    assert {(r.doc_id, r.text, r.n_bytes, str(r.bucket), r.PACKED, r.own.n_removed) for r in got.collect()} == {(2**60 + 1, "", 1, str([None, 2**60 + 3]), "x", 300), (None, "b", 2, "None", "y", 0)}
 
 
 def test_substrings_of_long_texts_meet_over_block_borders(spark, monkeypatch):
@@ -77,8 +88,17 @@ def test_substrings_of_long_texts_meet_over_block_borders(spark, monkeypatch):
     long = "".join(rng.choice("abcd ") for _ in range(5000))
     texts = [long, long[1000:1900] + "Z" * 10, long[650:850] + long[690:1000], "q" * 1500]
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.remove_repeats(d, bucket_bytes=2500).collect())
-    assert got == removed_plainly([t.encode() for t in texts])
+    assert removed(substrings.remove_repeats(d, bucket_bytes=2500).collect()) == removed_plainly([t.encode() for t in texts])
+
+
+@pytest.mark.parametrize("hot", [2, 10_000])
+def test_a_line_that_all_documents_hold(spark, hot):
+    """Strings over the line's ends repeat where the characters beside it happen to be the same."""
+    rng = random.Random(8)
+    line, near = "".join(rng.choice("lorem ipsum\0") for _ in range(230)), "ab\0"
+    texts = ["".join(rng.choice(near) for _ in range(rng.randrange(250))) + line + "".join(rng.choice(near) for _ in range(rng.randrange(250))) for _ in range(60)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert removed(substrings.remove_repeats(d, bucket_bytes=1500, hot=hot, fan=5).collect()) == removed_plainly([t.encode() for t in texts])
 
 
 # --- 2 ---
@@ -89,7 +109,6 @@ def test_packing(odd, none):
     import public_tokenizers
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     rows = packing.pack_documents(odd).collect()
     bins = {}
     for r in rows:
@@ -109,6 +128,26 @@ def test_packing(odd, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_ids_are_those_of_the_tokenizer():
+    """The added token <|endoftext|> included, and white space of all kinds."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok, encode, rng = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.token_bytes(), random.Random(4)
+    end = "<|endoftext|>"
+    texts = [end, end * 3, f"{end}a", f"a{end}", f"a {end} b", f"a{end}b{end}  c", f" {end}\n", "<|endoftext|", "<<|endoftext|>>", "", " "]
+    texts += ["".join(rng.choice(["a", "the", " ", "  ", "\n", "\u00a0", "\u2003", "é", "12", "'s", ".", "☃", "\t", end]) for _ in range(rng.randrange(40))) for _ in range(2000)]
+    for t in texts:
+        assert np.frombuffer(encode(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
+def test_packing_of_pieces_that_fill_nothing(spark):
+    """No two pieces go together: each chunk ends as it is, in two rounds."""
+    d = spark.createDataFrame([(i, 60) for i in range(500)], "row long, length long")
+    rows = packing.pack(d, capacity=100, chunk_rows=50).collect()
+    assert len({r.sequence_id for r in rows}) == len(rows) == 500 and {r.offset for r in rows} == {0}
+
+
 def test_packing_in_rounds(spark):
     rng = np.random.default_rng(2)
     n = rng.integers(1, 100, 900)
@@ -157,6 +196,28 @@ def test_pieces_against_all_paths():
         assert p.decode(np.frombuffer(got[0][1], "<u4").tolist()) == s
 
 
+def test_pieces_at_once_are_as_one_by_one():
+    p, rng = sentencepieces.Pieces(), random.Random(2)
+    words = ["".join(rng.choice("the ain.é☃,日𝒳").replace(" ", sentencepieces.SPACE) for _ in range(rng.randrange(1, 40))) for _ in range(300)]
+    for w, (ids, score, loss) in zip(words, p.search_many(words), strict=True):
+        one = p.search(w)
+        assert (ids, pytest.approx(score), pytest.approx(loss)) == one
+
+
+def test_best_path_is_no_worse_than_the_librarys(data):
+    import duckdb
+    import public_tokenizers
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(sentencepieces.MODEL))
+    p = sentencepieces.Pieces()
+    texts = [t for (t,) in duckdb.sql(f"SELECT text FROM '{data}/documents.parquet' WHERE text <> ''").fetchall()]
+    for t, (best, back) in zip(texts, p.encode_many(texts), strict=True):
+        theirs = lib.encode(t)
+        cost = sum(p.byte_score if p.is_byte[i] else p.score[p.pieces[i]] for i in theirs)
+        assert best[0][0] >= cost - 1e-6 * len(theirs) and back.decode() == t
+
+
 def test_pieces_round_trip(odd, none):
     got = sentencepieces.encode_documents(odd).collect()
     assert len(got) == len(odd_rows()) and all(r.round_trip for r in got)
@@ -368,6 +429,25 @@ def test_neighbours(spark):
     assert ann.nearest(d.where("vec_id < 0"), lambda i: i % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("shift", [0.0, 1e8])
+def test_recall_at_the_default_share(spark, shift):
+    """Vectors without any structure, far from the origin too, against brute force."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(2500, 32))
+    x = x / np.sqrt((x**2).sum(1))[:, None] + shift
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(d, lambda i: i % 100 == 0, block_rows=20).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+        assert r.score == pytest.approx(np.sqrt(((x[r.vec_id] - x[r.query_id]) ** 2).sum()), abs=1e-9)
+    hits = 0
+    for q in range(0, 2500, 100):
+        dist = np.sqrt(((x - x[q]) ** 2).sum(1))
+        dist[q] = np.inf
+        hits += len(got[q] & set(np.argsort(dist, kind="stable")[:10].tolist()))
+    assert len(got) == 25 and hits >= 0.9 * 250
+
+
 # --- 10 ---
 
 
