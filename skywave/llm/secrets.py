@@ -8,6 +8,10 @@ owners that hold a value are counted. A value of at most max_owners owners is li
 that more owners share is a widely copied example. Live-looking candidates become spans of kind
 `owned`; base spans always stay, and are told apart in n_live and n_copied.
 
+Matches become rows, so that a text with very many costs in proportion to their number: windows over a text's rows
+place them (the running sum of the lengths of matches and of the pieces between them) and tell which
+candidates meet a base span.
+
 Offsets are code points, ends exclusive. Defined results: null text is empty (no spans); a null
 owner or repository counts as one of its own; repeated rows each get their row; no rows give no
 rows. Other columns are ignored. A value that very many rows hold is counted after a distinct per
@@ -16,10 +20,12 @@ task, and joined back by a sort-merge join whose large partitions Spark splits.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, read, text_of
+from .common import cut_lineage, read, scratch, text_of
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: With {16,} and {24,} the same as all runs with the short ones dropped: a run is taken whole.
@@ -27,51 +33,48 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ["assign", "access", "hex", "owned"]
+REGEX = [ASSIGN, ACCESS, HEX, CANDIDATE]
 MAX_OWNERS = 2
 MARK = "[SECRET]"
-
-_SPAN = "array<struct<start:int,end:int,kind:int,hash:bigint>>"
+_MATCH = "array<struct<gap:int,len:int,kept:boolean,hash:bigint>>"
 
 
-def matches(text: Column, regex: str, kind: int, group: int = 0) -> Column:
-    """Spans of all matches; hash is that of the group. Matches and the pieces between them add up to
-    the text, so a running sum of lengths places them."""
-    whole = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
-    value = F.regexp_extract_all(text, F.lit(regex), F.lit(group))
+def matches(text: Column, kind: int) -> Column:
+    """All matches of a kind in order: characters since the one before, length, whether it counts, and the
+    hash of its value."""
+    regex = REGEX[kind]
     gaps = F.split(text, regex, -1)
-    parts = F.transform(whole, lambda m, i: F.struct(F.length(gaps[i]).alias("gap"), F.length(m).alias("len"), F.length(value[i]).alias("vlen"), F.xxhash64(value[i]).alias("hash")))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-
-    def step(acc, p):
-        start = acc.at + p.gap
-        span = F.struct(start.alias("start"), (start + p.len).alias("end"), F.lit(kind).alias("kind"), p.hash.alias("hash"))
-        out = F.when(p.vlen >= 6, F.concat(acc.out, F.array(span))).otherwise(acc.out)
-        return F.struct((start + p.len).alias("at"), out.cast(_SPAN).alias("out"))
-
-    return F.when(text.rlike(regex), F.aggregate(parts, zero, step).out).otherwise(F.array().cast(_SPAN))
-
+    value = (lambda m: F.regexp_extract(m, regex, 2)) if kind == 0 else (lambda m: m)
+    kept = [lambda v: F.length(v) >= 6, lambda v: F.lit(True), lambda v: F.lit(True), lambda v: v.rlike("[a-z]") & v.rlike("[A-Z]") & v.rlike("[0-9]")][kind]
+    found = F.transform(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), lambda m, i: F.struct(F.length(gaps[i]).alias("gap"), F.length(m).alias("len"), kept(value(m)).alias("kept"), F.xxhash64(value(m)).alias("hash")))
+    return F.when(text.rlike(regex), found.cast(_MATCH)).otherwise(F.array().cast(_MATCH))
 
-def base_spans(text: Column) -> Column:
-    return F.concat(matches(text, ASSIGN, 0, 2), matches(text, ACCESS, 1), matches(text, HEX, 2))
 
-
-def candidate_spans(text: Column, base: Column) -> Column:
-    """Candidates that meet no base span, and mix lower case, upper case and digits."""
-    found = matches(text, CANDIDATE, 3)
-    value = lambda s: F.substring(text, s.start + 1, s.end - s.start)
-    mixed = lambda s: value(s).rlike("[a-z]") & value(s).rlike("[A-Z]") & value(s).rlike("[0-9]")
-    return F.filter(found, lambda s: mixed(s) & ~F.exists(base, lambda b: (b.start < s.end) & (s.start < b.end)))
+def found_spans(docs: DataFrame, id_col: str, owner_col: str, repo_cols: tuple[str, ...]) -> DataFrame:
+    """(id, text_hash, owner, repo, kind, start, end, hash) of base spans and of candidates that meet none."""
+    text = text_of()
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.xxhash64(owner_col).alias("owner"), F.xxhash64(*repo_cols).alias("repo"), *[matches(text, k).alias(f"m{k}") for k in range(4)])
+    some = reduce(lambda a, b: a | b, [F.size(f"m{k}") > 0 for k in range(4)])
+    rows = cut_lineage(rows.where(some).withColumn("row", F.monotonically_increasing_id()))
+    own = ["row", "id", "text_hash", "owner", "repo"]
+    each = [rows.select(*own, F.lit(k).alias("kind"), F.posexplode(f"m{k}").alias("at", "m")) for k in range(4)]
+    all_ = reduce(DataFrame.union, each).select(*own, "kind", "at", "m.*")
+    before = Window.partitionBy("row", "kind").orderBy("at")
+    all_ = all_.withColumn("end", F.sum(F.col("gap") + F.col("len")).over(before).cast("int")).withColumn("start", F.col("end") - F.col("len")).where("kept")
+    # a candidate meets a base span if one that begins before its end goes on beyond its start
+    base = F.col("kind") < 3
+    up_to = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    from_ = Window.partitionBy("row").orderBy("start").rangeBetween(0, Window.unboundedFollowing)
+    behind = F.coalesce(F.max(F.when(base, F.col("end"))).over(up_to), F.lit(-1)) > F.col("start")
+    ahead = F.coalesce(F.min(F.when(base, F.col("start"))).over(from_), F.lit(2**31 - 1)) < F.col("end")
+    met = all_.withColumn("met", behind | ahead)
+    return met.where(base | ~F.col("met")).select("id", "text_hash", "owner", "repo", "kind", "start", "end", "hash")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", owner_col: str = "source", repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = MAX_OWNERS) -> DataFrame:
     """One narrow row for each row of docs that has a base span or candidate:
-    (id, text_hash, base, owned, n_live, n_copied); rows with equal id and text come once."""
-    text = text_of()
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.xxhash64(owner_col).alias("owner"), F.xxhash64(*repo_cols).alias("repo"), text.alias("text"))
-    rows = rows.withColumn("base", base_spans(F.col("text")))
-    rows = rows.withColumn("extra", candidate_spans(F.col("text"), F.col("base"))).drop("text")
-    rows = cut_lineage(rows.where((F.size("base") > 0) | (F.size("extra") > 0)))
-    spans = rows.select("id", "text_hash", "owner", "repo", F.explode(F.concat("base", "extra")).alias("s")).select("id", "text_hash", "owner", "repo", "s.*")
+    (id, text_hash, spans, n_live, n_copied); rows with equal id and text come once."""
+    spans = cut_lineage(found_spans(docs, id_col, owner_col, repo_cols))
     held = spans.select("hash", "owner", "repo").distinct().groupBy("hash", "owner").agg(F.count("*").alias("repos"))
     held = held.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
     told = spans.drop("owner", "repo").distinct().join(held, "hash")
@@ -91,35 +94,34 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", name(s.kind), s.start, s.end)), ",")
 
 
-def redacted(text: Column, spans: Column) -> Column:
-    """text with each maximal run of spans replaced by MARK."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s.start.alias("start"), s.end.alias("end"))))
-    shape = "struct<at:int,out:array<struct<a:int,b:int>>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<a:int,b:int>>").alias("out")).cast(shape)
-    # gaps between the runs, in order; a span that begins before the run so far ends lengthens it
-    gaps = F.aggregate(
-        ordered,
-        zero,
-        lambda acc, s: F.struct(
-            F.greatest(acc.at, s.end).alias("at"),
-            F.when((s.start > acc.at) | (acc.at == 0), F.concat(acc.out, F.array(F.struct(acc.at.alias("a"), s.start.alias("b"))))).otherwise(acc.out).alias("out"),
-        ).cast(shape),
-    )
-    pieces = F.transform(gaps.out, lambda g: F.substring(text, g.a + 1, g.b - g.a))
-    return F.concat(F.array_join(pieces, MARK), F.lit(MARK), F.substring(text, gaps.at + 1, F.length(text)))
+def runs(spans: DataFrame, *key: str) -> DataFrame:
+    """(key, runs): the maximal runs (start, end) of overlapping or touching spans(key, start, end), in order."""
+    by = Window.partitionBy(*key).orderBy("start", "end")
+    before = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
+    d = spans.withColumn("fresh", (F.coalesce(before, F.lit(-1)) < F.col("start")).cast("int")).withColumn("run", F.sum("fresh").over(by))
+    d = d.groupBy(*key, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return d.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs"))
+
+
+def redacted(text: Column, runs_: Column) -> Column:
+    """text with each of its runs (one at least) replaced by MARK."""
+    pieces = F.transform(runs_, lambda r, i: F.substring(text, F.when(i == 0, 1).otherwise(runs_[F.greatest(i - 1, F.lit(0))].end + 1), r.start - F.when(i == 0, 0).otherwise(runs_[F.greatest(i - 1, F.lit(0))].end)))
+    rest = F.substring(text, F.element_at(runs_, -1).end + 1, F.length(text))
+    return F.concat(F.array_join(pieces, MARK), F.lit(MARK), rest)
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """docs with live-looking secrets, base or owned, replaced by MARK; copied examples stay. Only rows
     that can hold a secret are shuffled; the columns stay as they are, n_chars follows the text."""
     text = text_of()
-    suspect = text.rlike(ASSIGN) | text.rlike(ACCESS) | text.rlike(HEX) | text.rlike(CANDIDATE)
-    live = scan(docs, id_col, **options).select(F.col("id").alias("_scan_id"), F.col("text_hash").alias("_scan_hash"), F.filter("spans", lambda s: s.live).alias("_scan_live")).where(F.size("_scan_live") > 0)
-    rows = docs.where(suspect).join(live, F.col(id_col).eqNullSafe(F.col("_scan_id")) & (F.xxhash64(text) == F.col("_scan_hash")), "left")
-    new = F.when(F.col("_scan_live").isNull(), F.col("text")).otherwise(redacted(text, F.col("_scan_live")))
-    rows = rows.withColumn("text", new)
+    suspect = reduce(lambda a, b: a | b, [text.rlike(r) for r in REGEX])
+    id_, hash_, own = scratch(docs, "scan_id", "scan_hash", "scan_runs")
+    live = scan(docs, id_col, **options).select("id", "text_hash", F.explode("spans").alias("s")).where("s.live").select("id", "text_hash", "s.start", "s.end")
+    live = runs(live, "id", "text_hash").select(F.col("id").alias(id_), F.col("text_hash").alias(hash_), F.col("runs").alias(own))
+    rows = docs.where(suspect).join(live, F.col(id_col).eqNullSafe(F.col(id_)) & (F.xxhash64(text) == F.col(hash_)), "left")
+    rows = rows.withColumn("text", F.when(F.col(own).isNull(), F.col("text")).otherwise(redacted(text, F.col(own))))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_scan_live").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        rows = rows.withColumn("n_chars", F.when(F.col(own).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return rows.select(*docs.columns).unionByName(docs.where(~suspect))
 
 
