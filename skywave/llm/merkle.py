@@ -27,6 +27,8 @@ PARAGRAPH = r"(?<=\n)"
 CLAUSE = r"(?<=[.!?,;:\n])(?![.!?,;:\n])|(?<=[eo]\x20)"
 LEAF_DIGITS = 6
 BLOCK_ROWS = 1024
+MOST_BLOCKS = 32_768
+SAMPLE = 32  # rows of the sample for each block
 
 
 def _pieces(text: Column, regex: str) -> Column:
@@ -71,29 +73,53 @@ def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn("fingerprint", fingerprint(digests(tree(text_of(text_col)))))
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(id, text, next_text) by descending id, after the last the first.
+def _block(bounds: list, none: Column, key: Column, hash_: Column) -> Column:
+    """How many bounds (none, key, hash) a row is not before, by bisection: the order is none, descending
+    key, hash."""
+    kinds = ("int", "bigint", "bigint")
+    flat = [F.lit([int(b[i]) for b in bounds]).cast(f"array<{kinds[i]}>") if bounds else F.array().cast(f"array<{kinds[i]}>") for i in range(3)]
 
-    Ids are cut into ranges of about block_rows rows; a window finds the next row within a range, and
+    def step(at, s):
+        b_none, b_key, b_hash = (F.try_element_at(x, at + s) for x in flat)
+        reached = (b_none < none) | ((b_none == none) & ((b_key > key) | ((b_key == key) & (b_hash <= hash_))))
+        return F.when(reached, at + s).otherwise(at)  # past the last bound all are null
+
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(max(1, len(bounds).bit_length())))])
+    return F.aggregate(steps, F.lit(0), step)
+
+
+def with_next(docs: DataFrame, id_col: str = "doc_id", block_rows: int = BLOCK_ROWS, print_: bool = False) -> DataFrame:
+    """(id, text, next_text) by descending id, after the last the first; with print_ also each row's
+    fingerprint and that of the next.
+
+    Rows are dealt to ranges of about block_rows rows (MOST_BLOCKS ranges at most), whose bounds come from a
+    sample of ids and hashes of texts, so that uneven or repeated ids make even ranges too; the sample decides the
+    layout only. A window finds the next row within a range, and
     a copy of each range's first row is sent to the range before it, so that texts are shuffled once
     and no task sees more than a range.
     """
-    lo, hi, n, nulls = docs.agg(F.min(id_col), F.max(id_col), F.count("*"), F.count_if(F.col(id_col).isNull())).first()
-    lo, hi = (lo or 0) - 1, hi or 0
-    width = max(1, (hi - lo + 1) * block_rows // max(n, 1))
-    key = F.coalesce(F.col(id_col), F.lit(lo))
-    rows = docs.select(F.col(id_col).alias("id"), key.alias("key"), text_of().alias("text"))
-    rows = rows.withColumn("block", F.expr(f"(key - {lo}L) div {width}L"))
-    heads = rows.groupBy("block").agg(F.max("key").alias("key"))
-    last = 0 if nulls else 1 // width
-    # one row for each range of ids; the window over them orders n / block_rows numbers
-    sent = heads.select("key", F.coalesce(F.lag("block").over(Window.orderBy(F.desc("block"))), F.lit(last)).alias("to"))
-    if n <= 100_000 * block_rows:  # at most as many rows of 16 bytes are broadcast
-        sent = F.broadcast(sent)
-    ghosts = rows.join(sent, "key").select("id", "key", "text", F.col("to").alias("block"), F.lit(True).alias("ghost"))
-    both = rows.select("id", "key", "text", "block", F.lit(False).alias("ghost")).unionByName(ghosts)
-    order = Window.partitionBy("block").orderBy("ghost", F.desc("key"), F.xxhash64("text"), "text")
-    return both.withColumn("next_text", F.lead("text").over(order)).where(~F.col("ghost")).select("id", "text", "next_text")
+    id_ = F.col(id_col).cast("long")
+    rows = docs.select(id_.alias("id"), id_.isNull().cast("int").alias("none"), F.coalesce(id_, F.lit(0)).alias("key"), text_of().alias("text")).withColumn("hash", F.xxhash64("text"))
+    n = docs.count()
+    blocks = min(MOST_BLOCKS, -(-n // block_rows)) or 1
+    share = min(1.0, SAMPLE * blocks / max(n, 1))
+    sample = sorted((r.none, -r.key, r.hash) for r in rows.select("none", "key", "hash").sample(share, seed=1).collect()) if blocks > 1 else []  # some SAMPLE * blocks rows
+    bounds = sorted({sample[i * len(sample) // blocks] for i in range(1, blocks)}) if len(sample) >= blocks else []
+    rows = rows.withColumn("block", _block([(a, -b, c) for a, b, c in bounds], F.col("none"), F.col("key"), F.col("hash")))
+    first = F.max(F.struct((-F.col("none")).alias("none"), "key", F.bitwise_not("hash").alias("hash"))).alias("first")
+    heads = rows.groupBy("block").agg(first)
+    # one row for each range, MOST_BLOCKS at most: a window orders them, and they are broadcast
+    to = F.coalesce(F.lag("block").over(Window.orderBy("block")), F.max("block").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    sent = heads.select("block", (-F.col("first.none")).alias("none"), F.col("first.key").alias("key"), F.bitwise_not("first.hash").alias("hash"), to.alias("to"))
+    ghosts = rows.join(F.broadcast(sent), ["block", "none", "key", "hash"]).select("id", "none", "key", "hash", "text", F.col("to").alias("block"), F.lit(True).alias("ghost"))
+    both = rows.select("id", "none", "key", "hash", "text", "block", F.lit(False).alias("ghost")).unionByName(ghosts)
+    if print_:
+        both = both.repartition("block").withColumn("fingerprint", fingerprint(digests(tree(F.col("text")))))
+    order = Window.partitionBy("block").orderBy("ghost", "none", F.desc("key"), "hash", "text")
+    both = both.withColumn("next_text", F.lead("text").over(order))
+    if print_:
+        both = both.withColumn("next_fingerprint", F.lead("fingerprint").over(order))
+    return both.where(~F.col("ghost")).drop("none", "key", "hash", "block", "ghost")
 
 
 def edited(text: Column, other: Column) -> Column:
@@ -104,15 +130,20 @@ def edited(text: Column, other: Column) -> Column:
 
 
 def op4_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = with_next(read(spark, sf_dir, "documents"))
+    return compared(read(spark, sf_dir, "documents"))
+
+
+def compared(docs: DataFrame, id_col: str = "doc_id", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Of each document its fingerprint, that of its edited text, and its likeness to this and to the next document."""
+    rows = with_next(docs, id_col, block_rows, print_=True)
     rows = rows.withColumn("edit", edited(F.col("text"), F.col("next_text")))
     rows = rows.select(
         "id",
         F.length("text").cast("long").alias("n_chars"),
         F.sha2("edit", 256).alias("edited_sha256"),
-        fingerprint(digests(tree(F.col("text")))).alias("fingerprint"),
+        "fingerprint",
         fingerprint(digests(tree(F.col("edit")))).alias("edited_fingerprint"),
-        fingerprint(digests(tree(F.col("next_text")))).alias("next_fingerprint"),
+        "next_fingerprint",
     )
     rows = rows.withColumn("own", leaf_set(F.col("fingerprint")))
     return rows.select(
