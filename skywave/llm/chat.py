@@ -6,8 +6,8 @@ turn's text away and starts with its own, `delta` appends to what stands. The fi
 rendered with a template that marks turns; control strings inside texts are escaped reversibly, and
 a loss mask (character spans of the rendered text) covers each assistant text.
 
-Defined results: null text and null role count as empty, null kind as `message`, null seq sorts
-first; ties of seq are ordered by kind, role and text; a null conv_id is a conversation of its own;
+Defined results: a null text counts as empty, a null role as the one that the turn had before (empty if none), a null
+kind as `message`; null seq sorts first; ties of seq are ordered by kind, role and text; a null conv_id is a conversation of its own;
 no events give no rows. Extra columns are ignored.
 """
 
@@ -45,14 +45,14 @@ def escape_role(role: Column) -> Column:
 def fold_events(events: DataFrame) -> DataFrame:
     """Final messages (conv_id, turn, role, text) of an event log."""
     kind = F.coalesce(F.col("kind"), F.lit("message"))
-    log = events.select("conv_id", "turn", F.struct(F.col("seq"), kind.alias("kind"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("e"))
+    log = events.select("conv_id", "turn", F.struct(F.col("seq"), kind.alias("kind"), F.col("role"), F.coalesce("text", F.lit("")).alias("text")).alias("e"))
     log = log.repartition("conv_id").groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list("e")).alias("log"))
     start = F.array_max(F.transform("log", lambda e, i: F.when(e.kind != "delta", i + 1).otherwise(F.lit(1))))
     live = F.slice("log", start, F.size("log"))
     return log.select(
         "conv_id",
         "turn",
-        F.element_at(live, 1).role.alias("role"),
+        F.coalesce(F.try_element_at(F.filter(F.transform("log", lambda e: e.role), lambda x: x.isNotNull()), F.lit(-1)), F.lit("")).alias("role"),
         F.array_join(F.transform(live, lambda e: e.text), "").alias("text"),
     )
 

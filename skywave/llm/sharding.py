@@ -1,7 +1,7 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
-Rows of equal text are a group and stay in one shard, unless the group exceeds `split` of a shard's
-capacity in some dimension; then it is cut into parts of that size at most, each a group. A group is
+Rows of equal text are a group and stay in one shard, unless the group has more bytes than a shard
+can take; then it is cut into parts that fit, each a group. A group is
 a vector (bytes, tokens, rows), each as a share of a shard's capacity, and goes to the shard where
 the dot product with the residual capacity is highest, largest groups first.
 
@@ -26,7 +26,6 @@ from .common import cut_lineage, read
 
 SHARDS = 24
 FINE = 200
-SPLIT = 0.5
 PART_ROWS = 20_000
 
 
@@ -43,13 +42,13 @@ def place(groups: np.ndarray, residual: np.ndarray) -> np.ndarray:
     return out
 
 
-def assign(rows: DataFrame, shards: int = SHARDS, split: float = SPLIT) -> DataFrame:
+def assign(rows: DataFrame, shards: int = SHARDS) -> DataFrame:
     """rows(grp, size, tokens, ...) with a column shard."""
     totals = rows.agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")).first()
     cap = [max(1.0, (totals[k] or 0) / shards) for k in ("size", "tokens", "n")]
     groups = rows.groupBy("grp").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
     share = F.greatest(F.col("size") / cap[0], F.col("tokens") / cap[1], F.col("n") / cap[2])
-    parts = F.when(share > split, F.least(F.ceil(share / split), F.col("n"))).otherwise(F.lit(1)).cast("long")
+    parts = F.greatest(F.lit(1), F.least(F.ceil(F.col("size") / cap[0]), F.col("n"))).cast("long")
     groups = cut_lineage(groups.withColumn("parts", parts).withColumn("share", share / parts))
     large = groups.where((F.col("share") > 1 / FINE) | (F.col("parts") > 1)).toPandas()  # 3 * FINE * shards rows at most
     left = np.ones((shards, 3))

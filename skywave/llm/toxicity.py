@@ -6,14 +6,15 @@ each hashed to 2**dims_log2 buckets and present or not. Per-coordinate rates fol
 squared gradients; L1 leaves few weights, so the model is a short table that is broadcast.
 
 Training uses at most max_rows labelled rows: those of the least hash of id, so the sample is the
-same on every run, and its ids are a bounded table that is broadcast to fetch their texts. It is
-dealt over `shards` models by that hash, each trained by one task for `epochs` passes (max_rows /
-shards texts bound its memory), and the weights that survive in any are averaged. The bound on the broadcast is
+same on every run, and its ids are a bounded table that is broadcast to fetch their texts. Of the rows that have
+these ids again max_rows are taken, and of these the first ones that have max_bytes of text together. They are
+dealt over `shards` models by that hash, each trained by one task for `epochs` passes (max_bytes
+bounds its memory), and the weights that survive in any are averaged. The bound on the broadcast is
 2**dims_log2 rows of 16 bytes; L1 keeps it far below.
 
 Defined results: null and empty texts have the bias as their score; null labels are not learned
-from, and a repeated id's labels count once each; with no labelled rows of both kinds every score
-is the share of toxic ones, or 0. Extra columns are ignored.
+from, and a repeated id's labels count once each; where all rows learned from have the same label, every score is
+that label (within 1e-15), with none at all it is 0 (likewise). Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, read, scratch, text_of
+from .common import cut_lineage, read, text_of
 
 MAX_ROWS = 12_288
+MAX_BYTES = 256_000_000
 SHARDS = 1
 DIMS_LOG2 = 20
 EPOCHS = 3
@@ -85,15 +87,20 @@ def train(rows: list[tuple[np.ndarray, float]], dims: int, epochs: int) -> tuple
     return w, float(-bz / ((BETA + np.sqrt(bn)) / ALPHA))
 
 
-def fit(docs: DataFrame, labelled: DataFrame, max_rows: int = MAX_ROWS, shards: int = SHARDS, dims_log2: int = DIMS_LOG2, epochs: int = EPOCHS) -> dict:
+def fit(docs: DataFrame, labelled: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES, shards: int = SHARDS, dims_log2: int = DIMS_LOG2, epochs: int = EPOCHS) -> dict:
     """A model from docs(id, text) and labelled(id, label): {dims_log2, bias, bucket, weight}."""
     dims = 1 << dims_log2
     sample = labelled.where("id IS NOT NULL AND label IS NOT NULL").select("id", F.col("label").cast("int").alias("label"), F.xxhash64("id", F.lit(7)).alias("h"))
     sample = sample.orderBy("h", "id", "label").limit(max_rows)
     rows = docs.select("id", "text").join(F.broadcast(sample), "id")
+    rows = rows.withColumn("h2", F.xxhash64("text")).orderBy("h", "id", "label", "h2").limit(max_rows)
+    upto = Window.orderBy("h", "id", "label", "h2").rowsBetween(Window.unboundedPreceding, 0)  # over max_rows rows
+    rows = rows.withColumn("sum", F.sum(F.octet_length("text")).over(upto)).where(F.col("sum") <= max_bytes).drop("sum", "h2")
 
     def learn(key, d: pd.DataFrame) -> pd.DataFrame:
         d = d.sort_values(["h", "label", "text"], kind="stable").reset_index(drop=True)
+        if d["label"].nunique() == 1:
+            return pd.DataFrame({"bucket": [-1], "weight": [35.0 if d["label"].iloc[0] else -35.0]})
         sets = []
         for at in range(0, len(d), 256):
             part = d.iloc[at : at + 256].reset_index(drop=True)
