@@ -46,7 +46,9 @@ def matches(text: Column, kind: int) -> Column:
     gaps = F.split(text, regex, -1)
     value = (lambda m: F.regexp_extract(m, regex, 2)) if kind == 0 else (lambda m: m)
     kept = [lambda v: F.length(v) >= 6, lambda v: F.lit(True), lambda v: F.lit(True), lambda v: v.rlike("[a-z]") & v.rlike("[A-Z]") & v.rlike("[0-9]")][kind]
-    found = F.transform(F.regexp_extract_all(text, F.lit(regex), F.lit(0)), lambda m, i: F.struct(F.length(gaps[i]).alias("gap"), F.length(m).alias("len"), kept(value(m)).alias("kept"), F.xxhash64(value(m)).alias("hash")))
+    # zipped, as an array named inside a lambda is made again for each element; after the last match only a gap is left
+    pairs = F.zip_with(gaps, F.regexp_extract_all(text, F.lit(regex), F.lit(0)), lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m")))
+    found = F.transform(F.filter(pairs, lambda x: x.m.isNotNull()), lambda x: F.struct(x.gap, F.length(x.m).alias("len"), kept(value(x.m)).alias("kept"), F.xxhash64(value(x.m)).alias("hash")))
     return F.when(text.rlike(regex), found.cast(_MATCH)).otherwise(F.array().cast(_MATCH))
 
 
@@ -64,7 +66,7 @@ def found_spans(docs: DataFrame, id_col: str, owner_col: str, repo_cols: tuple[s
     # a candidate meets a base span if one that begins before its end goes on beyond its start
     base = F.col("kind") < 3
     up_to = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
-    from_ = Window.partitionBy("row").orderBy("start").rangeBetween(0, Window.unboundedFollowing)
+    from_ = Window.partitionBy("row").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0)
     behind = F.coalesce(F.max(F.when(base, F.col("end"))).over(up_to), F.lit(-1)) > F.col("start")
     ahead = F.coalesce(F.min(F.when(base, F.col("start"))).over(from_), F.lit(2**31 - 1)) < F.col("end")
     met = all_.withColumn("met", behind | ahead)
