@@ -28,6 +28,9 @@ EVIDENCE = {
     "broadcast_fm": '{"bw_hz":[200000,800000],"duty_pattern":["continuous","bursty_low"],"requires_allocation_in":["broadcast_fm"]}',
     "am_airband_atis": '{"bw_hz":[200000,500000],"duty_pattern":["continuous","bursty_low"],"requires_allocation_in":["aviation_voice"]}',
     "am_airband_atc": '{"bw_hz":[200000,500000],"duty_pattern":["bursty_low","bursty_high"],"duty_24h_range":[0.02,0.5],"burst_p50_s_range":[2,180],"requires_allocation_in":["aviation_voice"]}',
+    "nfm_voice_repeater": '{"bw_hz":[200000,500000],"duty_pattern":["bursty_low","bursty_high"],"duty_24h_range":[0.005,0.4],"requires_allocation_in":["land_mobile_business","land_mobile_safety","gov_military_vhf_gr","amateur_2m","amateur_70cm","pmr446"]}',
+    "acars_downlink": '{"bw_hz":[3000,15000],"duty_pattern":["bursty_low","bursty_high"],"duty_24h_range":[0.001,0.3],"center_freq_hz_near":[131525000,131725000,131825000],"center_freq_tolerance_hz":50000,"requires_allocation_in":["aviation_voice"]}',
+    "acars_uplink": '{"bw_hz":[3000,15000],"duty_pattern":["bursty_low","bursty_high"],"duty_24h_range":[0.001,0.3],"center_freq_hz_near":[131525000,131725000,131825000],"center_freq_tolerance_hz":50000,"requires_allocation_in":["aviation_voice"]}',
     "marine_vhf_channel": '{"bw_hz":[200000,500000],"duty_pattern":["bursty_low"],"duty_24h_range":[0.005,0.2],"requires_allocation_in":["marine_vhf"]}',
     "ais": '{"bw_hz":[200000,500000],"center_freq_hz_near":[161975000,162025000],"center_freq_tolerance_hz":150000,"duty_pattern":["bursty_high","continuous"],"requires_allocation_in":["marine_vhf"]}',
     "tetra": '{"bw_hz":[200000,500000],"duty_pattern":["bursty_high","continuous"],"requires_allocation_in":["tetra_gr"]}',
@@ -69,14 +72,15 @@ def evidence_score(rules: Column) -> Column:
     )
 
 
-def classify(features: DataFrame, known: DataFrame, confirmed: DataFrame | None = None, tolerance: int = 150_000) -> DataFrame:
+def classify(features: DataFrame, known: DataFrame, confirmed: DataFrame | None = None, tolerance: int = 150_000, evidence: dict[str, str] | None = None) -> DataFrame:
     """(freq_hz, dongle_id, class_id, confidence) of features. known(k_freq, kf_class) gives the nearest
-    known class; confirmed(c_freq, c_class, c_ts) overrides by the latest one in tolerance. The classes
+    known class; confirmed(c_freq, c_class, c_ts) overrides by the latest one in tolerance. evidence gives other rules
+    than EVIDENCE: evidence_table() reads them from a table. The classes
     are one row of bounded size each, so features meet them by explode, not by a join."""
     key = ["freq_hz", "dongle_id"]
     d = joins.nearest_join(allocation(features), known, "freq_hz", "k_freq", tolerance, key)
     d = d.withColumn("pattern", duty_pattern(F.col("duty_cycle_24h")))
-    classes = F.array(*[F.struct(F.lit(c).alias("class_id"), F.lit(r).alias("rules")) for c, r in EVIDENCE.items()])
+    classes = F.array(*[F.struct(F.lit(c).alias("class_id"), F.lit(r).alias("rules")) for c, r in (evidence or EVIDENCE).items()])
     d = d.withColumn("c", F.explode(classes)).withColumn("class_id", F.col("c.class_id")).withColumn("rules", F.from_json("c.rules", RULES))
     d = d.withColumn("score", evidence_score(F.col("rules")).cast("double"))
     by = Window.partitionBy(*key).orderBy(F.desc("score"), "class_id")
@@ -106,9 +110,14 @@ def harmonics(peaks: DataFrame, least_db: float = 6.0, within: float = 0.005) ->
     return met.withColumn("_b", best).where("_b = 1").select("freq_hz", F.col("base_hz").alias("harmonic_of_hz"), "n")
 
 
+def evidence_table(classes: DataFrame) -> dict[str, str]:
+    """Rules by class of a table (class_id, evidence_rules), some dozens of rows; a later row of a class counts."""
+    return {r.class_id: r.evidence_rules for r in classes.select("class_id", "evidence_rules").where("class_id IS NOT NULL").collect()}
+
+
 def freshness(stale_s: Column, warn: int = 600, crit: int = 1500) -> Column:
-    return F.when(stale_s >= crit, "CRIT").when(stale_s >= warn, "WARN").otherwise("OK")
+    return F.when(stale_s >= crit, "CRITICAL").when(stale_s >= warn, "WARN").otherwise("OK")
 
 
 def signal_level(max_power: Column, sweeps: Column, warn: float = -35.0, crit: float = -40.0, least: int = 5) -> Column:
-    return F.when(sweeps < least, "OK").when(max_power < crit, "CRIT").when(max_power < warn, "WARN").otherwise("OK")
+    return F.when(sweeps < least, "OK").when(max_power < crit, "CRITICAL").when(max_power < warn, "WARN").otherwise("OK")

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MIN_TILES, MAX_STD_HZ, OUTLIERS, MIN_OFFSET_HZ, MIN_POWER, FLOOR = 15, 30_000.0, 2, 100_000, -10.0, -30.0
+MIN_TILES, MAX_STD_HZ, OUTLIERS, MIN_OFFSET_HZ, MIN_POWER, FLOOR = 10, 30_000.0, 2, 100_000, -15.0, -30.0
 
 
 def spur_block(offsets: list[float], powers: list[float], min_tiles: int = MIN_TILES) -> dict:
@@ -65,6 +65,27 @@ def emitter(tiles: DataFrame, combs: DataFrame, pad: int = 2, deviate: int = 100
     return combs.join(found, ["sweep_id", "dongle_id"], "left")
 
 
+def depression(cur: DataFrame, baseline: DataFrame, strong: float = -35.0, least: float = 5.0) -> DataFrame:
+    """Of each sweep of cur(sweep_id, dongle_id, hour, freq_hz, power): the median fall of its strong carriers under
+    baseline(hour, dongle_id, freq_hz, mean) of the hour before, or of its own hour where the receiver has none in the
+    hour before; how many bins that took, and whether it fires. Sweeps without such bins are left out."""
+    own = ["dongle_id", "freq_hz"]
+    before = baseline.select(*own, (F.col("hour") + F.expr("INTERVAL 1 HOUR")).alias("hour"), F.col("mean").alias("prior"))
+    there = before.select("dongle_id", "hour").distinct().withColumn("has", F.lit(True))
+    d = cur.join(there, ["dongle_id", "hour"], "left").join(before, [*own, "hour"], "left").join(baseline.select(*own, "hour", "mean"), [*own, "hour"], "left")
+    d = d.withColumn("base", F.when(F.col("has"), F.col("prior")).otherwise(F.col("mean"))).where(F.col("base") >= strong)
+    d = d.groupBy("sweep_id", "dongle_id").agg(F.percentile(F.col("base") - F.col("power"), F.lit(0.5)).alias("depression_db"), F.count("*").alias("bins_sampled"))
+    return d.withColumn("fires", F.col("depression_db") >= least)
+
+
+def clip_flags(health: DataFrame, least: int = 5) -> DataFrame:
+    """health with sig_clip (the worst clip is outside FM and DVB-T) and sig_clip_fm, from `least` clipped captures on."""
+    f = F.coalesce(F.col("worst_clip_freq_hz"), F.lit(0))
+    enough = (F.coalesce(F.col("clipped_captures"), F.lit(0)) >= least) & (f > 0)
+    fm, dvbt = f.between(88_000_000, 108_000_000), f.between(174_000_000, 230_000_000)
+    return health.withColumn("sig_clip", (enough & ~fm & ~dvbt).cast("int")).withColumn("sig_clip_fm", (enough & fm).cast("int"))
+
+
 def tier(*flags: Column) -> Column:
     """none, low, medium or high by the number of flags."""
     n = sum((F.coalesce(x.cast("int"), F.lit(0)) for x in flags), F.lit(0))

@@ -24,9 +24,10 @@ def peaks(bins: DataFrame, least: float = 10.0, side: int = 5) -> DataFrame:
 def transients(bins: DataFrame, order: str, least: float = 15.0, within: tuple[str, ...] = ("dongle_id",)) -> DataFrame:
     """Changes of `least` dB or more against the immediately previous sweep of the same `within`; a
     frequency that the previous sweep lacks gives nothing."""
-    sweeps = Window.partitionBy(*within).orderBy(order)
     own = Window.partitionBy(*within, "freq_hz").orderBy("_i")
-    d = bins.withColumn("_i", F.dense_rank().over(sweeps))
+    # the sweeps, not their bins, are numbered: some thousands of bins share one
+    numbered = bins.select(*within, order).distinct().withColumn("_i", F.row_number().over(Window.partitionBy(*within).orderBy(order)))
+    d = bins.join(numbered, [*within, order]).select(*bins.columns, "_i")
     d = d.withColumn("prev_power", F.when(F.lag("_i").over(own) == F.col("_i") - 1, F.lag("power_dbfs").over(own)))
     delta = F.col("power_dbfs") - F.col("prev_power")
     d = d.where(F.abs(delta) >= least)

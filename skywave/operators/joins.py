@@ -31,8 +31,8 @@ def tolerance_join(points: DataFrame, targets: DataFrame, at: str, center: str,
     return range_join(points, t, at, "_lo", "_hi", width, True, how).drop("_lo", "_hi")
 
 
-def nearest_join(points: DataFrame, targets: DataFrame, at: str, center: str, tolerance: int, key: list[str], order: list[Column] | None = None, strict: bool = True) -> DataFrame:
-    """Each point with its nearest target closer than tolerance (at it too if not strict), ties by
+def nearest_join(points: DataFrame, targets: DataFrame, at: str, center: str, tolerance: int, key: list[str], order: list[Column] | None = None, strict: bool = False) -> DataFrame:
+    """Each point with its nearest target within tolerance (closer than it if strict), ties by
     `order` (the lower center by default); points with none stay, with nulls. key names a point's columns."""
     t = targets.withColumn("_tol", F.lit(tolerance))
     met = tolerance_join(points, t, at, center, "_tol", width=2 * tolerance, how="left")
@@ -42,3 +42,18 @@ def nearest_join(points: DataFrame, targets: DataFrame, at: str, center: str, to
         met = met.select(*points.columns, *[F.when(near, F.col(c)).alias(c) for c in targets.columns])
     best = F.row_number().over(Window.partitionBy(*key).orderBy(gap.asc_nulls_last(), *(order or [F.col(center)])))
     return met.withColumn("_best", best).where("_best = 1").drop("_best", "_tol")
+
+
+def nearest_grid(points: DataFrame, grid: DataFrame, keys: list[str], at: str, center: str, out: str) -> DataFrame:
+    """Each point with the nearest value of its keys' grid, however far, ties to the higher one; null where the keys
+    have no grid. Points and grid are ordered together once: the neighbours on either side decide."""
+    p = points.withColumn("_x", F.col(at)).withColumn("_g", F.lit(None).cast(grid.schema[center].dataType))
+    g = grid.select(*keys, F.col(center).alias("_x"), F.col(center).alias("_g")).distinct()
+    both = p.withColumn("_p", F.lit(True)).unionByName(g.withColumn("_p", F.lit(False)), allowMissingColumns=True)
+    by = Window.partitionBy(*keys).orderBy("_x")
+    low = F.last("_g", ignorenulls=True).over(by.rangeBetween(Window.unboundedPreceding, 0))
+    down = Window.partitionBy(*keys).orderBy(F.desc("_x"))
+    high = F.last("_g", ignorenulls=True).over(down.rangeBetween(Window.unboundedPreceding, 0))
+    both = both.withColumn("_low", low).withColumn("_high", high).where("_p")
+    nearer_low = F.col("_high").isNull() | (F.col(at) - F.col("_low") < F.col("_high") - F.col(at))
+    return both.withColumn(out, F.when(nearer_low, F.col("_low")).otherwise(F.col("_high"))).drop("_x", "_g", "_p", "_low", "_high")

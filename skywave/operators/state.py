@@ -59,3 +59,47 @@ def recode(df: DataFrame, col: str, rules: list[tuple[Column, object]]) -> DataF
     for cond, value in reversed(rules):
         out = F.when(cond, F.lit(value)).otherwise(out)
     return df.withColumn(col, out)
+
+
+def seed_if_empty(table: DataFrame, rows: DataFrame, present: Column) -> DataFrame:
+    """rows if no row of table is `present`, else none: a seed that runs again adds nothing."""
+    any_ = table.where(present).limit(1).select(F.lit(True).alias("_any"))
+    return rows.withColumn("_one", F.lit(True)).join(F.broadcast(any_), F.col("_one") == F.col("_any"), "left_anti").drop("_one")
+
+
+def logged(entries: DataFrame, at: str) -> DataFrame:
+    """Operator log entries as rows of the listening log: the confirmed frequency in Hz is rounded from MHz, an id and the time `at`
+    are filled in; entries without a frequency or class are left out. The id is a hash of the entry, so a repeat gives the same one."""
+    d = entries.where("freq_mhz IS NOT NULL AND class_id IS NOT NULL").withColumn("logged_at", F.lit(at).cast("timestamp_ntz"))
+    d = d.withColumn("confirmed_freq_hz", F.round(F.col("freq_mhz") * 1_000_000).cast("long"))
+    return d.withColumn("id", F.sha2(F.to_json(F.struct(*sorted(d.columns))), 256))
+
+
+def reshaped(df: DataFrame, defaults: dict[str, object] | None = None, rename: dict[str, str] | None = None, types: dict[str, str] | None = None, drop: list[str] | None = None) -> DataFrame:
+    """Changes of a table's columns, in this order: drop, rename, types, then defaults, which add a column or fill its nulls."""
+    d = df.drop(*(drop or [])).withColumnsRenamed(rename or {})
+    d = d.withColumns({c: F.col(c).cast(t) for c, t in (types or {}).items()})
+    return d.withColumns({c: F.coalesce(F.col(c), F.lit(v)) if c in d.columns else F.lit(v) for c, v in (defaults or {}).items()})
+
+
+def conditional(value: str, cond: Column) -> list[Column]:
+    """State columns of a count, and of a sum and mean under a condition."""
+    on = F.when(cond, F.col(value))
+    return [F.count("*").alias("n"), F.count(on).alias("n_if"), F.coalesce(F.sum(on), F.lit(0.0)).alias("s_if")]
+
+
+def merge_conditional(states: DataFrame, keys: list[str], distinct: str) -> DataFrame:
+    """States of conditional() (held by keys, `distinct` and anything else) by keys: n, sum_if, avg_if, and the exact number of
+    distinct values as `<distinct>s`; states of a value are put together first."""
+    one = states.groupBy(*keys, distinct).agg(*[F.sum(c).alias(c) for c in ("n", "n_if", "s_if")])
+    out = one.groupBy(*keys).agg(F.sum("n").alias("n"), F.count(distinct).alias(f"{distinct}s"), F.sum("s_if").alias("sum_if"), F.sum("n_if").alias("_n"))
+    return out.withColumn("avg_if", F.try_divide("sum_if", "_n")).drop("_n")
+
+
+def sketches(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Mergeable sketches of distinct values; merge_sketches() adds them up."""
+    return df.groupBy(*keys).agg(F.hll_sketch_agg(value).alias("sketch"))
+
+
+def merge_sketches(states: DataFrame, keys: list[str]) -> DataFrame:
+    return states.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n"))

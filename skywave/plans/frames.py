@@ -57,7 +57,7 @@ add("f14_json_keys", lambda rel: rel("sensors").select(F.element_at(F.json_objec
 
 
 def _combs(rel) -> DataFrame:
-    return compression.emitter(tiles(rel("bins")), compression.spur_combs(tiles(rel("bins")), min_tiles=3))
+    return compression.emitter(tiles(rel("bins")), compression.spur_combs(tiles(rel("bins"))))
 
 
 add("w8_spur_combs", _combs, None)

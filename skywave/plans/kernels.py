@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import classify as C
 from ..operators import detect as D
-from ..operators import joins, state
-from .dashboards import now, SQL_CLASS, SQL_LATEST, SQL_NOW, SQL_PASSES, class_latest, pass_latest, r, ship_latest
+from ..operators import compression, features, joins, state
+from .dashboards import SQL_CLASS, SQL_LATEST, SQL_NOW, SQL_PASSES, class_latest, now, pass_latest, r, ship_latest, since, sql_since
+from .relations import AS_OF
 
 CATALOGUE: dict[str, tuple] = {}
 SQL_HOUR = "date_trunc('hour', ts) AS hour"
@@ -87,7 +88,7 @@ def _known(rel) -> DataFrame:
     return rel("known_frequencies").select(F.col("freq_hz").alias("k_freq"), F.col("class_id").alias("kf_class"))
 
 
-add("j8_nearest_known", lambda rel: joins.nearest_join(rel("features").select("freq_hz", "dongle_id"), _known(rel), "freq_hz", "k_freq", 2_000_000, ["freq_hz", "dongle_id"]), "SELECT f.freq_hz, f.dongle_id, k.freq_hz AS k_freq, k.class_id AS kf_class FROM features f LEFT JOIN known_frequencies k ON abs(f.freq_hz - k.freq_hz) < 2000000 QUALIFY row_number() OVER (PARTITION BY f.freq_hz, f.dongle_id ORDER BY abs(f.freq_hz - k.freq_hz) NULLS LAST, k.freq_hz) = 1")
+add("j8_nearest_known", lambda rel: joins.nearest_join(rel("features").select("freq_hz", "dongle_id"), _known(rel), "freq_hz", "k_freq", 150_000, ["freq_hz", "dongle_id"]), "SELECT f.freq_hz, f.dongle_id, k.freq_hz AS k_freq, k.class_id AS kf_class FROM features f LEFT JOIN known_frequencies k ON abs(f.freq_hz - k.freq_hz) <= 150000 QUALIFY row_number() OVER (PARTITION BY f.freq_hz, f.dongle_id ORDER BY abs(f.freq_hz - k.freq_hz) NULLS LAST, k.freq_hz) = 1")
 
 
 def _recent_log(rel):
@@ -174,36 +175,32 @@ add("k9_patterns", lambda rel: rel("scans").groupBy("dongle_id").agg(*[F.array(*
 add("k10_duty_pattern", lambda rel: rel("features").select("freq_hz", "dongle_id", C.duty_pattern(F.col("duty_cycle_24h")).alias("pattern")), "SELECT freq_hz, dongle_id, CASE WHEN duty_cycle_24h > 0.5 THEN 'continuous' WHEN duty_cycle_24h >= 0.1 THEN 'bursty_high' ELSE 'bursty_low' END AS pattern FROM features")
 
 
+# the rules as an SQL table of its own, apart from the plan's: class, bandwidth, patterns, least duty, duty, burst, centres, their tolerance, services
+SQL_RULES = """(VALUES
+ ('dvbt_mux', 200000, 999000000, ['continuous'], 0.5, NULL, NULL, NULL, NULL, NULL, 150000, ['dvb_t_gr']),
+ ('broadcast_fm', 200000, 800000, ['continuous', 'bursty_low'], NULL, NULL, NULL, NULL, NULL, NULL, 150000, ['broadcast_fm']),
+ ('am_airband_atis', 200000, 500000, ['continuous', 'bursty_low'], NULL, NULL, NULL, NULL, NULL, NULL, 150000, ['aviation_voice']),
+ ('am_airband_atc', 200000, 500000, ['bursty_low', 'bursty_high'], NULL, 0.02, 0.5, 2, 180, NULL, 150000, ['aviation_voice']),
+ ('nfm_voice_repeater', 200000, 500000, ['bursty_low', 'bursty_high'], NULL, 0.005, 0.4, NULL, NULL, NULL, 150000, ['land_mobile_business', 'land_mobile_safety', 'gov_military_vhf_gr', 'amateur_2m', 'amateur_70cm', 'pmr446']),
+ ('acars_downlink', 3000, 15000, ['bursty_low', 'bursty_high'], NULL, 0.001, 0.3, NULL, NULL, [131525000, 131725000, 131825000], 50000, ['aviation_voice']),
+ ('acars_uplink', 3000, 15000, ['bursty_low', 'bursty_high'], NULL, 0.001, 0.3, NULL, NULL, [131525000, 131725000, 131825000], 50000, ['aviation_voice']),
+ ('marine_vhf_channel', 200000, 500000, ['bursty_low'], NULL, 0.005, 0.2, NULL, NULL, NULL, 150000, ['marine_vhf']),
+ ('ais', 200000, 500000, ['bursty_high', 'continuous'], NULL, NULL, NULL, NULL, NULL, [161975000, 162025000], 150000, ['marine_vhf']),
+ ('tetra', 200000, 500000, ['bursty_high', 'continuous'], NULL, NULL, NULL, NULL, NULL, NULL, 150000, ['tetra_gr']),
+ ('unknown_continuous', 0, 999000000, ['continuous'], 0.5, NULL, NULL, NULL, NULL, NULL, 150000, NULL),
+ ('unknown_bursty', 0, 999000000, ['bursty_low', 'bursty_high'], NULL, NULL, NULL, NULL, NULL, NULL, 150000, NULL))
+ AS e(class_id, bw_lo, bw_hi, patterns, duty_least, duty_lo, duty_hi, burst_lo, burst_hi, near, tol, services)"""
+
+
 def _sql_class() -> str:
-    """Class scores from the evidence values, as one SELECT for each class."""
-    import json
-
-    parts = []
-    for c, text in C.EVIDENCE.items():
-        e = json.loads(text)
-        terms = []
-        cond = lambda s, n: terms.append(f"CASE WHEN {s} THEN {n} ELSE 0 END")  # noqa: B023, E731
-        if "bw_hz" in e:
-            cond(f"bandwidth_hz BETWEEN {e['bw_hz'][0]} AND {e['bw_hz'][1]}", 2)
-        if "duty_pattern" in e:
-            cond("pattern IN (" + ", ".join(f"'{p}'" for p in e["duty_pattern"]) + ")", 2)
-        if "duty_24h_range" in e:
-            cond(f"duty_cycle_24h BETWEEN {e['duty_24h_range'][0]} AND {e['duty_24h_range'][1]}", 1)
-        if "duty_24h_min" in e:
-            cond(f"duty_cycle_24h >= {e['duty_24h_min']}", 1)
-        if "burst_p50_s_range" in e:
-            cond(f"burst_p50_s BETWEEN {e['burst_p50_s_range'][0]} AND {e['burst_p50_s_range'][1]}", 1)
-        if "center_freq_hz_near" in e:
-            cond(" OR ".join(f"abs(freq_hz - {x}) <= {e.get('center_freq_tolerance_hz', 150000)}" for x in e["center_freq_hz_near"]), 3)
-        if e.get("requires_allocation_in"):
-            terms.append("CASE WHEN service IN (" + ", ".join(f"'{p}'" for p in e["requires_allocation_in"]) + ") THEN 2 ELSE -4 END")
-        cond(f"kf_class = '{c}'", 3)
-        if not c.startswith("unknown_"):
-            cond("harmonic_of_hz IS NOT NULL", -3)
-        parts.append(f"SELECT freq_hz, dongle_id, pattern, harmonic_of_hz, '{c}' AS class_id, {' + '.join(terms)} AS score FROM f")
-    near = "SELECT f.*, k.class_id AS kf_class FROM features f LEFT JOIN known_frequencies k ON abs(f.freq_hz - k.freq_hz) < 150000 QUALIFY row_number() OVER (PARTITION BY f.freq_hz, f.dongle_id ORDER BY abs(f.freq_hz - k.freq_hz) NULLS LAST, k.freq_hz) = 1"
+    """Class scores by that table."""
+    near = "SELECT f.*, k.class_id AS kf_class FROM features f LEFT JOIN known_frequencies k ON abs(f.freq_hz - k.freq_hz) <= 150000 QUALIFY row_number() OVER (PARTITION BY f.freq_hz, f.dongle_id ORDER BY abs(f.freq_hz - k.freq_hz) NULLS LAST, k.freq_hz) = 1"
+    score = """CASE WHEN bandwidth_hz BETWEEN bw_lo AND bw_hi THEN 2 ELSE 0 END + CASE WHEN list_contains(patterns, pattern) THEN 2 ELSE 0 END + CASE WHEN duty_cycle_24h BETWEEN duty_lo AND duty_hi THEN 1 ELSE 0 END
+  + CASE WHEN duty_cycle_24h >= duty_least THEN 1 ELSE 0 END + CASE WHEN burst_p50_s BETWEEN burst_lo AND burst_hi THEN 1 ELSE 0 END
+  + CASE WHEN len(list_filter(near, lambda c: abs(freq_hz - c) <= tol)) > 0 THEN 3 ELSE 0 END + CASE WHEN services IS NULL THEN 0 WHEN list_contains(services, service) THEN 2 ELSE -4 END
+  + CASE WHEN kf_class = e.class_id THEN 3 ELSE 0 END - CASE WHEN harmonic_of_hz IS NOT NULL AND e.class_id NOT LIKE 'unknown@_%' ESCAPE '@' THEN 3 ELSE 0 END"""
     return f"""WITH n AS ({near}), f AS (SELECT *, {SQL_SERVICE.format('freq_hz')} AS service, CASE WHEN duty_cycle_24h > 0.5 THEN 'continuous' WHEN duty_cycle_24h >= 0.1 THEN 'bursty_high' ELSE 'bursty_low' END AS pattern FROM n),
- s AS ({' UNION ALL '.join(parts)}), k AS (SELECT *, row_number() OVER w AS rank, coalesce(lead(score) OVER w, -1000) AS second FROM s WINDOW w AS (PARTITION BY freq_hz, dongle_id ORDER BY score DESC, class_id)),
+ s AS (SELECT freq_hz, dongle_id, pattern, harmonic_of_hz, e.class_id, {score} AS score FROM f, {SQL_RULES}), k AS (SELECT *, row_number() OVER w AS rank, coalesce(lead(score) OVER w, -1000) AS second FROM s WINDOW w AS (PARTITION BY freq_hz, dongle_id ORDER BY score DESC, class_id)),
  t AS (SELECT *, CASE WHEN score >= 6 AND score - second >= 2 THEN 0.8 WHEN score >= 4 AND score - second >= 1 THEN 0.6 WHEN score >= 3 THEN 0.4 END AS tier FROM k WHERE rank = 1),
  c AS (SELECT freq_hz, dongle_id, score, harmonic_of_hz, CASE WHEN tier IS NOT NULL THEN class_id WHEN pattern = 'continuous' THEN 'unknown_continuous' ELSE 'unknown_bursty' END AS class_id, coalesce(tier, 0.2) AS confidence FROM t)
  SELECT freq_hz, dongle_id, class_id, CAST(CASE WHEN harmonic_of_hz IS NOT NULL AND class_id NOT LIKE 'unknown@_%' ESCAPE '@' THEN least(confidence, 0.4) ELSE confidence END AS DOUBLE) AS confidence, CAST(score AS DOUBLE) AS score FROM c"""
@@ -224,13 +221,13 @@ add("k13_classifier_health", _health, f"WITH c AS ({SQL_CLASS}) SELECT count(*)
 
 
 def _depression(rel):
-    base = rel("bins").groupBy("freq_hz", "dongle_id").agg(F.avg("power_dbfs").alias("base")).where("base >= -50.03")
-    d = rel("bins").join(base, ["freq_hz", "dongle_id"]).groupBy("sweep_id", "dongle_id").agg(F.percentile(F.col("base") - F.col("power_dbfs"), F.lit(0.5)).alias("m"))
-    return d.select("sweep_id", "dongle_id", r("m", 9).alias("depression_db"), (F.col("m") >= 5.0).alias("fires"))
+    cur = rel("scans").groupBy("sweep_id", "dongle_id", "freq_hz", hour()).agg(F.avg("power_dbfs").alias("power"))
+    base = _baseline(rel).select("hour", "dongle_id", "freq_hz", "mean")
+    return compression.depression(cur, base).withColumn("depression_db", r("depression_db", 6))
 
 
-add("k14_depression", _depression, "WITH b AS (SELECT freq_hz, dongle_id, avg(power_dbfs) AS base FROM bins GROUP BY 1, 2 HAVING avg(power_dbfs) >= -50.03) SELECT sweep_id, c.dongle_id, round(quantile_cont(base - power_dbfs, 0.5), 9) AS depression_db, quantile_cont(base - power_dbfs, 0.5) >= 5.0 AS fires FROM bins c JOIN b ON b.freq_hz = c.freq_hz AND b.dongle_id = c.dongle_id GROUP BY 1, 2")
-add("k15_clip_split", lambda rel: rel("sweep_health").select("sweep_id", "dongle_id", *[((F.col("clipped_captures") >= 5) & (F.col("worst_clip_freq_hz") > 0) & F.col("worst_clip_freq_hz").between(a, b)).cast("int").alias(n) for n, a, b in (("clip_fm", 88_000_000, 108_000_000), ("clip_dvbt", 174_000_000, 230_000_000))]), "SELECT sweep_id, dongle_id, CAST(clipped_captures >= 5 AND worst_clip_freq_hz > 0 AND worst_clip_freq_hz BETWEEN 88000000 AND 108000000 AS INT) AS clip_fm, CAST(clipped_captures >= 5 AND worst_clip_freq_hz > 0 AND worst_clip_freq_hz BETWEEN 174000000 AND 230000000 AS INT) AS clip_dvbt FROM sweep_health")
+add("k14_depression", _depression, f"WITH b AS (SELECT {SQL_HOUR}, dongle_id, freq_hz, avg(power_dbfs) AS m FROM scans GROUP BY 1, 2, 3), c AS (SELECT sweep_id, dongle_id, freq_hz, {SQL_HOUR}, avg(power_dbfs) AS p FROM scans GROUP BY 1, 2, 3, 4), d AS (SELECT c.sweep_id, c.dongle_id, c.p, CASE WHEN EXISTS (SELECT 1 FROM b x WHERE x.dongle_id = c.dongle_id AND x.hour = c.hour - INTERVAL 1 HOUR) THEN l.m ELSE o.m END AS base FROM c LEFT JOIN b l ON l.dongle_id = c.dongle_id AND l.freq_hz = c.freq_hz AND l.hour = c.hour - INTERVAL 1 HOUR LEFT JOIN b o ON o.dongle_id = c.dongle_id AND o.freq_hz = c.freq_hz AND o.hour = c.hour) SELECT sweep_id, dongle_id, round(quantile_cont(base - p, 0.5), 6) AS depression_db, count(*) AS bins_sampled, quantile_cont(base - p, 0.5) >= 5.0 AS fires FROM d WHERE base >= -35 GROUP BY 1, 2")
+add("k15_clip_split", lambda rel: compression.clip_flags(rel("sweep_health")).select("sweep_id", "dongle_id", "sig_clip", "sig_clip_fm"), "SELECT sweep_id, dongle_id, CASE WHEN clipped_captures < 5 OR worst_clip_freq_hz <= 0 THEN 0 WHEN worst_clip_freq_hz BETWEEN 88000000 AND 108000000 OR worst_clip_freq_hz BETWEEN 174000000 AND 230000000 THEN 0 ELSE 1 END AS sig_clip, CASE WHEN clipped_captures >= 5 AND worst_clip_freq_hz BETWEEN 88000000 AND 108000000 THEN 1 ELSE 0 END AS sig_clip_fm FROM sweep_health")
 
 
 def tiles(bins: DataFrame, start: int = 88_000_000, width: int = 2_048_000) -> DataFrame:
@@ -241,27 +238,75 @@ def tiles(bins: DataFrame, start: int = 88_000_000, width: int = 2_048_000) -> D
 
 
 add("k17_tile_offsets", lambda rel: tiles(rel("bins")).withColumn("power", r("power", 9)), "SELECT sweep_id, dongle_id, (freq_hz - 88000000) // 2048000 AS tile, round(max(power_dbfs), 9) AS power, arg_max(freq_hz, (power_dbfs, -freq_hz)) - 88000000 - (freq_hz - 88000000) // 2048000 * 2048000 - 1024000 AS offset_hz FROM bins GROUP BY 1, 2, 3")
-add("k20_promotions", lambda rel: rel("messages").groupBy(F.round(F.col("freq_mhz") * 1e6).cast("long").alias("freq_hz"), "dongle_id").agg(F.count("*").alias("n")).where("n >= 10").withColumn("b", F.row_number().over(Window.partitionBy("freq_hz").orderBy(F.desc("n"), "dongle_id"))).where("b = 1").drop("b"), "SELECT CAST(round(freq_mhz * 1e6) AS BIGINT) AS freq_hz, dongle_id, count(*) AS n FROM messages GROUP BY 1, 2 HAVING count(*) >= 10 QUALIFY row_number() OVER (PARTITION BY CAST(round(freq_mhz * 1e6) AS BIGINT) ORDER BY count(*) DESC, dongle_id) = 1")
+def _promotions(rel):
+    """Frequencies of 10 or more messages in 24 hours by one receiver, the one of most, but those confirmed today."""
+    key = F.round(F.col("freq_mhz") * 1e6).cast("long").alias("freq_hz")
+    d = rel("messages").where(since(24)).groupBy(key, "dongle_id").agg(F.count("*").alias("n"), F.max("ts").alias("last_seen")).where("n >= 10")
+    d = d.withColumn("b", F.row_number().over(Window.partitionBy("freq_hz").orderBy(F.desc("n"), "dongle_id"))).where("b = 1").drop("b")
+    today = F.col("notes").startswith("acars-feedback") & F.col("notes").contains(AS_OF[:10])
+    done = rel("listening_log").where((F.col("class_id") == "acars_downlink") & today).select(key).distinct()
+    return d.join(done, "freq_hz", "left_anti")
+
+
+add("k20_promotions", _promotions, f"SELECT CAST(round(freq_mhz * 1e6) AS BIGINT) AS freq_hz, dongle_id, count(*) AS n, max(ts) AS last_seen FROM messages WHERE {sql_since(24)} AND CAST(round(freq_mhz * 1e6) AS BIGINT) NOT IN (SELECT CAST(round(freq_mhz * 1e6) AS BIGINT) FROM listening_log WHERE class_id = 'acars_downlink' AND notes LIKE 'acars-feedback%{AS_OF[:10]}%') GROUP BY 1, 2 HAVING count(*) >= 10 QUALIFY row_number() OVER (PARTITION BY CAST(round(freq_mhz * 1e6) AS BIGINT) ORDER BY count(*) DESC, dongle_id) = 1")
 
 
 def _freshness(rel):
+    """Expected receivers, a missing one as stale as can be, and others that are fresh."""
     seen = rel("scans").where(F.col("ts") <= now()).groupBy("dongle_id").agg(F.max("ts").alias("last"))
-    expected = seen.sparkSession.createDataFrame([("v3-01",), ("v4-01",), ("v5-01",)], "dongle_id string")
+    expected = seen.sparkSession.createDataFrame([("v3-01", True), ("v5-01", True)], "dongle_id string, expected boolean")
     stale = F.coalesce(S.unit_diff("SECOND", F.col("last"), now()), F.lit(21600))
-    return expected.join(seen, "dongle_id", "left").select("dongle_id", stale.alias("stale_s"), C.freshness(stale).alias("level"))
+    d = expected.join(seen, "dongle_id", "full").withColumn("stale_s", stale)
+    return d.where("expected OR stale_s < 600").select("dongle_id", "stale_s", C.freshness(F.col("stale_s")).alias("level"))
+
+
+add("k21_freshness", _freshness, f"WITH s AS (SELECT dongle_id, date_diff('second', max(ts), {SQL_NOW}) AS stale_s FROM scans WHERE ts <= {SQL_NOW} GROUP BY 1), x AS (SELECT dongle_id, stale_s FROM s WHERE dongle_id NOT IN ('v3-01', 'v5-01') AND stale_s < 600 UNION ALL SELECT e.d, coalesce(stale_s, 21600) FROM (VALUES ('v3-01'), ('v5-01')) AS e(d) LEFT JOIN s ON s.dongle_id = e.d) SELECT dongle_id, stale_s, CASE WHEN stale_s >= 1500 THEN 'CRITICAL' WHEN stale_s >= 600 THEN 'WARN' ELSE 'OK' END AS level FROM x")
+
+
+def _quality(rel):
+    """The strongest sweep of each expected receiver in the window (an hour as given; here ten days, as sweeps are sparse)."""
+    d = rel("sweep_health").where(since(240) & (F.col("preset") == "full")).groupBy("dongle_id").agg(F.max("max_power").alias("power"), F.count("*").alias("sweeps"))
+    expected = d.sparkSession.createDataFrame([("v3-01",), ("v4-01",), ("v5-01",)], "dongle_id string")
+    d = expected.join(d, "dongle_id", "left").withColumn("sweeps", F.coalesce("sweeps", F.lit(0)))
+    return d.select("dongle_id", "power", "sweeps", C.signal_level(F.col("power"), F.col("sweeps")).alias("level"))
+
+
+add("k22_signal_quality", _quality, f"WITH q AS (SELECT dongle_id, max(max_power) AS power, count(*) AS sweeps FROM sweep_health WHERE {sql_since(240)} AND preset = 'full' GROUP BY 1) SELECT e.d AS dongle_id, power, coalesce(sweeps, 0) AS sweeps, CASE WHEN coalesce(sweeps, 0) < 5 THEN 'OK' WHEN power < -40 THEN 'CRITICAL' WHEN power < -35 THEN 'WARN' ELSE 'OK' END AS level FROM (VALUES ('v3-01'), ('v4-01'), ('v5-01')) AS e(d) LEFT JOIN q ON q.dongle_id = e.d")
+
+
+def _series(rel) -> DataFrame:
+    return rel("scans").select("freq_hz", "dongle_id", "ts", "power_dbfs", "sweep_id")
+
+
+# full hours as given: 1 h, 24 h, 7 d and 14 d up to AS_OF
+_W = lambda h: f"ts >= {SQL_NOW} - INTERVAL {h} HOUR"
+_duty = lambda h: f"round(coalesce(avg(CASE WHEN power_dbfs > t THEN 1e0 ELSE 0e0 END) FILTER (WHERE {_W(h)}), 0e0), 4)"
+_ON = f"FILTER (WHERE power_dbfs > t AND {_W(24)})"
+SQL_PEAK_FEATURES = f"""WITH bad AS (SELECT DISTINCT sweep_id FROM sweep_health WHERE clipped_captures > 6), s AS (SELECT freq_hz, dongle_id, ts, power_dbfs FROM scans WHERE ts <= {SQL_NOW} AND {_W(336)} AND sweep_id NOT IN (SELECT sweep_id FROM bad)),
+ b AS (SELECT freq_hz, dongle_id, quantile_cont(power_dbfs, 0.1) AS base, quantile_cont(power_dbfs, 0.1) + 6 AS t FROM s WHERE {_W(24)} GROUP BY 1, 2), j AS (SELECT s.*, base, t FROM s JOIN b ON b.freq_hz = s.freq_hz AND b.dongle_id = s.dongle_id)
+ SELECT freq_hz, dongle_id, {_duty(1)} AS duty_cycle_1h, {_duty(24)} AS duty_cycle_24h, {_duty(168)} AS duty_cycle_7d, round(coalesce(avg(power_dbfs) {_ON}, any_value(base)), 6) AS power_mean_dbfs,
+ round(coalesce(quantile_cont(power_dbfs, 0.95) {_ON}, any_value(base)), 6) AS power_p95_dbfs, round(coalesce(stddev_pop(power_dbfs) {_ON}, 0), 5) AS power_std_db, count(*) FILTER (WHERE {_W(24)}) AS sweeps_observed_24h FROM j GROUP BY 1, 2"""
+
+
+def _suspect(rel) -> DataFrame:
+    return rel("sweep_health").where("clipped_captures > 6").select("sweep_id").distinct()
+
+
+def peak_features_of(rel) -> DataFrame:
+    return features.peak_features(_series(rel), now(), suspect=_suspect(rel))
 
 
-add("k21_freshness", _freshness, f"WITH s AS (SELECT dongle_id, max(ts) AS last FROM scans WHERE ts <= {SQL_NOW} GROUP BY 1), x AS (SELECT e.d AS dongle_id, coalesce(date_diff('second', last, {SQL_NOW}), 21600) AS stale_s FROM (VALUES ('v3-01'), ('v4-01'), ('v5-01')) AS e(d) LEFT JOIN s ON s.dongle_id = e.d) SELECT dongle_id, stale_s, CASE WHEN stale_s >= 1500 THEN 'CRIT' WHEN stale_s >= 600 THEN 'WARN' ELSE 'OK' END AS level FROM x")
-add("k22_signal_quality", lambda rel: rel("sweep_health").groupBy("dongle_id").agg(r(F.avg("max_power"), 4).alias("power"), F.count("*").alias("sweeps")).withColumn("level", C.signal_level(F.col("power"), F.col("sweeps"), 40.0, 20.0)), "SELECT dongle_id, round(avg(max_power), 4) AS power, count(*) AS sweeps, CASE WHEN count(*) < 5 THEN 'OK' WHEN round(avg(max_power), 4) < 20 THEN 'CRIT' WHEN round(avg(max_power), 4) < 40 THEN 'WARN' ELSE 'OK' END AS level FROM sweep_health GROUP BY 1")
+_SHOWN = ["freq_hz", "dongle_id", "duty_cycle_1h", "duty_cycle_24h", "duty_cycle_7d", "sweeps_observed_24h"]
+add("k9_peak_features", lambda rel: peak_features_of(rel).select(*_SHOWN, r("power_mean_dbfs", 6).alias("power_mean_dbfs"), r("power_p95_dbfs", 6).alias("power_p95_dbfs"), r("power_std_db", 5).alias("power_std_db")), SQL_PEAK_FEATURES)
 
 
 def _emergence(rel):
-    since = lambda h: F.avg(F.when(F.col("ts") > now() - F.expr(f"INTERVAL {h} HOURS"), (F.col("power_dbfs") > 0).cast("int")))
-    d = rel("scans").where(F.col("ts") <= now()).groupBy("freq_hz", "dongle_id").agg(since(48).alias("near"), since(480).alias("far"))
-    return d.where("near > 0.3 AND far < 0.3").select("freq_hz", "dongle_id", r("near", 4).alias("near"), r("far", 4).alias("far"))
+    """Bins silent for a week that are active now, of no known class."""
+    base = rel("scans").where((F.col("ts") <= now() - F.expr("INTERVAL 24 HOURS"))).groupBy("freq_hz", "dongle_id").agg(F.avg("power_dbfs").alias("quiet"))
+    return features.emergence(peak_features_of(rel), class_latest(rel), base).select("freq_hz", "dongle_id", "duty_cycle_1h", "duty_cycle_24h", "duty_cycle_7d")
 
 
-add("k23_emergence", _emergence, f"WITH d AS (SELECT freq_hz, dongle_id, avg(CASE WHEN ts > {SQL_NOW} - INTERVAL 48 HOUR THEN CASE WHEN power_dbfs > 0 THEN 1e0 ELSE 0e0 END END) AS near, avg(CASE WHEN ts > {SQL_NOW} - INTERVAL 480 HOUR THEN CASE WHEN power_dbfs > 0 THEN 1e0 ELSE 0e0 END END) AS far FROM scans WHERE ts <= {SQL_NOW} GROUP BY 1, 2) SELECT freq_hz, dongle_id, round(near, 4) AS near, round(far, 4) AS far FROM d WHERE near > 0.3 AND far < 0.3")
+add("k23_emergence", _emergence, f"SELECT f.freq_hz, f.dongle_id, duty_cycle_1h, duty_cycle_24h, duty_cycle_7d FROM ({SQL_PEAK_FEATURES}) f JOIN ({SQL_CLASS}) c ON c.freq_hz = f.freq_hz AND c.dongle_id = f.dongle_id JOIN (SELECT freq_hz, dongle_id, avg(power_dbfs) AS quiet FROM scans WHERE ts <= {SQL_NOW} - INTERVAL 24 HOUR GROUP BY 1, 2) q ON q.freq_hz = f.freq_hz AND q.dongle_id = f.dongle_id WHERE duty_cycle_1h > 0.1 AND duty_cycle_7d < 0.02 AND duty_cycle_24h > 0.05 AND power_p95_dbfs > quiet + 10 AND class_id IN ('unknown_bursty', 'unknown_continuous')")
 
 
 def _lonely(rel):

@@ -19,11 +19,12 @@ DEFAULT_DONGLE = "v3-01"
 def scanner_lines(df: DataFrame) -> DataFrame:
     """Scanner messages with their route: the marker that is true, `bin` without one. The dongle has a
     default; a missing time comes from the part of sweep_id after its first colon. Other text is dropped."""
-    j = F.from_json("line", SCANNER)
+    # parsed once: an array of one element that is exploded is not pulled apart into a parser for each field
+    j = F.array(F.from_json("line", SCANNER))
     route = F.lit("bin")
     for m in reversed(MARKERS):
         route = F.when(F.coalesce(F.col(f"j.{m}"), F.lit(False)), m).otherwise(route)
-    d = df.where(F.trim("line").startswith("{")).withColumn("j", j).where("j IS NOT NULL").withColumn("route", route)
+    d = df.where(F.trim("line").startswith("{")).select(F.explode(j).alias("j")).where("j IS NOT NULL").withColumn("route", route)
     d = d.where("route <> 'bin' OR (j.freq_hz IS NOT NULL AND j.power_dbfs IS NOT NULL)").select("route", "j.*").drop(*MARKERS)
     from_sweep = F.regexp_extract("sweep_id", r"^[^:]*:(.*)$", 1)
     ts = F.coalesce(F.nullif("timestamp", F.lit("")), F.nullif(from_sweep, F.lit("")))
@@ -168,13 +169,18 @@ def assemble(parts: DataFrame, order: str, timeout_s: int = 30) -> DataFrame:
     message, its later ones follow within timeout_s; orphans, stale and restarted ones are dropped.
     The fill bits are the last fragment's."""
     single = parts.where("count = 1").select(order, "payload", "fill")
-    by = Window.partitionBy("count", "msg_id", "channel").orderBy(order)
-    d = parts.where("count > 1").withColumn("opened", F.sum(F.when(F.col("num") == 1, 1).otherwise(0)).over(by)).where("opened > 0")
+    # by the hour: what follows an hour within timeout_s is in that hour's group too, and a group yields the messages
+    # that its own hour opens, so that no group holds the history of a key
+    at = F.floor(F.col(order) / 3600).cast("long")
+    d = parts.where("count > 1").withColumn("cell", at)
+    d = d.withColumn("cell", F.explode(F.when(F.col(order) - at * 3600 <= timeout_s, F.array(at, at - 1)).otherwise(F.array(at))))
+    by = Window.partitionBy("count", "msg_id", "channel", "cell").orderBy(order)
+    d = d.withColumn("opened", F.sum(F.when(F.col("num") == 1, 1).otherwise(0)).over(by)).where("opened > 0")
     frag = F.struct(order, "num", "payload", "fill")
-    g = d.groupBy("count", "msg_id", "channel", "opened").agg(F.sort_array(F.collect_list(frag)).alias("p"))  # a message has 9 fragments at most
+    g = d.groupBy("count", "msg_id", "channel", "cell", "opened").agg(F.sort_array(F.collect_list(frag)).alias("p"))  # a message has 9 fragments at most
     head = F.slice("p", 1, F.col("count"))
     whole = (F.size(head) == F.col("count")) & (F.element_at(head, -1)[order] - F.element_at(head, 1)[order] <= timeout_s) & (F.element_at(head, -1)["num"] == F.col("count"))
-    g = g.where(whole).select(F.element_at(head, -1)[order].alias(order), F.array_join(F.transform(head, lambda x: x.payload), "").alias("payload"), F.element_at(head, -1).fill.alias("fill"))
+    g = g.where(whole & (F.floor(F.element_at(head, 1)[order] / 3600) == F.col("cell"))).select(F.element_at(head, -1)[order].alias(order), F.array_join(F.transform(head, lambda x: x.payload), "").alias("payload"), F.element_at(head, -1).fill.alias("fill"))
     return single.unionByName(g)
 
 

@@ -38,6 +38,24 @@ def as_json_lines(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct("*")).alias("value"))
 
 
+def as_vertical(df: DataFrame) -> DataFrame:
+    """One column `value`: each row as lines `name: value`."""
+    cells = [F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit("NULL"))) for c in df.columns]
+    return df.select(F.concat_ws("\n", *cells).alias("value"))
+
+
 def rebuild(spark: SparkSession, source: str, target: str, change) -> None:
     """Writes change(source) to a new path beside target's old one and leaves the old one alone."""
     change(spark.read.parquet(source)).write.mode("errorifexists").parquet(target)
+
+
+def swap(spark: SparkSession, table: str, change) -> None:
+    """Rebuilds a catalogue table: change(table) is written as a new one, the names are changed over, the old one goes
+    last, so that a run that fails on the way leaves a whole table under one of the names."""
+    new, old = f"{table}_new", f"{table}_old"
+    spark.sql(f"DROP TABLE IF EXISTS {new}")
+    change(spark.table(table)).write.saveAsTable(new)
+    spark.sql(f"DROP TABLE IF EXISTS {old}")
+    spark.sql(f"ALTER TABLE {table} RENAME TO {old}")
+    spark.sql(f"ALTER TABLE {new} RENAME TO {table}")
+    spark.sql(f"DROP TABLE {old}")

@@ -57,12 +57,10 @@ def upsert(stream: DataFrame, path: Callable[[int], str], checkpoint: str):
     return stream.writeStream.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(path(i))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-_PART = "at double, count int, num int, msg_id string, channel string, payload string, fill int"
-
-
-def assembled(parts: DataFrame, timeout_s: int = 30) -> DataFrame:
+def assembled(parts: DataFrame, timeout_s: int = 30, late: str = "1 minute") -> DataFrame:
     """Whole payloads of fragments (at: arrival in seconds, and nmea_fields()), messages of one sentence as
-    they come, others with one open message a key as state; an idle key's state goes after the timeout."""
+    they come, others with one open message a key as state. Time is that of the fragments: an open message goes when the
+    watermark passes its timeout, so results do not depend on the clock, and a stream that has ended stops."""
 
     def run(key, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
@@ -78,16 +76,19 @@ def assembled(parts: DataFrame, timeout_s: int = 30) -> DataFrame:
                 got.append(d.payload)
             else:
                 got = []
-            if got and len(got) == d.count and d.num == d.count:
-                out.append((d.at, "".join(got), d.fill))
+            if len(got) == d.count:
+                if d.num == d.count:
+                    out.append((d.at, "".join(got), d.fill))
                 got = []
         if got:
             held.update((opened, ",".join(got)))
-            held.setTimeoutDuration(timeout_s * 1000)
+            held.setTimeoutTimestamp(max(int((opened + 1 + timeout_s) * 1000), held.getCurrentWatermarkMs()) + 1)
         elif held.exists:
             held.remove()
         yield pd.DataFrame(out, columns=["at", "payload", "fill"])
 
+    # a second is added, as Spark takes a row of the epoch itself for late before the first watermark
+    parts = parts.withColumn("seen", F.timestamp_seconds(F.col("at") + 1)).withWatermark("seen", late)
     single = parts.where("count = 1").select("at", "payload", "fill")
-    whole = parts.where("count > 1").groupBy("count", "msg_id", "channel").applyInPandasWithState(run, "at double, payload string, fill int", "opened double, texts string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    whole = parts.where("count > 1").groupBy("count", "msg_id", "channel").applyInPandasWithState(run, "at double, payload string, fill int", "opened double, texts string", "append", GroupStateTimeout.EventTimeTimeout)
     return single.unionByName(whole)

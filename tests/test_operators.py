@@ -1,7 +1,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from skywave.operators import classify, compression, detect, joins, state
+from skywave.operators import classify, compression, detect, features, joins, state
+from skywave.sources import tables
 
 
 def bins(spark, powers, sweep="s1", dongle="d"):
@@ -64,9 +65,103 @@ def test_nearest_join_ties_and_bounds(spark):
     p = spark.createDataFrame([(100,), (500,), (1000,)], "x long")
     t = spark.createDataFrame([(90, "low"), (110, "high"), (550, "edge")], "c long, name string")
     got = {r.x: r.name for r in joins.nearest_join(p, t, "x", "c", 50, ["x"]).collect()}
+    assert got == {100: "low", 500: "edge", 1000: None}
+    got = {r.x: r.name for r in joins.nearest_join(p, t, "x", "c", 50, ["x"], strict=True).collect()}
     assert got == {100: "low", 500: None, 1000: None}
 
 
+def test_nearest_grid_ties_go_up(spark):
+    p = spark.createDataFrame([(x, k) for k in ("a", "b") for x in (0, 150, 149, 300, 900)], "f long, k string")
+    g = spark.createDataFrame([(100, "a"), (200, "a"), (400, "a")], "g long, k string")
+    got = {(r.f, r.k): r.bin for r in joins.nearest_grid(p, g, ["k"], "f", "g", "bin").collect()}
+    assert [got[x, "a"] for x in (0, 149, 150, 300, 900)] == [100, 100, 200, 400, 400] and all(got[x, "b"] is None for x in (0, 900))
+
+
+def test_depression_takes_the_hour_before_and_strong_bins(spark):
+    import datetime
+
+    h = lambda n: datetime.datetime(2024, 1, 1, n)
+    base = [("a", 1, h(0), -35.0), ("a", 2, h(0), -35.01), ("a", 3, h(0), -20.0), ("a", 1, h(1), 0.0), ("b", 1, h(1), -10.0)]
+    cur = [("s", "a", h(1), 1, -40.0), ("s", "a", h(1), 2, -90.0), ("s", "a", h(1), 3, -25.0), ("t", "b", h(1), 1, -14.99)]
+    d = compression.depression(spark.createDataFrame(cur, "sweep_id string, dongle_id string, hour timestamp_ntz, freq_hz long, power double"), spark.createDataFrame(base, "dongle_id string, freq_hz long, hour timestamp_ntz, mean double"))
+    assert sorted((r.sweep_id, round(r.depression_db, 6), r.bins_sampled, r.fires) for r in d.collect()) == [("s", 5.0, 2, True), ("t", 4.99, 1, False)]
+
+
+def test_clip_flags_at_their_bounds(spark):
+    rows = [(5, 88_000_000, 0, 1), (5, 108_000_001, 1, 0), (4, 300_000_000, 0, 0), (5, 174_000_000, 0, 0), (9, 230_000_001, 1, 0), (9, 0, 0, 0), (None, None, 0, 0)]
+    d = spark.createDataFrame(rows, "clipped_captures int, worst_clip_freq_hz long, a int, b int")
+    assert all((r.sig_clip, r.sig_clip_fm) == (r.a, r.b) for r in compression.clip_flags(d).collect())
+
+
+def test_spur_block_on_the_given_bounds():
+    comb = lambda n, p=-10.0: compression.spur_block([300_000] * n + [0], [p] * n + [-60.0])
+    assert comb(10)["sig"] == 1 and comb(9)["sig"] == 0 and comb(10, -15.0)["sig"] == 1 and comb(10, -15.01)["sig"] == 0
+
+
+def test_signal_levels_at_their_bounds(spark):
+    d = spark.createDataFrame([(-35.0, 5, "OK"), (-35.1, 5, "WARN"), (-40.0, 5, "WARN"), (-40.1, 5, "CRITICAL"), (-99.0, 4, "OK")], "p double, n int, want string")
+    assert all(r.got == r.want for r in d.withColumn("got", classify.signal_level(F.col("p"), F.col("n"))).collect())
+
+
+def test_emergence_at_its_bounds(spark):
+    rows = [(1, 0.11, 0.06, 0.019, -20.0), (2, 0.1, 0.06, 0.019, -20.0), (3, 0.11, 0.05, 0.019, -20.0), (4, 0.11, 0.06, 0.02, -20.0), (5, 0.11, 0.06, 0.019, -30.0), (6, 0.11, 0.06, 0.019, -20.0)]
+    f = spark.createDataFrame([(a, "v", *x) for a, *x in rows], "freq_hz long, dongle_id string, duty_cycle_1h double, duty_cycle_24h double, duty_cycle_7d double, power_p95_dbfs double")
+    c = spark.createDataFrame([(a, "v", "ais" if a == 6 else "unknown_bursty") for a, *_ in rows], "freq_hz long, dongle_id string, class_id string")
+    q = spark.createDataFrame([(a, "v", -40.0) for a, *_ in rows], "freq_hz long, dongle_id string, quiet double")
+    assert [r.freq_hz for r in features.emergence(f, c, q).collect()] == [1]
+
+
+def test_peak_features_of_one_bin(spark):
+    """Against numpy: six hours of samples every five minutes, three bursts of several samples and one of one."""
+    import datetime
+
+    now = datetime.datetime(2024, 1, 20, 12)
+    power = [-60.0] * 72
+    for a, b in ((3, 6), (10, 11), (20, 24), (40, 46)):
+        power[a:b] = [-30.0 - k for k in range(b - a)]
+    rows = [(1, "v", now - datetime.timedelta(minutes=5 * k), p, "s") for k, p in enumerate(reversed(power))] + [(1, "v", now, 0.0, "bad"), (2, "v", now - datetime.timedelta(days=2), 0.0, "s")]
+    d = spark.createDataFrame(rows, "freq_hz long, dongle_id string, ts timestamp_ntz, power_dbfs double, sweep_id string")
+    (r,) = features.peak_features(d, F.lit(now).cast("timestamp_ntz"), spark.createDataFrame([("bad",)], "sweep_id string")).collect()
+    on = np.array([p for p in power if p > -54])
+    assert (r.duty_cycle_24h, r.duty_cycle_1h, r.sweeps_observed_24h) == (round(14 / 72, 4), 0.0, 72)
+    assert (round(r.power_mean_dbfs, 9), round(r.power_std_db, 9), round(r.power_p95_dbfs, 9)) == (round(on.mean(), 9), round(on.std(), 9), round(np.percentile(on, 95), 9))
+    assert (r.burst_p50_s, r.burst_p95_s) == (1200.0, round(np.percentile([900, 1200, 1800], 95), 2)) and len(r.diurnal_pattern) == 24 and r.weekday_pattern[5] == r.duty_cycle_24h
+
+
+def test_evidence_is_read_from_a_table(spark):
+    t = spark.createDataFrame([("a", '{"bw_hz":[1,2]}'), (None, "{}")], "class_id string, evidence_rules string")
+    assert classify.evidence_table(t) == {"a": '{"bw_hz":[1,2]}'} and len(classify.EVIDENCE) == 12
+
+
+def test_seeds_logs_and_columns(spark, tmp_path):
+    t, new = spark.createDataFrame([(1, "x")], "k int, v string"), spark.createDataFrame([(2, "y")], "k int, v string")
+    assert state.seed_if_empty(t, new, F.col("k") == 1).count() == 0 and state.seed_if_empty(t, new, F.col("k") == 2).count() == 1
+    log = state.logged(spark.createDataFrame([(131.5254, "ais"), (None, "ais"), (1.0, None)], "freq_mhz double, class_id string"), "2024-01-01 00:00:00").collect()
+    assert [(r.confirmed_freq_hz, len(r.id)) for r in log] == [(131_525_400, 64)]
+    d = state.reshaped(t, defaults={"v": "z", "w": 0}, rename={"k": "key"}, types={"key": "long"})
+    assert d.dtypes == [("key", "bigint"), ("v", "string"), ("w", "int")]
+    a, b = (spark.createDataFrame([("k", str(i)) for i in range(lo, lo + 60)], "k string, v string") for lo in (0, 30))
+    n = state.merge_sketches(state.sketches(a, ["k"], "v").unionByName(state.sketches(b, ["k"], "v")), ["k"]).first().n
+    assert abs(n - 90) <= 3
+
+
+def test_tables_are_written_read_exported_and_rebuilt(spark, tmp_path):
+    import datetime
+
+    rows = [(datetime.datetime(2024, 1, 1 + i % 3, i), i) for i in range(9)]
+    d = spark.createDataFrame(rows, "ts timestamp_ntz, n int")
+    tables.write_facts(d, str(tmp_path / "facts"), "ts", ["n"])
+    got = tables.read_facts(spark, str(tmp_path / "facts"), "ts", "2024-01-02 00:00:00", "2024-01-02 04:00:00")
+    assert sorted(r.n for r in got.collect()) == [1, 4] and "PartitionFilters: [isnotnull(date" in got._jdf.queryExecution().toString()
+    counts = {r.name: r["rows"] for r in tables.export_csv({"a": d, "b": d.limit(2)}, str(tmp_path / "csv")).collect()}
+    assert counts == {"a": 9, "b": 2} and spark.read.option("header", True).csv(str(tmp_path / "csv/a")).count() == 9
+    tables.export_tsv(d, str(tmp_path / "tsv"))
+    assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "tsv")).columns == ["ts", "n"]
+    assert tables.as_vertical(d.where("n = 0")).first().value == "ts: 2024-01-01 00:00:00\nn: 0"
+    tables.rebuild(spark, str(tmp_path / "facts"), str(tmp_path / "new"), lambda x: x.where("n > 4"))
+    assert spark.read.parquet(str(tmp_path / "new")).count() == 4
+
+
 def test_states_add_up(spark):
     d = spark.createDataFrame([(1, float(x)) for x in range(10)], "k int, v double")
     parts = d.where("v < 3").groupBy("k").agg(*state.partials("v")).unionByName(d.where("v >= 3").groupBy("k").agg(*state.partials("v")))
