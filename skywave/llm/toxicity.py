@@ -35,8 +35,8 @@ MAX_ROWS = 12_288
 MAX_BYTES = 256_000_000
 SHARDS = 1
 DIMS_LOG2 = 20
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 3.0, 0.1
+EPOCHS = 2
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 5.0, 0.1
 THRESHOLD = 0.3
 _PRE = (4, 5, 6)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
