@@ -116,8 +116,8 @@ per_minutes("q_ad6", "positions", 1, 48, lambda: F.count("*"), "count(*)")
 rows("q_ad7", "positions", "event_id; altitude", f"ts <= '{AS_OF}' AND altitude > 0 AND altitude < 50000", "event_id")
 add(
     "q_ad8",
-    lambda rel: rel("positions").where(since(48)).where("callsign <> ''").groupBy("hex_ident").agg(F.max_by("callsign", "ts").alias("callsign"), F.max("altitude").alias("max_alt_ft"), r(F.avg("ground_speed"), 0).alias("avg_speed_kts"), F.count("*").alias("msgs"), F.max("ts").alias("last_seen")).orderBy(F.desc("last_seen")).limit(20),
-    f"SELECT hex_ident, arg_max(callsign, ts) AS callsign, max(altitude) AS max_alt_ft, round(avg(ground_speed), 0) AS avg_speed_kts, count(*) AS msgs, max(ts) AS last_seen FROM positions WHERE {sql_since(48)} AND callsign <> '' GROUP BY 1 ORDER BY last_seen DESC LIMIT 20",
+    lambda rel: rel("positions").where(since(48)).where("callsign <> ''").groupBy("hex_ident").agg(F.max_by("callsign", "ts").alias("callsign"), F.max("altitude").alias("max_alt_ft"), r(F.avg("ground_speed"), 0).alias("avg_speed_kts"), F.count("*").alias("msgs"), F.max("ts").alias("last_seen")).orderBy(F.desc("last_seen"), "hex_ident").limit(20),
+    f"SELECT hex_ident, arg_max(callsign, ts) AS callsign, max(altitude) AS max_alt_ft, round(avg(ground_speed), 0) AS avg_speed_kts, count(*) AS msgs, max(ts) AS last_seen FROM positions WHERE {sql_since(48)} AND callsign <> '' GROUP BY 1 ORDER BY last_seen DESC, hex_ident LIMIT 20",
 )
 
 
@@ -179,10 +179,10 @@ def _recent_ships(rel):
     seen = rel("ships").where(since(48)).groupBy("mmsi").agg(*[F.max_by(c, "ts").alias(c) for c in ("speed", "course", "lat", "lon")], F.count("*").alias("msgs"), F.max("ts").alias("last_seen"))
     names = ship_latest(rel).select("mmsi", F.col("ship_name").alias("name"), "callsign", "ship_type")
     out = seen.join(names, "mmsi", "left").withColumn("type", ship_type(F.coalesce("ship_type", F.lit(0)), F.lit("")))
-    return out.select("mmsi", "name", "callsign", "type", r("speed", 1).alias("speed_kts"), r("course", 0).alias("course_deg"), r("lat", 8).alias("lat"), r("lon", 8).alias("lon"), "msgs", "last_seen").orderBy(F.desc("last_seen")).limit(20)
+    return out.select("mmsi", "name", "callsign", "type", r("speed", 1).alias("speed_kts"), r("course", 0).alias("course_deg"), r("lat", 8).alias("lat"), r("lon", 8).alias("lon"), "msgs", "last_seen").orderBy(F.desc("last_seen"), "mmsi").limit(20)
 
 
-add("q_ai8", _recent_ships, f"WITH l AS ({SQL_LATEST}), s AS (SELECT mmsi, arg_max_null(speed, ts) AS speed, arg_max_null(course, ts) AS course, arg_max_null(lat, ts) AS lat, arg_max_null(lon, ts) AS lon, count(*) AS msgs, max(ts) AS last_seen FROM ships WHERE {sql_since(48)} GROUP BY 1) SELECT s.mmsi, l.ship_name AS name, l.callsign, coalesce(type_name, '') AS type, round(s.speed, 1) AS speed_kts, round(s.course, 0) AS course_deg, round(s.lat, 8) AS lat, round(s.lon, 8) AS lon, msgs, s.last_seen FROM s LEFT JOIN l ON s.mmsi = l.mmsi LEFT JOIN {SQL_TYPES} ON code = coalesce(l.ship_type, 0) ORDER BY s.last_seen DESC LIMIT 20")
+add("q_ai8", _recent_ships, f"WITH l AS ({SQL_LATEST}), s AS (SELECT mmsi, arg_max_null(speed, ts) AS speed, arg_max_null(course, ts) AS course, arg_max_null(lat, ts) AS lat, arg_max_null(lon, ts) AS lon, count(*) AS msgs, max(ts) AS last_seen FROM ships WHERE {sql_since(48)} GROUP BY 1) SELECT s.mmsi, l.ship_name AS name, l.callsign, coalesce(type_name, '') AS type, round(s.speed, 1) AS speed_kts, round(s.course, 0) AS course_deg, round(s.lat, 8) AS lat, round(s.lon, 8) AS lon, msgs, s.last_seen FROM s LEFT JOIN l ON s.mmsi = l.mmsi LEFT JOIN {SQL_TYPES} ON code = coalesce(l.ship_type, 0) ORDER BY s.last_seen DESC, s.mmsi LIMIT 20")
 rows("q_ai9", "ships", "event_id; speed", f"ts <= '{AS_OF}' AND speed > 0 AND speed < 50", "event_id")
 
 
@@ -331,10 +331,10 @@ add("q_lp4", lambda rel: rel("scans").where(since(48)).groupBy(S.bucket(F.col("t
 def _bursts(rel):
     e = rel("transients").where(since(48)).where("event_type = 'appeared'")
     names = named(e.select("freq_hz").distinct(), rel, ["freq_hz"])
-    return e.join(F.broadcast(names), "freq_hz", "left").select("ts", r(F.col("freq_hz") / 1e6, 2).alias("freq_mhz"), r("power_dbfs", 1).alias("power"), r("prev_power", 1).alias("was"), r("delta_db", 1).alias("jump_db"), F.coalesce("kf_name", F.lit("Unknown")).alias("signal_name")).orderBy(F.desc("ts")).limit(15)
+    return e.join(F.broadcast(names), "freq_hz", "left").select("ts", r(F.col("freq_hz") / 1e6, 2).alias("freq_mhz"), r("power_dbfs", 1).alias("power"), r("prev_power", 1).alias("was"), r("delta_db", 1).alias("jump_db"), F.coalesce("kf_name", F.lit("Unknown")).alias("signal_name")).orderBy(F.desc("ts"), "freq_mhz", "power").limit(15)
 
 
-add("q_lp5", _bursts, f"WITH m AS (SELECT s.freq_hz, max(k.name) AS kf_name FROM transients s, known_frequencies k WHERE {SQL_NEAR} GROUP BY 1) SELECT ts, round(e.freq_hz / 1e6, 2) AS freq_mhz, round(power_dbfs, 1) AS power, round(prev_power, 1) AS was, round(delta_db, 1) AS jump_db, coalesce(kf_name, 'Unknown') AS signal_name FROM transients e LEFT JOIN m ON m.freq_hz = e.freq_hz WHERE event_type = 'appeared' AND {sql_since(48)} ORDER BY ts DESC LIMIT 15")
+add("q_lp5", _bursts, f"WITH m AS (SELECT s.freq_hz, max(k.name) AS kf_name FROM transients s, known_frequencies k WHERE {SQL_NEAR} GROUP BY 1) SELECT ts, round(e.freq_hz / 1e6, 2) AS freq_mhz, round(power_dbfs, 1) AS power, round(prev_power, 1) AS was, round(delta_db, 1) AS jump_db, coalesce(kf_name, 'Unknown') AS signal_name FROM transients e LEFT JOIN m ON m.freq_hz = e.freq_hz WHERE event_type = 'appeared' AND {sql_since(48)} ORDER BY ts DESC, freq_mhz, power LIMIT 15")
 
 
 def _level(rel, signal: str, lo: int, hi: int, floor: float) -> DataFrame:
