@@ -1,5 +1,6 @@
 import pytest
 
+from skywave.operators import joins
 from skywave.plans import catalogue, relations
 
 
@@ -28,11 +29,16 @@ def test_known_frequencies_are_all_parts(spark, small):
 
 def test_nearest_known_and_best_in_tolerance_reach_the_whole_band(spark, small):
     known = sorted(frequencies(spark, small))
-    got = catalogue.queries()["j8_nearest_known"](spark, small).collect()
-    for r in got:
-        near = [k for k in known if abs(k - r.freq_hz) < 2_000_000]
-        assert r.k_freq == min(near, key=lambda k: (abs(k - r.freq_hz), k), default=None)
-    assert (460_500_000, 460_300_000) in {(r.freq_hz, r.k_freq) for r in got}
+    features = relations.relation(spark, small, "features").select("freq_hz", "dongle_id")
+    targets = relations.relation(spark, small, "known_frequencies").selectExpr("freq_hz AS k_freq", "class_id AS kf_class")
+    wide = joins.nearest_join(features, targets, "freq_hz", "k_freq", 2_000_000, ["freq_hz", "dongle_id"], strict=True).collect()
+    own = catalogue.queries()["j8_nearest_known"](spark, small).collect()  # 150 kHz, which is still within
+    assert len(own) == len(wide) == features.distinct().count()
+    for got, within in ((wide, 1_999_999), (own, 150_000)):
+        for r in got:
+            near = [k for k in known if abs(k - r.freq_hz) <= within]
+            assert r.k_freq == min(near, key=lambda k: (abs(k - r.freq_hz), k), default=None)
+    assert (460_500_000, 460_300_000) in {(r.freq_hz, r.k_freq) for r in wide}
     seen = {r.freq_hz for r in relations.relation(spark, small, "classified").collect()}
     best = {r.k_freq for r in catalogue.queries()["j10_best_in_tolerance"](spark, small).collect()}
     assert best == {k for k in known if any(abs(k - f) <= 3_000_000 for f in seen)} and 460_300_000 in best
