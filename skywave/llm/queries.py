@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, merkle, packing, secrets, sentencepieces, sharding, simhash, substrings, toxicity
+from . import ann, chat, merkle, packing, periods, secrets, sentencepieces, sharding, simhash, substrings, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,8 @@ def queries() -> dict:
         "op8_toxicity_scores": toxicity.op8_toxicity_scores,
         "op9_nearest_vectors": ann.op9_nearest_vectors,
         "op10_secret_scan": secrets.op10_secret_scan,
+        "op11_periodic_runs": periods.op11_periodic_runs,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": chat.ORACLE_SQL}
