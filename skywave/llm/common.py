@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,3 +71,14 @@ def sliced(batches: Iterator, rows: int) -> Iterator:
 def text_of(col: str = "text"):
     """A text column with null as the empty text."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
+
+
+def with_batches(df: DataFrame, name: str, kind: str, parts_of: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
+    """df with one more column of a type, whose values for an Arrow batch come in parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.concat_arrays(parts_of(b))], names=[*b.schema.names, name])
+
+    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, DataType.fromDDL(kind))]))

@@ -18,16 +18,15 @@ repeated rows and null ids are rows like others; no rows give none. Extra column
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructField, StructType
 
-from .common import cut_lineage, read, scratch, text_of
+from .common import cut_lineage, read, scratch, text_of, with_batches
 
 LEAST_WORDS = 12
 LEAST_EXPONENT = 2
@@ -181,23 +180,12 @@ def periodic_runs(docs: DataFrame, text_col: str = "text", into: str = "periods"
     words = F.when(F.octet_length(text) >= 2 * least_exponent * lags, F.regexp_count(text, F.lit(WORD))).otherwise(0)
     long = words >= least_exponent * (lags + 1)
     docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
-    one = _added(docs.where(~long), into, _FOUND, whole)
+    one = with_batches(docs.where(~long), into, _FOUND, whole)
     many = cut_lineage(docs.where(long).withColumn(row, F.monotonically_increasing_id()))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = many.select(row, text.alias(found), F.explode(F.sequence(F.lit(1), F.floor(words / least_exponent).cast("int"), F.lit(lags))).alias(lo)).repartition(n, row, lo)
-    runs = _added(ranges, into, _RUNS, piece).groupBy(row).agg(F.flatten(F.collect_list(into)).alias(found))
-    return one.unionByName(_added(many.join(runs, row), into, _FOUND, met).drop(row, found))
-
-
-def _added(df: DataFrame, name: str, kind: str, parts_of: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
-    """df with one more column, whose values for a batch come in parts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.concat_arrays(parts_of(b))], names=[*b.schema.names, name])
-
-    return df.mapInArrow(run, StructType([*df.schema.fields, StructField(name, DataType.fromDDL(kind))]))
+    runs = with_batches(ranges, into, _RUNS, piece).groupBy(row).agg(F.flatten(F.collect_list(into)).alias(found))
+    return one.unionByName(with_batches(many.join(runs, row), into, _FOUND, met).drop(row, found))
 
 
 def planted(docs: DataFrame) -> DataFrame:
