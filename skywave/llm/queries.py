@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, merkle, packing, periods, secrets, sentencepieces, sharding, simhash, substrings, toxicity
+from . import ann, chat, languages, merkle, packing, periods, ranking, secrets, sentencepieces, sharding, simhash, substrings, toxicity
 
 
 def queries() -> dict:
@@ -18,8 +18,10 @@ def queries() -> dict:
         "op9_nearest_vectors": ann.op9_nearest_vectors,
         "op10_secret_scan": secrets.op10_secret_scan,
         "op11_periodic_runs": periods.op11_periodic_runs,
+        "op12_language_ids": languages.op12_language_ids,
+        "op13_ranked_search": ranking.op13_ranked_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_format": chat.ORACLE_SQL}
+    return {"op5_chat_format": chat.ORACLE_SQL, "op13_ranked_search": ranking.ORACLE_SQL}
