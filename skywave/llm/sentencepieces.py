@@ -219,11 +219,16 @@ class Pieces:
         return best, edges, come
 
     def n_best(self, seg: str, n: int) -> list[tuple[float, list[int]]]:
-        """The n best segmentations: (score, starts of pieces)."""
+        """The n best segmentations: (score, starts of pieces). As the scores ahead are exact, a place's n best rests come
+        out first; later ones are in no result and go no further, so work is in proportion to n times the edges, ties included."""
         best, edges, _ = self.lattice(seg)
         heap, out, tie = [(-best[-1], 0, len(seg), 0.0, None)], [], 0
+        taken = [0] * (len(seg) + 1)
         while heap and len(out) < n:
             _, _, at, behind, path = heapq.heappop(heap)
+            if taken[at] == n:
+                continue
+            taken[at] += 1
             if at == 0:
                 starts = []
                 while path is not None:
@@ -232,8 +237,9 @@ class Pieces:
                 out.append((behind, starts))
                 continue
             for i, s in edges[at]:
-                tie += 1
-                heapq.heappush(heap, (-(behind + s + best[i]), tie, i, behind + s, (i, path)))
+                if taken[i] < n:
+                    tie += 1
+                    heapq.heappush(heap, (-(behind + s + best[i]), tie, i, behind + s, (i, path)))
         return out
 
     def encoded(self, seg: str, starts: list[int]) -> bytes:

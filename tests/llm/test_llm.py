@@ -599,3 +599,37 @@ def test_secrets_owned_and_copied(spark):
 
 def test_all_queries_are_listed():
     assert [int(k[2:].split("_")[0]) for k in queries.queries()] == list(range(1, 11))
+
+
+# --- ties of op3, many secrets of op10 ---
+
+
+def test_ties_of_a_long_word_take_no_more_than_their_edges():
+    p = sentencepieces.Pieces()
+    for char in "-☃":
+        for n in (4, 9):
+            short = [(round(s, 6), len(starts)) for s, starts in p.n_best(char * 12, n)]
+            assert short == sorted(short, key=lambda x: -x[0]) and len(short) == n or char == "☃"
+    (best, starts), *rest = p.n_best("-" * 100_000, 4)
+    assert len(rest) == 3 and all(s <= best + 1e-6 for s, _ in rest) and starts[0] == 0
+    got = next(iter(p.encode_many(["a " + "-" * 30_000 + " b"], 4)))
+    assert len(got[0]) == 4 and got[1].decode() == "a " + "-" * 30_000 + " b"
+
+
+def test_redacted_is_a_plain_cut(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(60):
+        t = "".join(rng.choice("ab☃𝒳\n") for _ in range(rng.randrange(1, 90)))
+        at = sorted(rng.sample(range(len(t) + 1), min(len(t), 2 * rng.randrange(1, 6)) // 2 * 2))
+        spans = [(a, b) for a, b in zip(at[::2], at[1::2]) if a < b]
+        if spans:
+            rows.append((k, t, spans))
+    d = spark.createDataFrame(rows, "k int, t string, runs array<struct<start: int, end: int>>")
+    for block in (3, 8, 1024):
+        got = {r.k: r.x for r in d.select("k", secrets.redacted(F.col("t"), F.col("runs"), block).alias("x")).collect()}
+        for k, t, spans in rows:
+            cut, last = "", 0
+            for a, b in spans:
+                cut, last = cut + t[last:a] + secrets.MARK, b
+            assert got[k] == cut + t[last:]
