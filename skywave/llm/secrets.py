@@ -105,11 +105,22 @@ def runs(spans: DataFrame, *key: str) -> DataFrame:
     return d.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs"))
 
 
-def redacted(text: Column, runs_: Column) -> Column:
-    """text with each of its runs (one at least) replaced by MARK."""
-    pieces = F.transform(runs_, lambda r, i: F.substring(text, F.when(i == 0, 1).otherwise(runs_[F.greatest(i - 1, F.lit(0))].end + 1), r.start - F.when(i == 0, 0).otherwise(runs_[F.greatest(i - 1, F.lit(0))].end)))
-    rest = F.substring(text, F.element_at(runs_, -1).end + 1, F.length(text))
-    return F.concat(F.array_join(pieces, MARK), F.lit(MARK), rest)
+def redacted(text: Column, runs_: Column, block: int = 1024) -> Column:
+    """text with each of its runs (one at least) replaced by MARK. It is cut into blocks once, and what is between two runs
+    comes from its own blocks: substring() counts characters from the start of what it is given."""
+
+    def part(d: Column, a: Column, b: Column) -> Column:
+        first, last = F.floor(a / block).cast("int"), F.floor((b - 1) / block).cast("int")
+        own = F.array_join(F.slice(d.blocks, first + 1, last - first + 1), "")
+        return F.when(b > a, F.substring(own, a - first * block + 1, b - a)).otherwise("")
+
+    def marked(d: Column) -> Column:
+        before = lambda i: F.when(i == 0, 0).otherwise(F.get(d.runs, i - 1).end)
+        return F.concat(F.array_join(F.transform(d.runs, lambda r, i: part(d, before(i), r.start)), MARK), F.lit(MARK), part(d, F.element_at(d.runs, -1).end, d.n))
+
+    # bound to a lambda's variable, so that the blocks are made once
+    own = F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{block}}}"), F.lit(0)).alias("blocks"), runs_.alias("runs"), F.length(text).alias("n"))
+    return F.transform(F.array(own), marked)[0]
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
