@@ -152,10 +152,15 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     df[own["bucket"]] = own["n"]
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
 
-    by_hash = Window.partitionBy("lang").orderBy("h", "id")
-    ids = d.where("id IS NOT NULL").select("lang", "id", F.xxhash64("id", F.lit(11)).alias("h")).withColumn("k", F.row_number().over(by_hash)).where(F.col("k") <= max_rows).select("lang", "id", "h").distinct()
-    ids = cut_lineage(ids)
-    rows = d.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, ["lang", "id"])
+    counts = cut_lineage(d.groupBy("lang").agg(F.count("*").alias("rows")))
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    # the least hashes are looked for among those under a bound that twice as many are expected to be under, so that no task
+    # gets a language's ids
+    under = F.pmod("h", F.lit(2**31)) * F.col("rows") < F.lit(2.0 * max_rows * 2**31)
+    ids = d.where("id IS NOT NULL").select("lang", "id", F.xxhash64("id", F.lit(11)).alias("h")).join(small(counts), "lang").where(under)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(2**31)), "h", "id"))
+    ids = cut_lineage(ids.withColumn("k", place).where(F.col("k") <= max_rows).select("lang", "id", "h").distinct())
+    rows = d.join(small(ids), ["lang", "id"])
     tie = Window.partitionBy("lang").orderBy("h", "id", F.xxhash64("text"))
     before = F.coalesce(F.sum(F.octet_length("text")).over(tie.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("k", F.row_number().over(tie)).withColumn("before", before).where((F.col("k") <= max_rows) & (F.col("before") < max_bytes))
@@ -172,7 +177,6 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
         return pd.DataFrame({"lang": key[0], "k": np.arange(len(c)), "n": size, "reach": far, "vector": [v.astype("<f4").tobytes() for v in c]})
 
     fitted = rows.groupBy("lang").applyInPandas(cluster, "lang string, k long, n long, reach double, vector binary")
-    counts = d.groupBy("lang").agg(F.count("*").alias("rows"))
     found = fitted.join(counts, "lang").toPandas().sort_values(["rows", "lang", "k"], ascending=[False, True, True])
     matrix = np.array([np.frombuffer(v, "<f4") for v in found["vector"]], np.float32).reshape(-1, dims)
     return {"dims_log2": dims_log2, "idf": idf, "langs": found["lang"].tolist(), "centroids": matrix, "reach": found["reach"].to_numpy(float)}
