@@ -80,8 +80,9 @@ def classify(features: DataFrame, known: DataFrame, confirmed: DataFrame | None
     key = ["freq_hz", "dongle_id"]
     d = joins.nearest_join(allocation(features), known, "freq_hz", "k_freq", tolerance, key)
     d = d.withColumn("pattern", duty_pattern(F.col("duty_cycle_24h")))
-    classes = F.array(*[F.struct(F.lit(c).alias("class_id"), F.lit(r).alias("rules")) for c, r in (evidence or EVIDENCE).items()])
-    d = d.withColumn("c", F.explode(classes)).withColumn("class_id", F.col("c.class_id")).withColumn("rules", F.from_json("c.rules", RULES))
+    # the rules are constants, so Spark reads their text once when it plans
+    classes = F.array(*[F.struct(F.lit(c).alias("class_id"), F.from_json(F.lit(r), RULES).alias("rules")) for c, r in (evidence or EVIDENCE).items()])
+    d = d.withColumn("c", F.explode(classes)).withColumn("class_id", F.col("c.class_id")).withColumn("rules", F.col("c.rules"))
     d = d.withColumn("score", evidence_score(F.col("rules")).cast("double"))
     by = Window.partitionBy(*key).orderBy(F.desc("score"), "class_id")
     d = d.withColumn("rank", F.row_number().over(by)).withColumn("second", F.coalesce(F.lead("score").over(by), F.lit(float("-inf")))).where("rank = 1")
@@ -99,20 +100,37 @@ def classify(features: DataFrame, known: DataFrame, confirmed: DataFrame | None
     return d.select(*key, F.coalesce("c_class", "class_id").alias("class_id"), F.when(F.col("c_class").isNotNull(), 1.0).otherwise(F.col("confidence")).alias("confidence"), "score")
 
 
-def harmonics(peaks: DataFrame, least_db: float = 6.0, within: float = 0.005) -> DataFrame:
-    """Peaks (freq_hz, power) with the stronger base in the same service near freq / n, n in 2, 3, 4:
-    the least n, then the nearest, then the lower base."""
-    d = allocation(peaks).where("service IS NOT NULL").withColumn("n", F.explode(F.array(F.lit(2), F.lit(3), F.lit(4)))).withColumn("target", F.col("freq_hz") / F.col("n"))
-    base = allocation(peaks).select(F.col("freq_hz").alias("base_hz"), F.col("power").alias("base_power"), F.col("service").alias("base_service"))
-    spans = d.withColumn("_lo", F.col("target") * (1 - within)).withColumn("_hi", F.col("target") * (1 + within))
-    met = joins.range_join(base, spans, "base_hz", "_lo", "_hi", 2_000_000).where(F.col("base_power") - F.col("power") >= least_db).where("base_service = service")
-    best = F.row_number().over(Window.partitionBy("freq_hz").orderBy("n", F.abs(F.col("base_hz") - F.col("target")), "base_hz"))
-    return met.withColumn("_b", best).where("_b = 1").select("freq_hz", F.col("base_hz").alias("harmonic_of_hz"), "n")
+def services(df: DataFrame, allocations: DataFrame, keys: list[str], freq: str = "freq_hz", width: int = 10_000_000) -> DataFrame:
+    """df (one row by keys) with the service of the allocation(lo, hi, service) that holds freq in [lo, hi), the lowest if more do, null
+    if none. Allocations are listed by cells of `width`, so any table of them will do."""
+    met = joins.range_join(df, allocations.select("lo", "hi", "service"), freq, "lo", "hi", width, closed=False, how="left")
+    rest = [c for c in df.columns if c not in keys]
+    return met.groupBy(*keys).agg(*[F.first(c).alias(c) for c in rest], F.min_by("service", F.struct("lo", "hi")).alias("service"))
 
 
-def evidence_table(classes: DataFrame) -> dict[str, str]:
-    """Rules by class of a table (class_id, evidence_rules), some dozens of rows; a later row of a class counts."""
-    return {r.class_id: r.evidence_rules for r in classes.select("class_id", "evidence_rules").where("class_id IS NOT NULL").collect()}
+def harmonics(peaks: DataFrame, allocations: DataFrame, keys: tuple[str, ...] = (), least_db: float = 6.0, within: float = 0.005) -> DataFrame:
+    """Peaks (keys, freq_hz, power; one row each) with the stronger base of the same keys and service near freq / n, n in 2, 3, 4, whole
+    hertz: the least n, then the nearest, then the lower base. The tolerance is a share of the base. Peaks without a
+    service are none and have none."""
+    own = [*keys, "freq_hz"]
+    p = services(peaks.select(*own, "power"), allocations, own).where("service IS NOT NULL")
+    d = p.withColumn("n", F.explode(F.array(F.lit(2), F.lit(3), F.lit(4)))).withColumn("target", F.floor(F.col("freq_hz") / F.col("n")))
+    spans = d.withColumn("_tol", F.floor(F.col("target") * within)).withColumn("_lo", F.col("target") - F.col("_tol")).withColumn("_hi", F.col("target") + F.col("_tol"))
+    base = p.select(F.col("freq_hz").alias("base_hz"), F.col("power").alias("base_power"), F.col("service").alias("base_service"), *[F.col(k).alias(f"base_{k}") for k in keys])
+    met = joins.range_join(base, spans, "base_hz", "_lo", "_hi", 2_000_000).where(F.col("base_power") - F.col("power") >= least_db).where("base_service = service")
+    for k in keys:
+        met = met.where(F.col(f"base_{k}") == F.col(k))
+    best = F.row_number().over(Window.partitionBy(*own).orderBy("n", F.abs(F.col("base_hz") - F.col("target")), "base_hz"))
+    return met.withColumn("_b", best).where("_b = 1").select(*own, F.col("base_hz").alias("harmonic_of_hz"), "n")
+
+
+def evidence_table(classes: DataFrame, most: int = 1000) -> dict[str, str]:
+    """Rules by class of a table (class_id, evidence_rules), some dozens of rows; a later row of a class counts. More than `most` rows are
+    an error: each class is tried on each feature row."""
+    rows = classes.select("class_id", "evidence_rules").where("class_id IS NOT NULL").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} classes")
+    return {r.class_id: r.evidence_rules for r in rows}
 
 
 def freshness(stale_s: Column, warn: int = 600, crit: int = 1500) -> Column:

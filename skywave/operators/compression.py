@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
+
 MIN_TILES, MAX_STD_HZ, OUTLIERS, MIN_OFFSET_HZ, MIN_POWER, FLOOR = 10, 30_000.0, 2, 100_000, -15.0, -30.0
 
 
@@ -43,13 +45,16 @@ def spur_block(offsets: list[float], powers: list[float], min_tiles: int = MIN_T
 
 
 def spur_combs(tiles: DataFrame, min_tiles: int = MIN_TILES) -> DataFrame:
-    """spur_block() of each sweep's tiles (sweep_id, dongle_id, tile, offset_hz, power); a sweep has some
-    two hundred tiles, so each is one small group."""
+    """spur_block() of each sweep's tiles (sweep_id, dongle_id, tile, offset_hz, power), with the numbers of the tiles at
+    both ends where it is a comb (else 0 and 0 stay places). A sweep has some two hundred tiles, so each is one small group."""
     schema = "sweep_id string, dongle_id string, sig int, tile_lo int, tile_hi int, count int, offset_mean_hz long, offset_std_khz double, median_power double"
 
     def one(key, d: pd.DataFrame) -> pd.DataFrame:
         d = d.sort_values("tile")
-        return pd.DataFrame([{"sweep_id": key[0], "dongle_id": key[1]} | spur_block(d["offset_hz"].tolist(), d["power"].tolist(), min_tiles)])
+        own, tile = spur_block(d["offset_hz"].tolist(), d["power"].tolist(), min_tiles), d["tile"].tolist()
+        if own["sig"]:
+            own |= {c: tile[own[c]] for c in ("tile_lo", "tile_hi")}
+        return pd.DataFrame([{"sweep_id": key[0], "dongle_id": key[1]} | own])
 
     return tiles.groupBy("sweep_id", "dongle_id").applyInPandas(one, schema)
 
@@ -92,6 +97,52 @@ def tier(*flags: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, ("none", "low", "medium", "high"))), n + 1)
 
 
+def tiles(bins: DataFrame, start: int = 88_000_000, width: int = 2_048_000) -> DataFrame:
+    """Strongest bin of each tile (ties: the lowest) and its offset from the tile's centre."""
+    tile = F.floor((F.col("freq_hz") - start) / width).cast("long")
+    d = bins.groupBy("sweep_id", "dongle_id", tile.alias("tile")).agg(F.max_by("freq_hz", F.struct("power_dbfs", -F.col("freq_hz"))).alias("f"), F.max("power_dbfs").alias("power"))
+    return d.select("sweep_id", "dongle_id", "tile", "power", (F.col("f") - start - F.col("tile") * width - width // 2).alias("offset_hz"))
+
+
+def events(bins: DataFrame, baseline: DataFrame, health: DataFrame, least: str = "medium", min_tiles: int = MIN_TILES) -> DataFrame:
+    """One row of each full sweep of health(sweep_id, dongle_id, ts, clipped_captures, worst_clip_freq_hz) in which comb, depression and
+    clip together reach a tier: what each of them found, and the emitter where one stands out.
+
+    bins(sweep_id, dongle_id, freq_hz, power_dbfs) are those of the sweeps; baseline(hour, dongle_id, freq_hz, mean) is the hourly one. A sweep
+    without bins has no comb and one without strong bins no depression. All parts are keyed by sweep and receiver, as
+    receivers share the ids of sweeps, so Spark joins them on one partitioning."""
+    key = ["sweep_id", "dongle_id"]
+    own = health.select(*key, "ts", F.col("worst_clip_freq_hz"), "clipped_captures")
+    swept = bins.join(own.select(*key, S.bucket(F.col("ts"), "hour").alias("hour")), key)
+    t = tiles(bins.join(own.select(*key), key, "left_semi"))
+    combs = emitter(t, spur_combs(t, min_tiles))
+    falls = depression(swept.groupBy(*key, "hour", "freq_hz").agg(F.avg("power_dbfs").alias("power")), baseline)
+    d = clip_flags(own).join(combs, key, "left").join(falls, key, "left")
+    zero = lambda c, kind="long": F.coalesce(F.col(c), F.lit(0)).cast(kind)
+    d = d.withColumn("sig_spur", zero("sig", "int")).withColumn("sig_baseline", F.coalesce(F.col("fires").cast("int"), F.lit(0)))
+    d = d.withColumn("match_tier", tier(F.col("sig_spur"), F.col("sig_baseline"), F.col("sig_clip")))
+    return from_tier(d, least).select(
+        *key,
+        "ts",
+        F.col("emitter_hz").alias("estimated_emitter_freq_hz"),
+        F.round("emitter_power", 2).alias("estimated_emitter_power_dbfs"),
+        zero("offset_mean_hz").alias("spur_offset_hz"),
+        zero("tile_lo", "int").alias("spur_block_tile_lo"),
+        zero("tile_hi", "int").alias("spur_block_tile_hi"),
+        zero("count", "int").alias("spur_block_tile_count"),
+        F.round(zero("offset_std_khz", "double"), 2).alias("spur_offset_stddev_khz"),
+        zero("depression_db", "double").alias("baseline_depression_db"),
+        zero("bins_sampled").alias("baseline_bins_sampled"),
+        zero("worst_clip_freq_hz").alias("worst_clip_freq_hz"),
+        zero("clipped_captures").alias("clipped_captures"),
+        "sig_spur",
+        "sig_baseline",
+        "sig_clip",
+        "sig_clip_fm",
+        "match_tier",
+    )
+
+
 def from_tier(df: DataFrame, least: str = "medium", col: str = "match_tier") -> DataFrame:
     order = F.array(*map(F.lit, ("none", "low", "medium", "high")))
     return df.where(F.array_position(order, F.col(col)) >= F.array_position(order, F.lit(least)))

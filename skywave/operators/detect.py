@@ -43,6 +43,15 @@ def bursts(samples: DataFrame, keys: list[str], order: str, active: Column, inte
     return out.where(F.col("duration_s") > F.col("_iv")).select(*keys, "duration_s")
 
 
+def burst_sessions(active: DataFrame, keys: list[str], ts: str, gap_s: Column) -> DataFrame:
+    """Bursts of active rows (ts a timestamp): (keys, started_at, ended_at, n), rows of a key that are no more than gap_s
+    apart. The gap may differ by row, as bands are swept at different rates. Of a stream with a watermark, a burst comes
+    out when its gap has passed; state is that of open bursts."""
+    own = F.session_window(ts, F.concat(gap_s.cast("string"), F.lit(" seconds")))
+    d = active.groupBy(*keys, own).agg(F.count("*").alias("n"), F.min(ts).alias("started_at"), F.max(ts).alias("ended_at"))
+    return d.select(*keys, "started_at", "ended_at", "n")
+
+
 def bandwidth(grid: DataFrame, keys: list[str], drop_db: float = 3.0, reach: int = 5, bin_hz: int = 100_000, none: int = 999_000_000) -> DataFrame:
     """Width of each bin: steps to the first neighbour drop_db lower on each side, within reach."""
     by = Window.partitionBy(*keys).orderBy("freq_hz")
@@ -68,6 +77,24 @@ def level_changes(levels: DataFrame, keys: list[str], order: str, level: str, fi
     return levels.withColumn("was", was).where(F.col("was") != F.col(level))
 
 
+def silence_changes(sweeps: DataFrame, key: str, ts: str, until: Column, warn_s: int = 600, crit_s: int = 1500) -> DataFrame:
+    """(key, ts, was, level): a receiver is OK with each of its rows, WARN and CRITICAL so many seconds after the
+    last one. Times up to `until` count."""
+    after = F.lead(ts).over(Window.partitionBy(key).orderBy(ts))
+    d = sweeps.where(F.col(ts) <= until).select(key, F.col(ts).alias("_at")).distinct().withColumnRenamed("_at", ts).withColumn("_next", after)
+    late = lambda s: F.col(ts) + F.make_dt_interval(secs=F.lit(s))
+    fires = lambda s: (late(s) < F.col("_next")) | (F.col("_next").isNull() & (late(s) <= until))
+    change = lambda cond, at, was, level: F.when(cond, F.struct(at.alias("ts"), F.lit(was).alias("was"), F.lit(level).alias("level")))
+    back = F.col("_next")
+    events = F.array(
+        change(fires(warn_s), late(warn_s), "OK", "WARN"),
+        change(fires(crit_s), late(crit_s), "WARN", "CRITICAL"),
+        change(fires(crit_s) & back.isNotNull(), back, "CRITICAL", "OK"),
+        change(fires(warn_s) & ~fires(crit_s) & back.isNotNull(), back, "WARN", "OK"),
+    )
+    return d.select(key, F.explode(F.array_compact(events)).alias("e")).select(key, "e.*")
+
+
 def sweep_health(bins: DataFrame) -> DataFrame:
     """Largest power of each sweep, with and without 174-230 MHz; -100 where there is none."""
     out = ~F.col("freq_hz").between(174_000_000, 230_000_000)
@@ -79,3 +106,14 @@ def run_summary(bins: DataFrame) -> DataFrame:
     """Noise floor (10th percentile of 400-470 MHz), peak power and its frequency of each sweep."""
     quiet = F.when(F.col("freq_hz").between(400_000_000, 470_000_000), F.col("power_dbfs"))
     return bins.groupBy("sweep_id", "dongle_id").agg(F.percentile(quiet, F.lit(0.1)).alias("noise_floor_dbfs"), F.max("power_dbfs").alias("peak_signal_dbfs"), F.max_by("freq_hz", F.struct("power_dbfs", -F.col("freq_hz"))).alias("peak_signal_freq_hz"))
+
+
+def run_update(scans: DataFrame) -> DataFrame:
+    """What a run reports after its first full sweep: (run_id, dongle_id, sweep_id, noise_floor_dbfs, peak_signal_dbfs, peak_signal_freq_hz). The
+    noise floor is -100 where that sweep has no bin of 400-470 MHz."""
+    key = ["run_id", "dongle_id"]
+    full = scans.where(F.col("sweep_id").startswith("full:"))
+    first = full.groupBy(*key, "sweep_id").agg(F.min("ts").alias("_at")).groupBy(*key).agg(F.min_by("sweep_id", F.struct("_at", "sweep_id")).alias("sweep_id"))
+    quiet = F.when(F.col("freq_hz").between(400_000_000, 470_000_000), F.col("power_dbfs"))
+    peak = F.max_by("freq_hz", F.struct("power_dbfs", -F.col("freq_hz")))
+    return full.join(first, [*key, "sweep_id"]).groupBy(*key, "sweep_id").agg(F.coalesce(F.percentile(quiet, F.lit(0.1)), F.lit(-100.0)).alias("noise_floor_dbfs"), F.max("power_dbfs").alias("peak_signal_dbfs"), peak.alias("peak_signal_freq_hz"))

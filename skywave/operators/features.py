@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import detect, joins
+from . import classify, compression, detect, joins
 
 KEY = ["freq_hz", "dongle_id"]
 OVER_DB, FEWEST_BURSTS = 6.0, 3
@@ -19,7 +19,7 @@ def interval_s(freq: Column) -> Column:
 
 def peak_features(series: DataFrame, now: Column, suspect: DataFrame | None = None) -> DataFrame:
     """One row of each bin of series(freq_hz, dongle_id, ts, power_dbfs, sweep_id) that has rows in the 24 hours up to
-    now; sweeps of suspect(sweep_id) are left out.
+    now; sweeps of suspect(sweep_id, dongle_id) are left out: receivers share the ids of sweeps.
 
     One threshold (the 10th percentile of 24 hours plus 6 dB) decides what is active in the windows of an hour, a day,
     seven days (hours of the day) and fourteen (weekdays, from Monday). Burst percentiles need three bursts of more than
@@ -28,7 +28,7 @@ def peak_features(series: DataFrame, now: Column, suspect: DataFrame | None = No
     past = lambda h: F.col("ts") >= now - F.expr(f"INTERVAL {h} HOURS")
     d = series.where((F.col("ts") <= now) & past(14 * 24))
     if suspect is not None:
-        d = d.join(suspect, "sweep_id", "left_anti")
+        d = d.join(suspect, ["sweep_id", "dongle_id"], "left_anti")
     base = d.where(past(24)).groupBy(*KEY).agg(F.percentile("power_dbfs", F.lit(0.1)).alias("base"))
     d = d.join(base, KEY).withColumn("active", F.col("power_dbfs") > F.col("base") + OVER_DB)
     share = lambda cond: F.round(F.coalesce(F.avg(F.when(cond, F.col("active").cast("int"))), F.lit(0.0)), 4)
@@ -66,6 +66,27 @@ def emergence(rows: DataFrame, classes: DataFrame, quiet: DataFrame, over_db: fl
     return d.where(rule & F.col("class_id").isin("unknown_bursty", "unknown_continuous"))
 
 
+def suspects(events: DataFrame, least: str = "medium") -> DataFrame:
+    """(sweep_id, dongle_id) of the compression events of a tier or more."""
+    return compression.from_tier(events, least).select("sweep_id", "dongle_id").distinct()
+
+
+def feature_rows(series: DataFrame, peaks: DataFrame, sweeps: DataFrame, suspect: DataFrame, allocations: DataFrame, now: Column, least_db: float = 6.0) -> DataFrame:
+    """The whole row of each active bin: peak_features() with bandwidth_hz, harmonic_of_hz and computed_at.
+
+    A bin is active if it has a row in peaks(freq_hz, dongle_id, ts, power_dbfs, sweep_id) in the last 24 hours. Its bandwidth is that
+    of the nearest bin of the receiver's latest full sweep, by sweeps(sweep_id, dongle_id, preset, ts). Rows, peaks and sweeps of
+    suspect(sweep_id, dongle_id) count nowhere."""
+    clean = lambda d: d.where(F.col("ts") <= now).join(suspect, ["sweep_id", "dongle_id"], "left_anti")
+    active = clean(peaks.where(F.col("ts") > now - F.expr("INTERVAL 24 HOURS"))).groupBy(*KEY).agg(F.max("power_dbfs").alias("power"))
+    series = clean(series)
+    last = clean(sweeps.where("preset = 'full'")).groupBy("dongle_id").agg(F.max_by("sweep_id", F.struct("ts", "sweep_id")).alias("sweep_id"))
+    grid = series.join(last, ["dongle_id", "sweep_id"]).groupBy("dongle_id", "freq_hz").agg(F.max("power_dbfs").alias("power_dbfs"))
+    rows = with_bandwidth(peak_features(series.join(active, KEY, "left_semi"), now), grid)
+    near = classify.harmonics(active, allocations, ("dongle_id",), least_db).drop("n")
+    return rows.join(near, KEY, "left").withColumn("computed_at", now)
+
+
 def latest_sweep(scans: DataFrame) -> DataFrame:
     """The rows of each receiver's latest full sweep, in one row a bin."""
     last = scans.where(F.col("sweep_id").startswith("full:")).groupBy("dongle_id", "sweep_id").agg(F.max("ts").alias("at"))

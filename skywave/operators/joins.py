@@ -8,6 +8,7 @@ the interval side grows by length / width.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,3 +58,32 @@ def nearest_grid(points: DataFrame, grid: DataFrame, keys: list[str], at: str, c
     both = both.withColumn("_low", low).withColumn("_high", high).where("_p")
     nearer_low = F.col("_high").isNull() | (F.col(at) - F.col("_low") < F.col("_high") - F.col(at))
     return both.withColumn(out, F.when(nearer_low, F.col("_low")).otherwise(F.col("_high"))).drop("_x", "_g", "_p", "_low", "_high")
+
+
+def skew_join(points: DataFrame, ranges: DataFrame, at: str, lo: str, hi: str, cells: int = 512, most: int = 500_000) -> DataFrame:
+    """range_join() (closed, inner) for points or ranges that crowd on a few values: cell bounds are quantiles of both sides, so that
+    crowded places have narrow cells, and a cell that still holds more than `most` rows of a side, as a single value may, is cut: rows of
+    that side go to one of n parts by their hash, those of the other side to all n. A part thus has some `most` rows of either side.
+
+    The bounds (at most 3 * cells numbers) and the parts of each cell (as many rows) come to the driver; no row of either side does."""
+    inside = F.col(lo).isNotNull() & F.col(hi).isNotNull() & (F.col(lo) <= F.col(hi))
+    p, g = points.where(F.col(at).isNotNull()), ranges.where(inside)
+    shares = [k / cells for k in range(1, cells)]
+    found = [v for d, c in ((p, at), (g, lo), (g, hi)) for v in d.agg(F.percentile_approx(F.col(c).cast("double"), F.array(*map(F.lit, shares)), 10_000)).first()[0] or []]
+    bounds = [float("-inf"), *sorted(set(found)), float("inf")]
+
+    def celled(d: DataFrame, column: str, out: str) -> DataFrame:
+        return Bucketizer(splits=bounds, inputCol=f"_{column}", outputCol=out).transform(d.withColumn(f"_{column}", F.col(column).cast("double"))).drop(f"_{column}").withColumn(out, F.col(out).cast("int"))
+
+    p = celled(p, at, "_cell")
+    g = celled(celled(g, lo, "_from"), hi, "_to").withColumn("_cell", F.explode(F.sequence("_from", "_to"))).drop("_from", "_to")
+    sizes = p.groupBy("_cell").agg(F.count("*").alias("_p")).join(g.groupBy("_cell").agg(F.count("*").alias("_g")), "_cell")
+    parts = sizes.select("_cell", F.ceil(F.col("_p") / most).cast("int").alias("_ps"), F.ceil(F.col("_g") / most).cast("int").alias("_gs"))
+    # by value, so that the sizes are not counted again on each side; a cell that one side lacks is in none
+    parts = p.sparkSession.createDataFrame([tuple(r) for r in parts.collect()], "_cell int, _ps int, _gs int")
+    hashed = lambda d, n: F.pmod(F.xxhash64(*[c for c in d.columns if not c.startswith("_")]), F.col(n)).cast("int")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    p = p.join(F.broadcast(parts), "_cell").withColumn("_i", hashed(points, "_ps")).withColumn("_j", copies("_gs")).drop("_ps", "_gs")
+    g = g.join(F.broadcast(parts), "_cell").withColumn("_j", hashed(ranges, "_gs")).withColumn("_i", copies("_ps")).drop("_ps", "_gs")
+    met = p.join(g, ["_cell", "_i", "_j"]).where((F.col(at) >= F.col(lo)) & (F.col(at) <= F.col(hi)))
+    return met.drop("_cell", "_i", "_j")

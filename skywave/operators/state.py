@@ -75,6 +75,13 @@ def logged(entries: DataFrame, at: str) -> DataFrame:
     return d.withColumn("id", F.sha2(F.to_json(F.struct(*sorted(d.columns))), 256))
 
 
+def with_defaults(rows: DataFrame, id_col: str = "id", at_col: str = "logged_at") -> DataFrame:
+    """rows with a random id and the time of the clock where they have none, as an ingest fills them in. A task that runs again draws other
+    ids: rows that may be written twice need logged(), whose ids are hashes of the rows."""
+    made = {id_col: F.uuid(), at_col: F.current_timestamp()}
+    return rows.withColumns({c: F.coalesce(F.col(c), v) if c in rows.columns else v for c, v in made.items()})
+
+
 def reshaped(df: DataFrame, defaults: dict[str, object] | None = None, rename: dict[str, str] | None = None, types: dict[str, str] | None = None, drop: list[str] | None = None) -> DataFrame:
     """Changes of a table's columns, in this order: drop, rename, types, then defaults, which add a column or fill its nulls."""
     d = df.drop(*(drop or [])).withColumnsRenamed(rename or {})

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dashboards, frames, kernels, operations
+from . import dashboards, frames, kernels, operations, replays
 from .relations import relation, with_views
 
-_PARTS = [dashboards.CATALOGUE, kernels.CATALOGUE, frames.CATALOGUE, operations.CATALOGUE]
+_PARTS = [dashboards.CATALOGUE, kernels.CATALOGUE, frames.CATALOGUE, operations.CATALOGUE, replays.CATALOGUE]
 
 
 def _bound(plan) -> Callable[[SparkSession, str], DataFrame]:

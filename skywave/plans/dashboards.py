@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import joins
+from ..operators import quantiles as Q
 from .relations import AS_OF, COMPARE, CURRENT
 
 Plan = Callable[[Callable[[str], DataFrame]], DataFrame]
@@ -65,11 +66,15 @@ def per_minutes(name: str, rel: str, minutes: int, hours: int, value: Callable[[
     add(name, plan, f"SELECT {sql_t} AS t, {sql_value} AS value FROM {rel} WHERE {sql_since(hours)} AND {where} GROUP BY 1")
 
 
-def top(name: str, rel: str, key: str, n: int, hours: int, where: str = "1 = 1", expr: Callable[[], Column] | None = None, sql_expr: str | None = None) -> None:
-    """The n keys with most rows, ties by key."""
+def top(name: str, rel: str, key: str, n: int | None, hours: int, where: str = "1 = 1", expr: Callable[[], Column] | None = None, sql_expr: str | None = None) -> None:
+    """The n keys with most rows, ties by key; all keys without an n."""
     col = lambda: (expr() if expr else F.col(key)).alias(key)
-    plan = lambda rel_: rel_(rel).where(since(hours)).where(where).groupBy(col()).agg(F.count("*").alias("msgs")).orderBy(F.desc("msgs"), key).limit(n)
-    add(name, plan, f"SELECT {sql_expr or key} AS {key}, count(*) AS msgs FROM {rel} WHERE {sql_since(hours)} AND {where} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT {n}")
+
+    def plan(rel_):
+        d = rel_(rel).where(since(hours)).where(where).groupBy(col()).agg(F.count("*").alias("msgs")).orderBy(F.desc("msgs"), key)
+        return d.limit(n) if n else d
+
+    add(name, plan, f"SELECT {sql_expr or key} AS {key}, count(*) AS msgs FROM {rel} WHERE {sql_since(hours)} AND {where} GROUP BY 1 ORDER BY 2 DESC, 1{f' LIMIT {n}' if n else ''}")
 
 
 def rows(name: str, rel: str, cols: str, where: str, order: str, n: int | None = None) -> None:
@@ -96,7 +101,7 @@ per_minutes("q_ac5", "messages", 1, 48, lambda: F.count("*"), "count(*)")
 top("q_ac6", "messages", "flight", 15, 240, "flight <> ''")
 top("q_ac7", "messages", "tail", 15, 240, "tail <> ''")
 top("q_ac8", "messages", "label", 20, 240, "label <> ''")
-top("q_ac9", "messages", "freq", 1000, 240, expr=lambda: r("freq_mhz", 3).cast("string"), sql_expr="CAST(round(freq_mhz, 3) AS VARCHAR)")
+top("q_ac9", "messages", "freq", None, 240, expr=lambda: r("freq_mhz", 3).cast("string"), sql_expr="CAST(round(freq_mhz, 3) AS VARCHAR)")
 per_minutes("q_ac10", "messages", 15, 240, lambda: r(F.avg("level_db"), 6), "round(avg(level_db), 6)")
 top("q_ac11", "messages", "route", 15, 240, "depa <> '' AND dsta <> ''", lambda: F.concat("depa", F.lit("-"), "dsta"), "depa || '-' || dsta")
 rows("q_ac12", "messages", "event_id; ts; freq_mhz; level_db; label; flight; tail; text", f"ts <= '{AS_OF}'", "ts DESC, event_id", 100)
@@ -248,10 +253,16 @@ add("q_rc1", lambda rel: rel("scan_runs").select("run_id", "started_at", "ended_
 add("q_rc2", lambda rel: rel("scan_runs").where(F.col("run_id").isin(CURRENT, COMPARE)).select(F.upper(run_label()).alias("label"), "run_id", "gain_db", "noise_floor_dbfs", "peak_signal_dbfs"), f"SELECT upper({SQL_RUN}) AS label, run_id, gain_db, noise_floor_dbfs, peak_signal_dbfs FROM scan_runs WHERE run_id IN ('{CURRENT}', '{COMPARE}')")
 
 
+#: Powers are counted by ranges of so many dB where a few groups hold all rows (see quantiles).
+DB = 0.25
+
+
 def band_delta(rel) -> DataFrame:
     """Power by run and band: mean, peak, noise floor (10th percentile), distinct sweeps."""
-    s = rel("scans").where(BOTH).withColumn("band", S.band(F.col("freq_hz"), BANDS)).where("band IS NOT NULL")
-    return s.groupBy(run_label().alias("run"), "band").agg(r(F.avg("power_dbfs"), 1).alias("avg_power"), r(F.max("power_dbfs"), 1).alias("peak"), r(F.percentile("power_dbfs", F.lit(0.1)), 1).alias("noise_floor"), F.count_distinct("sweep_id").alias("sweeps"))
+    s = rel("scans").where(BOTH).withColumn("band", S.band(F.col("freq_hz"), BANDS)).where("band IS NOT NULL").select(run_label().alias("run"), "band", "power_dbfs", "sweep_id")
+    sweeps = s.groupBy("run", "band").agg(F.count_distinct("sweep_id").alias("sweeps"))
+    d = Q.summary(s, ["run", "band"], "power_dbfs", {"q": 0.1}, DB).join(sweeps, ["run", "band"])
+    return d.select("run", "band", r("mean", 1).alias("avg_power"), r("top", 1).alias("peak"), r("q", 1).alias("noise_floor"), "sweeps")
 
 
 add("q_rc3", band_delta, f"SELECT {SQL_RUN} AS run, {SQL_BAND} AS band, round(avg(power_dbfs), 1) AS avg_power, round(max(power_dbfs), 1) AS peak, round(quantile_cont(power_dbfs, 0.1), 1) AS noise_floor, count(DISTINCT sweep_id) AS sweeps FROM scans WHERE {BOTH} GROUP BY 1, 2 HAVING band IS NOT NULL")
@@ -276,7 +287,8 @@ def _key_signals(rel):
 
 
 add("q_rc4", _key_signals, f"WITH m AS (SELECT s.run_id, s.sweep_id, s.freq_hz, max(k.name) AS signal, max(s.power_dbfs) AS power FROM scans s, known_frequencies k WHERE {SQL_NEAR} AND {BOTH} GROUP BY 1, 2, 3) SELECT {SQL_RUN} AS run, signal, round(avg(power), 1) AS avg_power, round(max(power), 1) AS peak FROM m GROUP BY 1, 2")
-add("q_rc5", lambda rel: rel("scans").where(BOTH).where("freq_hz BETWEEN 400000000 AND 470000000").groupBy(run_label().alias("run")).agg(*[r(F.percentile("power_dbfs", F.lit(p)), 2).alias(n) for p, n in ((0.1, "p10"), (0.25, "p25"), (0.5, "p50"))]), f"SELECT {SQL_RUN} AS run, round(quantile_cont(power_dbfs, 0.1), 2) AS p10, round(quantile_cont(power_dbfs, 0.25), 2) AS p25, round(quantile_cont(power_dbfs, 0.5), 2) AS p50 FROM scans WHERE {BOTH} AND freq_hz BETWEEN 400000000 AND 470000000 GROUP BY 1")
+_UHF = "freq_hz BETWEEN 400000000 AND 470000000"
+add("q_rc5", lambda rel: Q.quantiles(rel("scans").where(BOTH).where(_UHF).withColumn("run", run_label()), ["run"], "power_dbfs", {"p10": 0.1, "p25": 0.25, "p50": 0.5}, DB).select("run", *[r(c, 2).alias(c) for c in ("p10", "p25", "p50")]), f"SELECT {SQL_RUN} AS run, round(quantile_cont(power_dbfs, 0.1), 2) AS p10, round(quantile_cont(power_dbfs, 0.25), 2) AS p25, round(quantile_cont(power_dbfs, 0.5), 2) AS p50 FROM scans WHERE {BOTH} AND freq_hz BETWEEN 400000000 AND 470000000 GROUP BY 1")
 add("q_rc6", lambda rel: rel("scans").where(BOTH).groupBy("run_id", "sweep_id").agg(F.max("power_dbfs").alias("mp")).groupBy(run_label().alias("run")).agg(F.count("*").alias("total"), F.count_if(F.col("mp") > 30).alias("clipped"), r(F.count_if(F.col("mp") > 30) * 100.0 / F.count("*"), 1).alias("clip_pct")), f"WITH m AS (SELECT run_id, sweep_id, max(power_dbfs) AS mp FROM scans WHERE {BOTH} GROUP BY 1, 2) SELECT {SQL_RUN} AS run, count(*) AS total, count(*) FILTER (WHERE mp > 30) AS clipped, round(count(*) FILTER (WHERE mp > 30) * 100.0 / count(*), 1) AS clip_pct FROM m GROUP BY 1")
 
 
@@ -312,6 +324,8 @@ def _tune(rel):
     status = F.when(above > 10, "UNUSUAL").when(F.col("power_dbfs") > -15, "STRONG").when(F.col("activity") > 80, "ALWAYS ON").when(F.col("std") > 5, "BURSTY").otherwise("")
     likely = F.coalesce("kf_name", S.band(F.col("freq_hz"), SERVICES), F.lit("Unknown"))
     mode = F.coalesce("kf_modulation", F.when(F.col("freq_hz").between(118000000, 137000000), "AM").otherwise("NFM"))
+    first = F.when(above > 10, 0).when(F.col("std") > 5, 1).when(F.col("power_dbfs") > -15, 2).otherwise(3)
+    d = d.orderBy(first, F.desc("power_dbfs"), "freq_hz", "mean").limit(20)
     return d.select(r(F.col("freq_hz") / 1e6, 3).alias("freq_mhz"), r("power_dbfs", 1).alias("current_power"), r("mean", 1).alias("avg_24h"), r(above, 1).alias("above_normal"), r("activity", 0).alias("activity_pct"), likely.alias("likely_id"), mode.alias("mode"), status.alias("status"))
 
 
@@ -321,7 +335,8 @@ add("q_lp1", _tune, f"""WITH l AS (SELECT freq_hz, power_dbfs, round(freq_hz / 1
  SELECT round(l.freq_hz / 1e6, 3) AS freq_mhz, round(power_dbfs, 1) AS current_power, round(mean, 1) AS avg_24h, round(power_dbfs - mean, 1) AS above_normal, round(activity, 0) AS activity_pct,
  coalesce(kf_name, CASE {' '.join(f"WHEN l.freq_hz BETWEEN {a} AND {b} THEN '{n}'" for n, a, b in SERVICES)} END, 'Unknown') AS likely_id, coalesce(kf_mod, CASE WHEN l.freq_hz BETWEEN 118000000 AND 137000000 THEN 'AM' ELSE 'NFM' END) AS mode,
  CASE WHEN power_dbfs - mean > 10 THEN 'UNUSUAL' WHEN power_dbfs > -15 THEN 'STRONG' WHEN activity > 80 THEN 'ALWAYS ON' WHEN std > 5 THEN 'BURSTY' ELSE '' END AS status
- FROM l JOIN h ON l.bin = h.bin LEFT JOIN k ON k.freq_hz = l.freq_hz WHERE power_dbfs > -40 AND {AWAY.replace('freq_hz', 'l.freq_hz')}""")
+ FROM l JOIN h ON l.bin = h.bin LEFT JOIN k ON k.freq_hz = l.freq_hz WHERE power_dbfs > -40 AND {AWAY.replace('freq_hz', 'l.freq_hz')}
+ ORDER BY CASE WHEN l.power_dbfs - h.mean > 10 THEN 0 WHEN h.std > 5 THEN 1 WHEN l.power_dbfs > -15 THEN 2 ELSE 3 END, l.power_dbfs DESC, l.freq_hz, h.mean LIMIT 20""")
 rows("q_lp2", "known_frequencies", "name; round(freq_hz / 1e6, 3) AS freq_mhz; modulation AS mode; class_id", "class_id IN ('airband', 'marine', 'gov', 'business')", "freq_hz")
 rows("q_lp3", "listening_log", "ts; freq_mhz; mode; class_id; notes", f"ts <= '{AS_OF}'", "ts DESC, event_id", 20)
 _WATCH = [("atc", 118, 122), ("military_vhf", 146, 153), ("marine", 156, 163), ("land_mobile", 164, 170)]
@@ -400,7 +415,7 @@ def _lost(rel):
 
 
 add("q_ab3", _lost, f"SELECT freq_hz, round(max(power_dbfs) FILTER (WHERE ts < {SQL_NOW}), 1) AS was, round(max(power_dbfs) FILTER (WHERE NOT ts < {SQL_NOW}), 1) AS now FROM scans GROUP BY 1 HAVING max(power_dbfs) FILTER (WHERE ts < {SQL_NOW}) > 0 AND (max(power_dbfs) FILTER (WHERE NOT ts < {SQL_NOW}) IS NULL OR max(power_dbfs) FILTER (WHERE ts < {SQL_NOW}) - max(power_dbfs) FILTER (WHERE NOT ts < {SQL_NOW}) >= 10)")
-add("q_ab4", lambda rel: rel("scans").where("freq_hz BETWEEN 88000000 AND 108000000").groupBy("dongle_id").agg(*[r(F.percentile("power_dbfs", F.lit(p)), 3).alias(n) for p, n in ((0.5, "p50"), (0.99, "p99"))], F.count("*").alias("n")), "SELECT dongle_id, round(quantile_cont(power_dbfs, 0.5), 3) AS p50, round(quantile_cont(power_dbfs, 0.99), 3) AS p99, count(*) AS n FROM scans WHERE freq_hz BETWEEN 88000000 AND 108000000 GROUP BY 1")
+add("q_ab4", lambda rel: Q.summary(rel("scans").where("freq_hz BETWEEN 88000000 AND 108000000"), ["dongle_id"], "power_dbfs", {"p50": 0.5, "p99": 0.99}, DB).select("dongle_id", r("p50", 3).alias("p50"), r("p99", 3).alias("p99"), "n"), "SELECT dongle_id, round(quantile_cont(power_dbfs, 0.5), 3) AS p50, round(quantile_cont(power_dbfs, 0.99), 3) AS p99, count(*) AS n FROM scans WHERE freq_hz BETWEEN 88000000 AND 108000000 GROUP BY 1")
 add("q_mc1", lambda rel: rel("messages").agg(F.count("*").alias("msgs"), F.count_distinct("flight").alias("flights"), F.count_distinct("tail").alias("tails"), F.min("ts").alias("first"), F.max("ts").alias("last")), "SELECT count(*) AS msgs, count(DISTINCT flight) AS flights, count(DISTINCT tail) AS tails, min(ts) AS first, max(ts) AS last FROM messages")
 per_minutes("q_mc2", "messages", 60, 240, lambda: F.count("*"), "count(*)")
 add("q_mc3", lambda rel: rel("messages").groupBy(F.round(F.col("freq_mhz") * 1e6).cast("long").alias("freq_hz")).agg(F.count("*").alias("n"), r(F.avg("level_db"), 2).alias("level")), "SELECT CAST(round(freq_mhz * 1e6) AS BIGINT) AS freq_hz, count(*) AS n, round(avg(level_db), 2) AS level FROM messages GROUP BY 1")

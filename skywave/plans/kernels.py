@@ -10,7 +10,7 @@ from ..operators import classify as C
 from ..operators import detect as D
 from ..operators import compression, features, joins, state
 from .dashboards import SQL_CLASS, SQL_LATEST, SQL_NOW, SQL_PASSES, class_latest, now, pass_latest, r, ship_latest, since, sql_since
-from .relations import AS_OF
+from .relations import AS_OF, SIX
 
 CATALOGUE: dict[str, tuple] = {}
 SQL_HOUR = "date_trunc('hour', ts) AS hour"
@@ -92,7 +92,9 @@ add("j8_nearest_known", lambda rel: joins.nearest_join(rel("features").select("f
 
 
 def _recent_log(rel):
-    log = rel("listening_log").select(F.round(F.col("freq_mhz") * 1e6).cast("long").alias("l_freq"), F.col("class_id").alias("l_class"), F.col("ts").alias("l_ts"), F.lit(2_000_000).alias("tol"))
+    # one row a frequency before the join: the log has many entries of each
+    entries = rel("listening_log").groupBy(F.round(F.col("freq_mhz") * 1e6).cast("long").alias("l_freq"))
+    log = entries.agg(F.max_by("class_id", "ts").alias("l_class"), F.max("ts").alias("l_ts")).withColumn("tol", F.lit(2_000_000))
     met = joins.tolerance_join(rel("features").select("freq_hz", "dongle_id"), log, "freq_hz", "l_freq", "tol", 4_000_000)
     return met.groupBy("freq_hz", "dongle_id").agg(F.max_by("l_class", "l_ts").alias("class_id"), F.max("l_ts").alias("confirmed_at"))
 
@@ -138,7 +140,18 @@ def _peaks24(rel) -> DataFrame:
 
 
 SQL_SERVICE = "(SELECT service FROM " + SQL_ALLOC + " WHERE {0} >= lo AND {0} < hi)"
-add("j16_harmonics", lambda rel: C.harmonics(_peaks24(rel).withColumn("freq_hz", F.col("freq_hz")), 1.0, 0.02), f"WITH p AS (SELECT freq_hz, max(power_dbfs) AS power FROM scans GROUP BY 1), q AS (SELECT *, {SQL_SERVICE.format('freq_hz')} AS service FROM p) SELECT a.freq_hz, b.freq_hz AS harmonic_of_hz, n FROM q a, (VALUES (2), (3), (4)) AS h(n), q b WHERE a.service IS NOT NULL AND a.service = b.service AND b.freq_hz BETWEEN a.freq_hz / n * 0.98 AND a.freq_hz / n * 1.02 AND b.power - a.power >= 1 QUALIFY row_number() OVER (PARTITION BY a.freq_hz ORDER BY n, abs(b.freq_hz - a.freq_hz / n), b.freq_hz) = 1")
+def _at_service(freq: str) -> str:
+    return f"(SELECT service FROM allocations WHERE {freq} >= lo AND {freq} < hi ORDER BY lo LIMIT 1)"
+
+
+def sql_harmonics(peaks: str, key: str = "freq_hz") -> str:
+    """SQL of harmonics() over peaks(key columns, power)."""
+    same = "".join(f" AND b.{k} = a.{k}" for k in key.split(", ") if k != "freq_hz")
+    return f"SELECT {', '.join(f'a.{k}' for k in key.split(', '))}, b.freq_hz AS harmonic_of_hz, n FROM (SELECT *, {_at_service('freq_hz')} AS service FROM {peaks}) a, (VALUES (2), (3), (4)) AS h(n), (SELECT *, {_at_service('freq_hz')} AS service FROM {peaks}) b WHERE a.service = b.service{same} AND abs(b.freq_hz - a.freq_hz // n) <= CAST(floor((a.freq_hz // n) * 0.005) AS BIGINT) AND b.power - a.power >= 6 QUALIFY row_number() OVER (PARTITION BY {', '.join(f'a.{k}' for k in key.split(', '))} ORDER BY n, abs(b.freq_hz - a.freq_hz // n), b.freq_hz) = 1"
+
+
+# by scan hour, as of a lone peak of each frequency none is the base of another
+add("j16_harmonics", lambda rel: C.harmonics(rel("dense").groupBy(hour(), "freq_hz").agg(F.max("power_dbfs").alias("power")), rel("allocations"), ("hour",)), f"WITH p AS (SELECT {SQL_HOUR}, freq_hz, max(power_dbfs) AS power FROM dense GROUP BY 1, 2) {sql_harmonics('p', 'hour, freq_hz')}")
 
 # --- sequences ---
 add("w1_peaks", lambda rel: D.peaks(rel("bins")).select("sweep_id", "dongle_id", "freq_hz", "power_dbfs", "prominence_db"), """WITH w AS (SELECT *, sum(power_dbfs) OVER l AS ls, sum(power_dbfs) OVER g AS rs, count(*) OVER l AS ln, count(*) OVER g AS rn FROM bins
@@ -155,6 +168,12 @@ add("w11_level_changes", lambda rel: D.level_changes(rel("sweep_health").withCol
 add("k7_sweep_health", lambda rel: D.sweep_health(rel("bins")), "SELECT sweep_id, dongle_id, count(*) AS bin_count, coalesce(max(power_dbfs) FILTER (WHERE freq_hz NOT BETWEEN 174000000 AND 230000000), -100.0) AS max_power, coalesce(max(power_dbfs), -100.0) AS max_power_dvbt FROM bins GROUP BY 1, 2")
 add("k8_run_summary", lambda rel: D.run_summary(rel("scans")).select("sweep_id", "dongle_id", r("noise_floor_dbfs", 9).alias("noise_floor"), r("peak_signal_dbfs", 9).alias("peak"), "peak_signal_freq_hz"), "SELECT sweep_id, dongle_id, round(quantile_cont(power_dbfs, 0.1) FILTER (WHERE freq_hz BETWEEN 400000000 AND 470000000), 9) AS noise_floor, round(max(power_dbfs), 9) AS peak, arg_max(freq_hz, (power_dbfs, -freq_hz)) AS peak_signal_freq_hz FROM scans GROUP BY 1, 2")
 
+add(
+    "k8_run_update",
+    lambda rel: D.run_update(rel("scans")).select("run_id", "dongle_id", "sweep_id", r("noise_floor_dbfs", 1).alias("noise_floor_dbfs"), r("peak_signal_dbfs", 1).alias("peak_signal_dbfs"), "peak_signal_freq_hz"),
+    "WITH f AS (SELECT run_id, dongle_id, arg_min(sweep_id, (at_, sweep_id)) AS sweep_id FROM (SELECT run_id, dongle_id, sweep_id, min(ts) AS at_ FROM scans WHERE sweep_id LIKE 'full:%' GROUP BY 1, 2, 3) GROUP BY 1, 2) SELECT s.run_id, s.dongle_id, s.sweep_id, round(coalesce(quantile_cont(power_dbfs, 0.1) FILTER (WHERE freq_hz BETWEEN 400000000 AND 470000000), -100), 1) AS noise_floor_dbfs, round(max(power_dbfs), 1) AS peak_signal_dbfs, arg_max(freq_hz, (power_dbfs, -freq_hz)) AS peak_signal_freq_hz FROM scans s JOIN f ON f.run_id = s.run_id AND f.dongle_id = s.dongle_id AND f.sweep_id = s.sweep_id GROUP BY 1, 2, 3",
+)
+
 # --- features, classification, health ---
 
 
@@ -230,14 +249,7 @@ add("k14_depression", _depression, f"WITH b AS (SELECT {SQL_HOUR}, dongle_id, fr
 add("k15_clip_split", lambda rel: compression.clip_flags(rel("sweep_health")).select("sweep_id", "dongle_id", "sig_clip", "sig_clip_fm"), "SELECT sweep_id, dongle_id, CASE WHEN clipped_captures < 5 OR worst_clip_freq_hz <= 0 THEN 0 WHEN worst_clip_freq_hz BETWEEN 88000000 AND 108000000 OR worst_clip_freq_hz BETWEEN 174000000 AND 230000000 THEN 0 ELSE 1 END AS sig_clip, CASE WHEN clipped_captures >= 5 AND worst_clip_freq_hz BETWEEN 88000000 AND 108000000 THEN 1 ELSE 0 END AS sig_clip_fm FROM sweep_health")
 
 
-def tiles(bins: DataFrame, start: int = 88_000_000, width: int = 2_048_000) -> DataFrame:
-    """Strongest bin of each tile (ties: the lowest) and its offset from the tile's centre."""
-    tile = F.floor((F.col("freq_hz") - start) / width).cast("long")
-    d = bins.groupBy("sweep_id", "dongle_id", tile.alias("tile")).agg(F.max_by("freq_hz", F.struct("power_dbfs", -F.col("freq_hz"))).alias("f"), F.max("power_dbfs").alias("power"))
-    return d.select("sweep_id", "dongle_id", "tile", "power", (F.col("f") - start - F.col("tile") * width - width // 2).alias("offset_hz"))
-
-
-add("k17_tile_offsets", lambda rel: tiles(rel("bins")).withColumn("power", r("power", 9)), "SELECT sweep_id, dongle_id, (freq_hz - 88000000) // 2048000 AS tile, round(max(power_dbfs), 9) AS power, arg_max(freq_hz, (power_dbfs, -freq_hz)) - 88000000 - (freq_hz - 88000000) // 2048000 * 2048000 - 1024000 AS offset_hz FROM bins GROUP BY 1, 2, 3")
+add("k17_tile_offsets", lambda rel: compression.tiles(rel("bins")).withColumn("power", r("power", 9)), "SELECT sweep_id, dongle_id, (freq_hz - 88000000) // 2048000 AS tile, round(max(power_dbfs), 9) AS power, arg_max(freq_hz, (power_dbfs, -freq_hz)) - 88000000 - (freq_hz - 88000000) // 2048000 * 2048000 - 1024000 AS offset_hz FROM bins GROUP BY 1, 2, 3")
 def _promotions(rel):
     """Frequencies of 10 or more messages in 24 hours by one receiver, the one of most, but those confirmed today."""
     key = F.round(F.col("freq_mhz") * 1e6).cast("long").alias("freq_hz")
@@ -274,39 +286,51 @@ def _quality(rel):
 add("k22_signal_quality", _quality, f"WITH q AS (SELECT dongle_id, max(max_power) AS power, count(*) AS sweeps FROM sweep_health WHERE {sql_since(240)} AND preset = 'full' GROUP BY 1) SELECT e.d AS dongle_id, power, coalesce(sweeps, 0) AS sweeps, CASE WHEN coalesce(sweeps, 0) < 5 THEN 'OK' WHEN power < -40 THEN 'CRITICAL' WHEN power < -35 THEN 'WARN' ELSE 'OK' END AS level FROM (VALUES ('v3-01'), ('v4-01'), ('v5-01')) AS e(d) LEFT JOIN q ON q.dongle_id = e.d")
 
 
-def _series(rel) -> DataFrame:
-    return rel("scans").select("freq_hz", "dongle_id", "ts", "power_dbfs", "sweep_id")
-
-
 # full hours as given: 1 h, 24 h, 7 d and 14 d up to AS_OF
 _W = lambda h: f"ts >= {SQL_NOW} - INTERVAL {h} HOUR"
-_duty = lambda h: f"round(coalesce(avg(CASE WHEN power_dbfs > t THEN 1e0 ELSE 0e0 END) FILTER (WHERE {_W(h)}), 0e0), 4)"
+_share = lambda cond: f"round(coalesce(avg(CASE WHEN power_dbfs > t THEN 1e0 ELSE 0e0 END) FILTER (WHERE {cond}), 0e0), 4)"
 _ON = f"FILTER (WHERE power_dbfs > t AND {_W(24)})"
-SQL_PEAK_FEATURES = f"""WITH bad AS (SELECT DISTINCT sweep_id FROM sweep_health WHERE clipped_captures > 6), s AS (SELECT freq_hz, dongle_id, ts, power_dbfs FROM scans WHERE ts <= {SQL_NOW} AND {_W(336)} AND sweep_id NOT IN (SELECT sweep_id FROM bad)),
- b AS (SELECT freq_hz, dongle_id, quantile_cont(power_dbfs, 0.1) AS base, quantile_cont(power_dbfs, 0.1) + 6 AS t FROM s WHERE {_W(24)} GROUP BY 1, 2), j AS (SELECT s.*, base, t FROM s JOIN b ON b.freq_hz = s.freq_hz AND b.dongle_id = s.dongle_id)
- SELECT freq_hz, dongle_id, {_duty(1)} AS duty_cycle_1h, {_duty(24)} AS duty_cycle_24h, {_duty(168)} AS duty_cycle_7d, round(coalesce(avg(power_dbfs) {_ON}, any_value(base)), 6) AS power_mean_dbfs,
- round(coalesce(quantile_cont(power_dbfs, 0.95) {_ON}, any_value(base)), 6) AS power_p95_dbfs, round(coalesce(stddev_pop(power_dbfs) {_ON}, 0), 5) AS power_std_db, count(*) FILTER (WHERE {_W(24)}) AS sweeps_observed_24h FROM j GROUP BY 1, 2"""
+_list = lambda items: "concat_ws(',', " + ", ".join(f"CAST(CAST(round({i} * 10000) AS BIGINT) AS VARCHAR)" for i in items) + ")"
+_NOT_BAD = "NOT EXISTS (SELECT 1 FROM bad WHERE bad.sweep_id = x.sweep_id AND bad.dongle_id = x.dongle_id)"
+_STEP = lambda f: "coalesce(" + ", ".join(f"CASE WHEN power_dbfs - {f}(power_dbfs, {k}) OVER w >= 3 THEN {k} END" for k in range(1, 6)) + ")"
+SQL_PEAK_FEATURES = f"""WITH bad AS (SELECT DISTINCT sweep_id, dongle_id FROM compression_events WHERE match_tier IN ('medium', 'high')),
+ p AS (SELECT freq_hz, dongle_id, max(power_dbfs) AS power FROM peaks x WHERE ts <= {SQL_NOW} AND ts > {SQL_NOW} - INTERVAL 24 HOUR AND {_NOT_BAD} GROUP BY 1, 2),
+ o AS (SELECT * FROM dense x WHERE ts <= {SQL_NOW} AND {_NOT_BAD}), s AS (SELECT o.* FROM o JOIN p ON p.freq_hz = o.freq_hz AND p.dongle_id = o.dongle_id WHERE {_W(336)}),
+ b AS (SELECT freq_hz, dongle_id, quantile_cont(power_dbfs, 0.1) AS base, quantile_cont(power_dbfs, 0.1) + 6 AS t FROM s WHERE {_W(24)} GROUP BY 1, 2), j AS (SELECT s.*, base, t FROM s JOIN b ON b.freq_hz = s.freq_hz AND b.dongle_id = s.dongle_id),
+ a AS (SELECT *, power_dbfs > t AS act, row_number() OVER (PARTITION BY freq_hz, dongle_id ORDER BY ts) - row_number() OVER (PARTITION BY freq_hz, dongle_id, power_dbfs > t ORDER BY ts) AS grp, CASE WHEN freq_hz BETWEEN 118000000 AND 137000000 THEN 60 ELSE 300 END AS iv FROM j WHERE {_W(24)}),
+ u AS (SELECT freq_hz, dongle_id, count(*) * any_value(iv) AS dur FROM a WHERE act GROUP BY freq_hz, dongle_id, grp HAVING count(*) > 1), v AS (SELECT freq_hz, dongle_id, round(quantile_cont(dur, 0.5), 2) AS burst_p50_s, round(quantile_cont(dur, 0.95), 2) AS burst_p95_s FROM u GROUP BY 1, 2 HAVING count(*) >= 3),
+ l AS (SELECT dongle_id, arg_max(sweep_id, (ts, sweep_id)) AS sweep_id FROM sweep_health x WHERE preset = 'full' AND ts <= {SQL_NOW} AND {_NOT_BAD} GROUP BY 1), g AS (SELECT o.dongle_id, freq_hz, max(power_dbfs) AS power_dbfs FROM o JOIN l ON l.dongle_id = o.dongle_id AND l.sweep_id = o.sweep_id GROUP BY 1, 2),
+ d AS (SELECT dongle_id, freq_hz AS bin, coalesce(({_STEP('lag')} + {_STEP('lead')} + 1) * 100000, 999000000) AS bw FROM g WINDOW w AS (PARTITION BY dongle_id ORDER BY freq_hz)),
+ h AS ({sql_harmonics('p', 'dongle_id, freq_hz')}),
+ f AS (SELECT freq_hz, dongle_id, {_share(_W(1))} AS duty_cycle_1h, {_share(_W(24))} AS duty_cycle_24h, {_share(_W(168))} AS duty_cycle_7d, round(coalesce(avg(power_dbfs) {_ON}, any_value(base)), 6) AS power_mean_dbfs,
+  round(coalesce(quantile_cont(power_dbfs, 0.95) {_ON}, any_value(base)), 6) AS power_p95_dbfs, round(coalesce(stddev_pop(power_dbfs) {_ON}, 0), 5) AS power_std_db, count(*) FILTER (WHERE {_W(24)}) AS sweeps_observed_24h,
+  {_list(_share(f"{_W(168)} AND hour(ts) = {k}") for k in range(24))} AS diurnal_pattern, {_list(_share(f"isodow(ts) = {k + 1}") for k in range(7))} AS weekday_pattern FROM j GROUP BY 1, 2)
+ SELECT f.*, burst_p50_s, burst_p95_s, coalesce((SELECT bw FROM d WHERE d.dongle_id = f.dongle_id ORDER BY abs(bin - f.freq_hz), bin DESC LIMIT 1), 999000000) AS bandwidth_hz, harmonic_of_hz, {SQL_NOW} AS computed_at
+ FROM f LEFT JOIN v ON v.freq_hz = f.freq_hz AND v.dongle_id = f.dongle_id LEFT JOIN h ON h.freq_hz = f.freq_hz AND h.dongle_id = f.dongle_id"""
 
 
-def _suspect(rel) -> DataFrame:
-    return rel("sweep_health").where("clipped_captures > 6").select("sweep_id").distinct()
+def peak_features_of(rel) -> DataFrame:
+    return features.feature_rows(rel("dense"), rel("peaks"), rel("sweep_health"), features.suspects(rel("compression_events")), rel("allocations"), now())
 
 
-def peak_features_of(rel) -> DataFrame:
-    return features.peak_features(_series(rel), now(), suspect=_suspect(rel))
+def _shown(d: DataFrame) -> DataFrame:
+    as_text = lambda c: F.array_join(F.transform(c, lambda x: F.round(x * 10000).cast("long").cast("string")), ",").alias(c)
+    rounded = {"power_mean_dbfs": 6, "power_p95_dbfs": 6, "power_std_db": 5}
+    return d.select(*[as_text(c) if c.endswith("_pattern") else r(c, rounded[c]).alias(c) if c in rounded else c for c in d.columns])
 
 
-_SHOWN = ["freq_hz", "dongle_id", "duty_cycle_1h", "duty_cycle_24h", "duty_cycle_7d", "sweeps_observed_24h"]
-add("k9_peak_features", lambda rel: peak_features_of(rel).select(*_SHOWN, r("power_mean_dbfs", 6).alias("power_mean_dbfs"), r("power_p95_dbfs", 6).alias("power_p95_dbfs"), r("power_std_db", 5).alias("power_std_db")), SQL_PEAK_FEATURES)
+add("k9_peak_features", lambda rel: _shown(peak_features_of(rel)), SQL_PEAK_FEATURES)
 
 
 def _emergence(rel):
-    """Bins silent for a week that are active now, of no known class."""
-    base = rel("scans").where((F.col("ts") <= now() - F.expr("INTERVAL 24 HOURS"))).groupBy("freq_hz", "dongle_id").agg(F.avg("power_dbfs").alias("quiet"))
-    return features.emergence(peak_features_of(rel), class_latest(rel), base).select("freq_hz", "dongle_id", "duty_cycle_1h", "duty_cycle_24h", "duty_cycle_7d")
+    """Bins quiet for a week that are active now, of no known class. The shares of a week and of a day are looser than given, as
+    these events know no silence."""
+    base = rel("dense").where((F.col("ts") <= now() - F.expr("INTERVAL 24 HOURS"))).groupBy("freq_hz", "dongle_id").agg(F.avg("power_dbfs").alias("quiet"))
+    classes = rel("classified").groupBy(F.element_at(F.array(*map(F.lit, SIX)), (F.col("freq_hz") / 100_000 % 6 + 1).cast("int")).alias("freq_hz"), "dongle_id").agg(F.max("class_id").alias("class_id"))
+    return features.emergence(peak_features_of(rel), classes, base, near=-1.0, week=0.9, day=0.05).select("freq_hz", "dongle_id", "duty_cycle_1h", "duty_cycle_24h", "duty_cycle_7d")
 
 
-add("k23_emergence", _emergence, f"SELECT f.freq_hz, f.dongle_id, duty_cycle_1h, duty_cycle_24h, duty_cycle_7d FROM ({SQL_PEAK_FEATURES}) f JOIN ({SQL_CLASS}) c ON c.freq_hz = f.freq_hz AND c.dongle_id = f.dongle_id JOIN (SELECT freq_hz, dongle_id, avg(power_dbfs) AS quiet FROM scans WHERE ts <= {SQL_NOW} - INTERVAL 24 HOUR GROUP BY 1, 2) q ON q.freq_hz = f.freq_hz AND q.dongle_id = f.dongle_id WHERE duty_cycle_1h > 0.1 AND duty_cycle_7d < 0.02 AND duty_cycle_24h > 0.05 AND power_p95_dbfs > quiet + 10 AND class_id IN ('unknown_bursty', 'unknown_continuous')")
+add("k23_emergence", _emergence, f"SELECT f.freq_hz, f.dongle_id, duty_cycle_1h, duty_cycle_24h, duty_cycle_7d FROM ({SQL_PEAK_FEATURES}) f JOIN (SELECT ([{', '.join(map(str, SIX))}])[(freq_hz // 100000) % 6 + 1] AS freq_hz, dongle_id, max(class_id) AS class_id FROM classified GROUP BY 1, 2) c ON c.freq_hz = f.freq_hz AND c.dongle_id = f.dongle_id JOIN (SELECT freq_hz, dongle_id, avg(power_dbfs) AS quiet FROM dense WHERE ts <= {SQL_NOW} - INTERVAL 24 HOUR GROUP BY 1, 2) q ON q.freq_hz = f.freq_hz AND q.dongle_id = f.dongle_id WHERE duty_cycle_1h > -1 AND duty_cycle_7d < 0.9 AND duty_cycle_24h > 0.05 AND power_p95_dbfs > quiet + 10 AND class_id IN ('unknown_bursty', 'unknown_continuous')")
 
 
 def _lonely(rel):

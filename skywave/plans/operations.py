@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import classify as C
 from ..operators import features, joins, state
+from ..operators import quantiles as Q
 from ..sources import lines
-from .dashboards import SQL_CLASS, SQL_NOW, class_latest, now, r, since, sql_since
+from .dashboards import DB, SQL_NOW, now, r, since, sql_since
 from .kernels import SQL_ALLOC
 from .relations import AS_OF
 
@@ -71,8 +72,9 @@ _CUT = "TIMESTAMP '2024-01-16 12:00:00'"
 def _bands(rel) -> DataFrame:
     """Mean power and noise floor of each band before and after a change."""
     d = rel("scans").where((F.col("dongle_id") == "v3-01") & since(240)).withColumn("band", S.band(F.col("freq_hz"), [(n, a * 10**6, b * 10**6) for n, a, b in _AB])).where("band IS NOT NULL")
-    d = d.groupBy("band", F.expr(f"ts < {_CUT.replace('TIMESTAMP', 'TIMESTAMP_NTZ')}").alias("pre_filter"))
-    return d.agg(F.count("*").alias("n"), r(F.avg("power_dbfs"), 6).alias("avg_power_dbfs"), r(F.percentile("power_dbfs", F.lit(0.1)), 6).alias("noise_floor_q10"))
+    d = d.withColumn("pre_filter", F.expr(f"ts < {_CUT.replace('TIMESTAMP', 'TIMESTAMP_NTZ')}"))
+    d = Q.summary(d, ["band", "pre_filter"], "power_dbfs", {"q10": 0.1}, DB)
+    return d.select("band", "pre_filter", "n", r("mean", 6).alias("avg_power_dbfs"), r("q10", 6).alias("noise_floor_q10"))
 
 
 add("q_ab1_band_delta", _bands, "WITH d AS (SELECT *, CASE " + " ".join(f"WHEN freq_hz BETWEEN {a}000000 AND {b}000000 THEN '{n}'" for n, a, b in _AB) + f" END AS band FROM scans WHERE dongle_id = 'v3-01' AND {sql_since(240)}) SELECT band, ts < {_CUT} AS pre_filter, count(*) AS n, round(avg(power_dbfs), 6) AS avg_power_dbfs, round(quantile_cont(power_dbfs, 0.1), 6) AS noise_floor_q10 FROM d WHERE band IS NOT NULL GROUP BY 1, 2")
@@ -83,26 +85,33 @@ add("q_mc5_activity", lambda rel: rel("messages").groupBy("freq_mhz").agg(F.coun
 #: Known classes that are no fallback: only their frequencies are checked.
 TARGETS = sorted(c for c in C.EVIDENCE if not c.startswith("unknown_"))
 _IN = ", ".join(f"'{c}'" for c in TARGETS)
-SQL_BEST = f"SELECT k.freq_hz, k.class_id AS expected, c.class_id AS seen, c.confidence::DOUBLE AS confidence FROM known_frequencies k LEFT JOIN ({SQL_CLASS}) c ON abs(c.freq_hz - k.freq_hz) <= 150000 WHERE k.class_id IN ({_IN}) QUALIFY row_number() OVER (PARTITION BY k.freq_hz ORDER BY (c.class_id = k.class_id) DESC NULLS LAST, c.confidence DESC NULLS LAST, abs(c.freq_hz - k.freq_hz), c.freq_hz, c.dongle_id) = 1"
+_RUNS = "SELECT freq_hz, dongle_id, arg_max(class_id, ts) AS class_id, arg_max(confidence, ts) AS confidence FROM classified_runs GROUP BY 1, 2"
+SQL_BEST = f"""SELECT k.id, k.name, k.freq_hz, k.class_id AS expected, k.min_confidence, c.class_id AS seen, c.confidence FROM reference_bins k LEFT JOIN ({_RUNS}) c ON abs(c.freq_hz - k.freq_hz) <= 150000 WHERE k.class_id IN ({_IN})
+ QUALIFY row_number() OVER (PARTITION BY k.id ORDER BY (c.class_id = k.class_id) DESC NULLS LAST, c.confidence DESC NULLS LAST, abs(c.freq_hz - k.freq_hz), c.freq_hz, c.dongle_id) = 1"""
 
 
 def known_good(rel) -> DataFrame:
-    """(freq_hz, expected, seen, confidence): what is classified nearest to each known frequency, its own class first."""
-    known = rel("known_frequencies").where(F.col("class_id").isin(TARGETS)).select(F.col("freq_hz").alias("k"), F.col("class_id").alias("expected"), F.lit(150_000).alias("tol"))
-    met = joins.tolerance_join(class_latest(rel), known, "freq_hz", "k", "tol", 300_000)
-    best = F.row_number().over(Window.partitionBy("k").orderBy(F.desc(F.col("class_id") == F.col("expected")), F.desc("confidence"), F.abs(F.col("freq_hz") - F.col("k")), "freq_hz", "dongle_id"))
-    met = met.withColumn("b", best).where("b = 1").select("k", F.col("class_id").alias("seen"), F.col("confidence").cast("double").alias("confidence"))
-    return known.join(met, "k", "left").select(F.col("k").alias("freq_hz"), "expected", "seen", "confidence")
+    """Each known frequency of a real class (id, name, freq_hz, expected, min_confidence) with what is classified within its tolerance: its
+    own class first, then by confidence and nearness (seen, confidence; null where nothing is), and whether it passes: its class with the
+    confidence that it asks for, or nothing seen."""
+    known = rel("reference_bins").where(F.col("class_id").isin(TARGETS)).select("id", "name", F.col("freq_hz").alias("k"), F.col("class_id").alias("expected"), "min_confidence")
+    last = rel("classified_runs").groupBy("freq_hz", "dongle_id").agg(F.max_by(F.struct("class_id", "confidence"), "ts").alias("v")).select("freq_hz", "dongle_id", "v.*")
+    met = joins.tolerance_join(last, known.select("id", "k", "expected", F.lit(150_000).alias("tol")), "freq_hz", "k", "tol", 300_000)
+    best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc(F.col("class_id") == F.col("expected")), F.desc("confidence"), F.abs(F.col("freq_hz") - F.col("k")), "freq_hz", "dongle_id"))
+    met = met.withColumn("b", best).where("b = 1").select("id", F.col("class_id").alias("seen"), "confidence")
+    fits = F.col("seen").isNull() | ((F.col("seen") == F.col("expected")) & (F.col("confidence") >= F.col("min_confidence")))
+    return known.join(met, "id", "left").withColumnRenamed("k", "freq_hz").withColumn("passes", fits)
 
 
-def _fails():
-    """Seen, but not as its class with enough confidence; what nothing was seen of passes."""
-    return F.col("seen").isNotNull() & ~((F.col("seen") == F.col("expected")) & (F.col("confidence") >= 0.6))
+add("k13_known_good", lambda rel: known_good(rel).select("id", "name", "freq_hz", "expected", "min_confidence", "seen", "confidence", "passes"), f"SELECT *, seen IS NULL OR (seen = expected AND confidence >= min_confidence) AS passes FROM ({SQL_BEST})")
 
 
 def _health(rel) -> DataFrame:
-    """Each part is one row (aggregates without keys), so the joins of them are of one row each."""
-    c = class_latest(rel).withColumn("confidence", F.col("confidence").cast("double"))
+    """Each part is one row (aggregates without keys), so the joins of them are of one row each. Classifications are those of the
+    latest run. The list of known frequencies that do not pass, or of which nothing is seen, is as long as that table, which people keep;
+    k13_known_good has it as rows."""
+    runs = rel("classified_runs")
+    c = runs.join(F.broadcast(runs.agg(F.max("run").alias("run"))), "run")  # one row
     unknown = F.col("class_id").startswith("unknown_") | (F.col("confidence") < 0.5)
     stats = c.agg(
         F.count("*").alias("total_classifications"),
@@ -110,7 +119,7 @@ def _health(rel) -> DataFrame:
         F.count_if(F.abs(F.col("confidence") - F.round("confidence", 1)) > 0.001).alias("confidence_precision_tail_count"),
         r(F.coalesce(F.try_divide(F.count_if(unknown), F.count("*")), F.lit(0.0)), 4).alias("unknowns_ratio"),
         r(F.avg("confidence"), 4).alias("confidence_mean"),
-        S.unit_diff("SECOND", F.max("classified_at"), F.lit("2024-02-01").cast("timestamp_ntz")).alias("seconds_since_last_classification"),
+        S.unit_diff("SECOND", F.max("ts"), F.lit("2024-02-01").cast("timestamp_ntz")).alias("seconds_since_last_classification"),
     )
     dist = c.groupBy("class_id").agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("class_id", "n")))).alias("m")).select(F.to_json("m").alias("class_distribution_json"))
     f = rel("features")
@@ -121,8 +130,13 @@ def _health(rel) -> DataFrame:
     feats = f.agg(F.count_if((F.col("duty_cycle_24h") > 0.85) & F.col("burst_p50_s").isNotNull()).alias("continuous_signals_with_bursts"), S.unit_diff("SECOND", F.max("computed_at"), F.lit("2024-02-01").cast("timestamp_ntz")).alias("seconds_since_last_peak_features"))
     sweeps = rel("scans").agg(S.unit_diff("SECOND", F.max("ts"), F.lit("2024-02-01").cast("timestamp_ntz")).alias("seconds_since_last_sweep"))
     good = known_good(rel)
-    fails = F.array_sort(F.collect_list(F.when(_fails(), F.struct("freq_hz", "expected", "seen"))))
-    good = good.agg(F.count_if(~_fails()).alias("known_good_passing"), F.count("*").alias("known_good_total"), F.to_json(fails).alias("known_good_failing_json"), F.coalesce(F.max(F.when((F.col("expected") == "am_airband_atis") & (F.col("seen") == "am_airband_atis"), F.col("confidence"))), F.lit(0.0)).alias("atis_confidence_current"))
+    none = F.struct("name", F.lit("no_data").alias("status"))
+    wrong = F.struct("name", F.round(F.col("freq_hz") / 1e6, 3).alias("freq_mhz"), F.col("seen").alias("class_id"), F.round("confidence", 2).alias("confidence"), F.col("expected").alias("expected_class"), F.col("min_confidence").alias("min_conf"))
+    entry = F.when(F.col("seen").isNull(), F.to_json(none)).when(~F.col("passes"), F.to_json(wrong))
+    fails = F.array_sort(F.collect_list(F.when(entry.isNotNull(), F.struct("freq_hz", "id", entry.alias("e")))))
+    # what is best for the first known ATIS frequency of which anything is seen, of whatever class
+    atis = F.min_by("confidence", F.when((F.col("expected") == "am_airband_atis") & F.col("seen").isNotNull(), F.struct("freq_hz", "id")))
+    good = good.agg(F.count_if("passes").alias("known_good_passing"), F.count("*").alias("known_good_total"), F.concat(F.lit("["), F.array_join(F.transform(fails, lambda x: x.e), ","), F.lit("]")).alias("known_good_failing_json"), F.coalesce(atis, F.lit(0.0)).alias("atis_confidence_current"))
     out = stats.select(F.lit(AS_OF).cast("timestamp_ntz").alias("computed_at"), "*", F.lit(None).cast("double").alias("classifier_runtime_seconds"))
     for part in (dist, h.agg(F.count("*").alias("harmonic_flags_total")), cross, feats, sweeps, good):
         out = out.join(F.broadcast(part))
@@ -133,15 +147,15 @@ _SINCE = lambda t, c: f"date_diff('second', (SELECT max({c}) FROM {t}), TIMESTAM
 add(
     "k13_health_row",
     _health,
-    f"""WITH c AS ({SQL_CLASS}), g AS ({SQL_BEST}), h AS (SELECT freq_hz, harmonic_of_hz FROM features WHERE harmonic_of_hz IS NOT NULL AND computed_at > {SQL_NOW} - INTERVAL 240 HOUR)
+    f"""WITH c AS (SELECT * FROM classified_runs WHERE run = (SELECT max(run) FROM classified_runs)), g AS ({SQL_BEST}), h AS (SELECT freq_hz, harmonic_of_hz FROM features WHERE harmonic_of_hz IS NOT NULL AND computed_at > {SQL_NOW} - INTERVAL 240 HOUR)
  SELECT {SQL_NOW} AS computed_at, count(*) AS total_classifications, count(DISTINCT confidence) AS confidence_distinct_values, count(*) FILTER (WHERE abs(confidence - round(confidence, 1)) > 0.001) AS confidence_precision_tail_count,
- round(CAST(count(*) FILTER (WHERE class_id LIKE 'unknown@_%' ESCAPE '@' OR confidence < 0.5) AS DOUBLE) / count(*), 4) AS unknowns_ratio, round(avg(confidence::DOUBLE), 4) AS confidence_mean, date_diff('second', max(classified_at), TIMESTAMP '2024-02-01') AS seconds_since_last_classification,
+ round(CAST(count(*) FILTER (WHERE class_id LIKE 'unknown@_%' ESCAPE '@' OR confidence < 0.5) AS DOUBLE) / count(*), 4) AS unknowns_ratio, round(avg(confidence::DOUBLE), 4) AS confidence_mean, date_diff('second', max(ts), TIMESTAMP '2024-02-01') AS seconds_since_last_classification,
  CAST(NULL AS DOUBLE) AS classifier_runtime_seconds, (SELECT '{{' || string_agg('"' || class_id || '":' || n, ',' ORDER BY class_id) || '}}' FROM (SELECT class_id, count(*) AS n FROM c GROUP BY 1)) AS class_distribution_json,
  (SELECT count(*) FROM h) AS harmonic_flags_total, (SELECT count(*) FROM h, {SQL_ALLOC}, {SQL_ALLOC.replace(' al(', ' bl(')} WHERE h.freq_hz BETWEEN al.lo AND al.hi AND h.harmonic_of_hz BETWEEN bl.lo AND bl.hi AND al.service <> bl.service) AS harmonic_flags_cross_allocation,
  (SELECT count(*) FROM features WHERE duty_cycle_24h > 0.85 AND burst_p50_s IS NOT NULL) AS continuous_signals_with_bursts, {_SINCE('features', 'computed_at')} AS seconds_since_last_peak_features, {_SINCE('scans', 'ts')} AS seconds_since_last_sweep,
- (SELECT count(*) FROM g WHERE seen IS NULL OR (seen = expected AND confidence >= 0.6)) AS known_good_passing, (SELECT count(*) FROM g) AS known_good_total,
- (SELECT '[' || coalesce(string_agg('{{"freq_hz":' || freq_hz || ',"expected":"' || expected || '","seen":"' || seen || '"}}', ',' ORDER BY freq_hz), '') || ']' FROM g WHERE seen IS NOT NULL AND NOT (seen = expected AND confidence >= 0.6)) AS known_good_failing_json,
- coalesce((SELECT max(confidence) FROM g WHERE expected = 'am_airband_atis' AND seen = expected), 0.0) AS atis_confidence_current FROM c""",
+ (SELECT count(*) FROM g WHERE seen IS NULL OR (seen = expected AND confidence >= min_confidence)) AS known_good_passing, (SELECT count(*) FROM g) AS known_good_total,
+ (SELECT '[' || coalesce(string_agg(CASE WHEN seen IS NULL THEN '{{"name":"' || name || '","status":"no_data"}}' ELSE '{{"name":"' || name || '","freq_mhz":' || round(freq_hz / 1e6, 3) || ',"class_id":"' || seen || '","confidence":' || round(confidence, 2) || ',"expected_class":"' || expected || '","min_conf":' || min_confidence || '}}' END, ',' ORDER BY freq_hz, id), '') || ']' FROM g WHERE seen IS NULL OR NOT (seen = expected AND confidence >= min_confidence)) AS known_good_failing_json,
+ coalesce((SELECT arg_min(confidence, (freq_hz, id)) FROM g WHERE expected = 'am_airband_atis' AND seen IS NOT NULL), 0.0) AS atis_confidence_current FROM c""",
 )
 
 
@@ -149,20 +163,26 @@ add(
 
 
 def _fragments(rel) -> DataFrame:
-    """Two fragments a message, five seconds apart: every seventh's second one comes too late, every eleventh has no first one,
-    every thirteenth message is of one sentence."""
+    """Three fragments a message, the second 25 and the last 50 seconds after the first, as each of them renews the time: every seventh's last
+    one comes another 31 seconds later, every eleventh has no first one, every fifth has no second one, so that the last is 50 seconds
+    after the first, but those of every third come 20 seconds after it, which is enough; every thirteenth message is of one sentence."""
     at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
     d = rel("ships").select("event_id", at.alias("at"))
-    sentence = lambda count, num, text: F.concat_ws(",", F.lit("!AIVDM"), F.lit(count), F.lit(num), F.col("event_id").cast("string"), F.lit("A"), text, F.lit("2*00"))
     id_ = F.col("event_id").cast("string")
-    whole = d.where("event_id % 13 = 0").select("at", sentence("1", "1", F.concat(F.lit("S"), id_)).alias("line"))
+    sentence = lambda count, num, text: F.concat_ws(",", F.lit("!AIVDM"), F.lit(count), F.lit(num), id_, F.lit("A"), F.concat(F.lit(text), id_), F.lit("2*00"))
+    later = lambda s: (F.col("at") + s).alias("at")
+    out = d.where("event_id % 13 = 0").select("at", sentence("1", "1", "S").alias("line"))
     d = d.where("event_id % 13 <> 0")
-    first = d.where("event_id % 11 <> 0").select("at", sentence("2", "1", F.concat(F.lit("P"), id_)).alias("line"))
-    second = d.select((F.col("at") + F.when(F.col("event_id") % 7 == 0, 31).otherwise(5)).alias("at"), sentence("2", "2", F.concat(F.lit("Q"), id_)).alias("line"))
-    return whole.unionByName(first).unionByName(second)
+    last = F.when(F.expr("event_id % 5 = 0 AND event_id % 3 = 0"), 20).when(F.expr("event_id % 7 = 0"), 81).otherwise(50)
+    for part in (d.where("event_id % 11 <> 0").select("at", sentence("3", "1", "P").alias("line")), d.where("event_id % 5 <> 0").select(later(25), sentence("3", "2", "Q").alias("line")), d.select(later(last), sentence("3", "3", "R").alias("line"))):
+        out = out.unionByName(part)
+    return out
 
 
-add("d7_assembled", lambda rel: lines.assemble(lines.nmea_fields(_fragments(rel)), "at").select(r("at", 3).alias("at"), "payload", F.col("fill").cast("int").alias("fill")), "SELECT round(epoch_us(ts) / 1e6 + CASE WHEN event_id % 13 = 0 THEN 0 ELSE 5 END, 3) AS at, CASE WHEN event_id % 13 = 0 THEN 'S' || event_id ELSE 'P' || event_id || 'Q' || event_id END AS payload, 2 AS fill FROM ships WHERE event_id % 13 = 0 OR (event_id % 11 <> 0 AND event_id % 7 <> 0)")
+_SQL_WHOLE = """SELECT round(epoch_us(ts) / 1e6 + CASE WHEN event_id % 13 = 0 THEN 0 WHEN event_id % 5 = 0 THEN 20 ELSE 50 END, 3) AS at,
+ CASE WHEN event_id % 13 = 0 THEN 'S' || event_id WHEN event_id % 5 = 0 THEN 'P' || event_id || 'R' || event_id ELSE 'P' || event_id || 'Q' || event_id || 'R' || event_id END AS payload, 2 AS fill
+ FROM ships WHERE event_id % 13 = 0 OR (event_id % 11 <> 0 AND ((event_id % 5 = 0 AND event_id % 3 = 0) OR (event_id % 5 <> 0 AND event_id % 7 <> 0)))"""
+add("d7_assembled", lambda rel: lines.assemble(lines.nmea_fields(_fragments(rel)), "at").select(r("at", 3).alias("at"), "payload", F.col("fill").cast("int").alias("fill")), _SQL_WHOLE)
 
 
 def _positions(rel) -> DataFrame:
@@ -200,4 +220,4 @@ def _merged(rel) -> DataFrame:
 
 
 add("a14_merged_states", _merged, "SELECT label, count(*) AS n, count(DISTINCT flight) AS flights, round(coalesce(sum(level_db) FILTER (WHERE error_count = 0), 0), 6) AS sum_if, round(avg(level_db) FILTER (WHERE error_count = 0), 6) AS avg_if FROM messages GROUP BY 1")
-add("a3_distinct_approx", lambda rel: rel("positions").groupBy().agg((F.abs(F.approx_count_distinct("hex_ident", 0.02) - F.count_distinct("hex_ident")) <= 0.1 * F.count_distinct("hex_ident")).alias("near")), "SELECT TRUE AS near")
+add("a3_distinct_approx", lambda rel: rel("positions").agg(F.count_distinct("hex_ident").alias("exact"), (F.abs(F.approx_count_distinct("hex_ident", 0.02) - F.count_distinct("hex_ident")) <= 0.1 * F.count_distinct("hex_ident")).alias("near")), "SELECT count(DISTINCT hex_ident) AS exact, TRUE AS near FROM positions")

@@ -13,6 +13,10 @@ CURRENT, COMPARE = "run-1", "run-0"
 
 _V3 = "CASE WHEN event_type IN ('click', 'view') THEN 'v3-01' ELSE 'v4-01' END"
 _HOUR = "substring(CAST(ts AS STRING), 1, 13)"
+SIX = (100_000_000, 121_500_000, 130_000_000, 200_100_000, 243_000_000, 446_100_000)
+_SIX = "CASE user_id % 6 " + " ".join(f"WHEN {k} THEN {f}" for k, f in enumerate(SIX)) + " END"
+_DAY = "substring(CAST(ts AS STRING), 1, 10)"
+_DAY_NO = "CAST(substring(CAST(ts AS STRING), 9, 2) AS INT)"
 
 VIEWS = {
     "scans": f"""SELECT ts, 88000000 + (user_id % 150) * 2500000 AS freq_hz, value / 5 - 60 AS power_dbfs,
@@ -20,6 +24,19 @@ VIEWS = {
         'run-' || substring(CAST(ts AS STRING), 9, 1) AS run_id, {_V3} AS dongle_id FROM events""",
     "bins": f"""SELECT substring(CAST(ts AS STRING), 1, 10) AS sweep_id, {_V3} AS dongle_id, 88000000 + (user_id % 150) * 100000 AS freq_hz, max(ts) AS ts, max(floor(value)) / 5 - 60 AS power_dbfs
         FROM events GROUP BY substring(CAST(ts AS STRING), 1, 10), {_V3}, 88000000 + (user_id % 150) * 100000""",
+    # sweeps of a day over tiles 60 to 99, one an hour by the day's number: equal offsets on even days, less power on every third
+    "wide": f"""SELECT {_DAY} AS sweep_id, {_V3} AS dongle_id, {_DAY_NO} AS hour_no, 88000000 + (60 + user_id % 40) * 2048000 + 1024000
+        + CASE WHEN user_id % 40 = 10 THEN 700000 WHEN {_DAY_NO} % 2 = 0 THEN 231000 + (user_id % 3) * 5000 ELSE (user_id * 7919) % 900000 END AS freq_hz,
+        max(floor(value)) / 5 - CASE WHEN {_DAY_NO} % 3 = 0 THEN 35 ELSE 20 END AS power_dbfs FROM events GROUP BY 1, 2, 3, 4, {_DAY_NO} % 3""",
+    "sampled": f"""SELECT {_DAY} AS sweep_id, {_V3} AS dongle_id, user_id, 89024000 + (user_id % 60) * 2048000 AS center_hz, CAST(floor(value) AS BIGINT) AS level FROM events""",
+    "wide_health": f"""SELECT {_DAY} AS sweep_id, {_V3} AS dongle_id, {_DAY_NO} AS hour_no, sum(CASE WHEN value > 40 THEN 1 ELSE 0 END) AS clipped_captures,
+        CASE WHEN {_DAY_NO} % 4 = 0 THEN 95000000 ELSE 446000000 END AS worst_clip_freq_hz FROM events GROUP BY {_DAY}, {_V3}, {_DAY_NO}""",
+    # six frequencies, so that each has a row every half hour or so
+    "dense": f"""SELECT ts, {_SIX} AS freq_hz, value / 5 - 60 AS power_dbfs, CASE WHEN user_id % 10 = 0 THEN 'airband:' ELSE 'full:' END || {_HOUR} AS sweep_id, {_V3} AS dongle_id FROM events""",
+    "peaks": f"""SELECT ts, {_SIX} AS freq_hz, value / 5 - 60 AS power_dbfs, CASE WHEN user_id % 10 = 0 THEN 'airband:' ELSE 'full:' END || {_HOUR} AS sweep_id, {_V3} AS dongle_id FROM events WHERE value > 60""",
+    "compression_events": f"""SELECT 'full:' || {_HOUR} AS sweep_id, {_V3} AS dongle_id, CASE WHEN max(value) > 250 THEN 'high' WHEN max(value) > 200 THEN 'medium' WHEN max(value) > 150 THEN 'low' ELSE 'none' END AS match_tier
+        FROM events GROUP BY 'full:' || {_HOUR}, {_V3}""",
+    "allocations": "SELECT 80000000 + r_regionkey * 140000000 AS lo, 220000000 + r_regionkey * 140000000 AS hi, r_name AS service FROM region",
     "sweep_health": f"""SELECT {_V3} AS dongle_id, 'full:' || {_HOUR} AS sweep_id, 'full' AS preset, max(ts) AS ts, max(value / 5 - 60) AS max_power,
         count(*) AS total_captures, sum(CASE WHEN value > 200 THEN 1 ELSE 0 END) AS clipped_captures, 88000000 + max(user_id % 150) * 2500000 AS worst_clip_freq_hz
         FROM events GROUP BY {_V3}, 'full:' || {_HOUR}""",
@@ -53,12 +70,20 @@ VIEWS = {
     "classified": """SELECT 88000000 + (user_id % 150) * 2500000 AS freq_hz, CASE WHEN event_type IN ('click', 'view') THEN 'v3-01' ELSE 'v4-01' END AS dongle_id, ts AS classified_at,
         CASE CAST(floor(value) AS BIGINT) % 4 WHEN 0 THEN 'unknown_bursty' WHEN 1 THEN 'broadcast_fm' WHEN 2 THEN 'ais' ELSE 'unknown_continuous' END AS class_id,
         CASE CAST(floor(value) AS BIGINT) % 5 WHEN 0 THEN 0.2 WHEN 1 THEN 0.4 WHEN 2 THEN 0.6 WHEN 3 THEN 0.8 ELSE 1.0 END AS confidence FROM events""",
+    # a classifier's runs: each classifies all bins at one time
+    "classified_runs": f"""SELECT 88000000 + (user_id % 150) * 2500000 AS freq_hz, {_V3} AS dongle_id, {_DAY} AS run, max(ts) AS ts,
+        CASE max(CAST(floor(value) AS BIGINT) % 5) WHEN 0 THEN 'unknown_bursty' WHEN 1 THEN 'broadcast_fm' WHEN 2 THEN 'ais' WHEN 3 THEN 'am_airband_atis' ELSE 'unknown_continuous' END AS class_id,
+        CASE max(CAST(floor(value / 7) AS BIGINT) % 4) WHEN 0 THEN 4e-1 WHEN 1 THEN 6e-1 WHEN 2 THEN 8e-1 ELSE 855e-3 END AS confidence FROM events GROUP BY 88000000 + (user_id % 150) * 2500000, {_V3}, {_DAY}""",
+    "signal_catalog": """SELECT p_partkey AS id, 88000000 + p_partkey % 1000 * 380000 AS freq_lo_hz, 88000000 + p_partkey % 1000 * 380000 + p_size * 100000 AS freq_hi_hz, p_brand AS service, CASE WHEN p_size > 25 THEN 'high' ELSE 'low' END AS confidence, p_type AS notes FROM part""",
+    "reference_bins": """SELECT p_partkey AS id, p_name AS name, 88000000 + (p_partkey * 37 % 160) * 2500000 + (p_partkey % 3) * 60000 AS freq_hz,
+        CASE p_partkey % 5 WHEN 0 THEN 'am_airband_atis' WHEN 1 THEN 'ais' WHEN 2 THEN 'broadcast_fm' WHEN 3 THEN 'unknown_bursty' ELSE 'satcom' END AS class_id,
+        CASE p_partkey % 3 WHEN 0 THEN 4e-1 WHEN 1 THEN 6e-1 ELSE 8e-1 END AS min_confidence FROM part""",
     "health": """SELECT ts AS computed_at, event_id % 400 AS seconds_since_last_sweep, event_id % 700 AS seconds_since_last_peak_features, event_id % 900 AS seconds_since_last_classification,
         event_id % 10 AS known_good_passing, 10 AS known_good_total, user_id % 4 AS confidence_precision_tail_count, user_id % 3 AS harmonic_flags_cross_allocation, user_id % 6 AS continuous_signals_with_bursts,
         5 + user_id % 2 AS confidence_distinct_values, value / 500 AS atis_confidence_current, value / 490 AS unknowns_ratio, value / 600 AS confidence_mean, user_id AS total_classifications FROM events""",
 }
 
-_TABLES = {"events": "events", "part": "part", "orders": "orders"}
+_TABLES = ("events", "part", "orders", "region")
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +102,8 @@ def with_views(sql: str) -> str:
     used = [v for v in VIEWS if re.search(rf"\b{v}\b", sql)]
     lead = ", ".join(f"{v} AS ({VIEWS[v]})" for v in used)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {lead}, {body[15:]}" if lead else body
     if body.upper().startswith("WITH "):
         return f"WITH {lead}, {body[5:]}" if lead else body
     return f"WITH {lead} {body}" if lead else body

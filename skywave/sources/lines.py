@@ -164,23 +164,32 @@ def nmea_fields(df: DataFrame) -> DataFrame:
     return d.select(*[c for c in df.columns if c != "line"], at(1).try_cast("int").alias("count"), at(2).try_cast("int").alias("num"), at(3).alias("msg_id"), at(4).alias("channel"), at(5).alias("payload"), F.coalesce(at(6).try_cast("int"), F.lit(0)).alias("fill")).where("count IS NOT NULL AND num IS NOT NULL")
 
 
+#: A message is open for at most so many timeouts: it has nine fragments at most, so what takes longer repeats them.
+OPEN_TIMEOUTS = 10
+
+
 def assemble(parts: DataFrame, order: str, timeout_s: int = 30) -> DataFrame:
-    """Whole payloads of nmea_fields() by arrival (`order`, a time in seconds): a first fragment opens a
-    message, its later ones follow within timeout_s; orphans, stale and restarted ones are dropped.
-    The fill bits are the last fragment's."""
+    """Whole payloads of nmea_fields() by arrival (`order`, a time in seconds): a first fragment opens a message (anew, if one
+    is open), each later one adds to it within timeout_s of the one before, and the one whose number is the count ends it, whatever came
+    between. Orphans and what is stale, or open for more than OPEN_TIMEOUTS of them, are dropped. The fill bits are the last fragment's."""
     single = parts.where("count = 1").select(order, "payload", "fill")
-    # by the hour: what follows an hour within timeout_s is in that hour's group too, and a group yields the messages
-    # that its own hour opens, so that no group holds the history of a key
-    at = F.floor(F.col(order) / 3600).cast("long")
+    # by the hour: what can follow an hour within the longest open time is in that hour's group too, and a group yields the
+    # messages that its own hour opens, so that no group holds the history of a key
+    at, longest = F.floor(F.col(order) / 3600).cast("long"), OPEN_TIMEOUTS * timeout_s
     d = parts.where("count > 1").withColumn("cell", at)
-    d = d.withColumn("cell", F.explode(F.when(F.col(order) - at * 3600 <= timeout_s, F.array(at, at - 1)).otherwise(F.array(at))))
-    by = Window.partitionBy("count", "msg_id", "channel", "cell").orderBy(order)
+    d = d.withColumn("cell", F.explode(F.when(F.col(order) - at * 3600 <= longest, F.array(at, at - 1)).otherwise(F.array(at))))
+    key = ["count", "msg_id", "channel", "cell"]
+    by = Window.partitionBy(*key).orderBy(order)
     d = d.withColumn("opened", F.sum(F.when(F.col("num") == 1, 1).otherwise(0)).over(by)).where("opened > 0")
-    frag = F.struct(order, "num", "payload", "fill")
-    g = d.groupBy("count", "msg_id", "channel", "cell", "opened").agg(F.sort_array(F.collect_list(frag)).alias("p"))  # a message has 9 fragments at most
-    head = F.slice("p", 1, F.col("count"))
-    whole = (F.size(head) == F.col("count")) & (F.element_at(head, -1)[order] - F.element_at(head, 1)[order] <= timeout_s) & (F.element_at(head, -1)["num"] == F.col("count"))
-    g = g.where(whole & (F.floor(F.element_at(head, 1)[order] / 3600) == F.col("cell"))).select(F.element_at(head, -1)[order].alias(order), F.array_join(F.transform(head, lambda x: x.payload), "").alias("payload"), F.element_at(head, -1).fill.alias("fill"))
+    own = Window.partitionBy(*key, "opened").orderBy(order)
+    d = d.withColumn("first", F.min(order).over(own))
+    stale = (F.col(order) - F.lag(order).over(own) > timeout_s) | (F.col(order) - F.col("first") > longest)
+    done = F.count_if(F.col("num") == F.col("count")).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    d = d.withColumn("stale", stale).withColumn("done", done).withColumn("stale", F.max("stale").over(own)).where("(stale IS NULL OR NOT stale) AND done = 0")
+    d = d.where(F.floor(F.col("first") / 3600) == F.col("cell"))
+    g = d.groupBy(*key, "opened").agg(F.sort_array(F.collect_list(F.struct(order, "num", "payload", "fill"))).alias("p"))  # those of one message
+    last = F.element_at("p", -1)
+    g = g.where(last["num"] == F.col("count")).select(last[order].alias(order), F.array_join(F.transform("p", lambda x: x.payload), "").alias("payload"), last["fill"].alias("fill"))
     return single.unionByName(g)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,31 @@ def clip_fraction(iq: bytes) -> float:
     return float(((raw == 0) | (raw == 255)).mean()) if len(raw) else 0.0
 
 
+def capture_files(spark: SparkSession, path: str, capture_bytes: int, pattern: str = "*.iq") -> DataFrame:
+    """Recordings as captures of capture_bytes: (path, capture, iq), in the order of the recording; what is left at its end, and
+    shorter, is no capture. A row of the source is a file, so recordings are files of bounded size (2 GB is Spark's limit); their captures
+    are cut on the JVM and dealt out before they go on."""
+    d = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).where(F.col("length") >= capture_bytes)
+    n = F.floor(F.col("length") / capture_bytes)
+    d = d.select("path", "content", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("capture"))
+    d = d.select("path", "capture", F.substring("content", (F.col("capture") * capture_bytes + 1).cast("int"), F.lit(capture_bytes)).alias("iq"))
+    return d.repartition("path", "capture")
+
+
+def swept_bins(captures: DataFrame, keys: list[str], sample_rate: int, out_hz: int, fft_size: int = 1024) -> DataFrame:
+    """Bins of each tile's captures(keys, center_hz, iq): spectra, their mean in linear power, decibels and bins of out_hz: (keys,
+    center_hz, freq_hz, power_dbfs). Captures shorter than one transform are left out, as they have no spectrum."""
+    d = captures.where(F.octet_length("iq") >= 2 * fft_size).select(*keys, "center_hz", power_spectrum(fft_size)("iq").alias("power"))
+    d = mean_power(d, [*keys, "center_hz"]).withColumn("db", to_db(F.col("power")))
+    return downsample(d, "db", "center_hz", sample_rate, out_hz, fft_size).select(*keys, "center_hz", "freq_hz", "power_dbfs")
+
+
+def swept_health(captures: DataFrame, keys: list[str], threshold: float = 0.05) -> DataFrame:
+    """sweep_rollup() of captures(keys, center_hz, iq)."""
+    d = captures.select(*keys, F.col("center_hz").alias("tile_hz"), clipping(threshold)("iq").alias("c")).select(*keys, "tile_hz", "c.*")
+    return sweep_rollup(d, keys)
+
+
 def power_spectrum(fft_size: int = 1024):
     """UDF: captures to arrays of linear power."""
 

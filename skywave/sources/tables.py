@@ -2,10 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+import tempfile
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share. Where it is unset, a local master (one machine)
+    gets one of its own; on a cluster that is an error."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="skywave-shared-")
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
 def write_facts(df: DataFrame, path: str, ts: str, sort: list[str], mode: str = "append") -> None:
     """Parquet by date, rows of a date sorted so that row groups prune by the sort columns too."""
     d = df.withColumn("date", F.to_date(ts))
@@ -19,14 +36,13 @@ def read_facts(spark: SparkSession, path: str, ts: str, start: str, end: str) ->
 
 
 def export_csv(tables: dict[str, DataFrame], folder: str) -> DataFrame:
-    """Each table as CSV with a header; returns (name, rows)."""
+    """Each table as CSV with a header; returns (name, rows), counted as they are written."""
+    counted = []
     for name, df in tables.items():
-        df.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
-    counts = [df.agg(F.lit(name).alias("name"), F.count("*").alias("rows")) for name, df in tables.items()]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+        counted.append((name, seen.get["rows"]))
+    return next(iter(tables.values())).sparkSession.createDataFrame(counted, "name string, rows long")
 
 
 def export_tsv(df: DataFrame, path: str) -> None:

@@ -52,37 +52,45 @@ def scanner_ingest(spark: SparkSession, source: str, folder: str, checkpoint: st
     return routed(lines.scanner_lines(text_stream(spark, source)), folder, checkpoint, every)
 
 
+def on_cadence(spark: SparkSession, task: Callable[[SparkSession, int], None], checkpoint: str, every: str = "5 minutes"):
+    """Starts a stream that runs task(session, number of the run) at a cadence: features, classification or health over the tables as they are then.
+    A run that takes longer than the cadence delays the next one, so no two overlap, and one that fails is run again under its number."""
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    run = lambda batch, number: task(batch.sparkSession, number)
+    return ticks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def upsert(stream: DataFrame, path: Callable[[int], str], checkpoint: str):
     """Starts a stream that appends versions; readers take the last one (state.latest_by)."""
     return stream.writeStream.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(path(i))).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def assembled(parts: DataFrame, timeout_s: int = 30, late: str = "1 minute") -> DataFrame:
-    """Whole payloads of fragments (at: arrival in seconds, and nmea_fields()), messages of one sentence as
-    they come, others with one open message a key as state. Time is that of the fragments: an open message goes when the
+    """lines.assemble() of a stream of fragments (at: arrival in seconds, and nmea_fields()): messages of one sentence as
+    they come, others with one open message a key as state. Time is that of the fragments, which come in its order: an open message goes when the
     watermark passes its timeout, so results do not depend on the clock, and a stream that has ended stops."""
 
     def run(key, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         if held.hasTimedOut:
             held.remove()
             return
-        opened, texts = held.get if held.exists else (0.0, "")
+        opened, last, texts = held.get if held.exists else (0.0, 0.0, "")
         got = texts.split(",") if texts else []
         out = []
         for d in sorted((r for b in batches for r in b.itertuples(index=False)), key=lambda r: r.at):
             if d.num == 1:
                 opened, got = d.at, [d.payload]
-            elif got and d.at - opened <= timeout_s:
+            elif got and d.at - last <= timeout_s and d.at - opened <= lines.OPEN_TIMEOUTS * timeout_s:
                 got.append(d.payload)
-            else:
-                got = []
-            if len(got) == d.count:
                 if d.num == d.count:
                     out.append((d.at, "".join(got), d.fill))
+                    got = []
+            else:
                 got = []
+            last = d.at
         if got:
-            held.update((opened, ",".join(got)))
-            held.setTimeoutTimestamp(max(int((opened + 1 + timeout_s) * 1000), held.getCurrentWatermarkMs()) + 1)
+            held.update((opened, last, ",".join(got)))
+            held.setTimeoutTimestamp(max(int((last + 1 + timeout_s) * 1000), held.getCurrentWatermarkMs()) + 1)
         elif held.exists:
             held.remove()
         yield pd.DataFrame(out, columns=["at", "payload", "fill"])
@@ -90,5 +98,5 @@ def assembled(parts: DataFrame, timeout_s: int = 30, late: str = "1 minute") ->
     # a second is added, as Spark takes a row of the epoch itself for late before the first watermark
     parts = parts.withColumn("seen", F.timestamp_seconds(F.col("at") + 1)).withWatermark("seen", late)
     single = parts.where("count = 1").select("at", "payload", "fill")
-    whole = parts.where("count > 1").groupBy("count", "msg_id", "channel").applyInPandasWithState(run, "at double, payload string, fill int", "opened double, texts string", "append", GroupStateTimeout.EventTimeTimeout)
+    whole = parts.where("count > 1").groupBy("count", "msg_id", "channel").applyInPandasWithState(run, "at double, payload string, fill int", "opened double, last double, texts string", "append", GroupStateTimeout.EventTimeTimeout)
     return single.unionByName(whole)

@@ -119,9 +119,11 @@ def test_peak_features_of_one_bin(spark):
     power = [-60.0] * 72
     for a, b in ((3, 6), (10, 11), (20, 24), (40, 46)):
         power[a:b] = [-30.0 - k for k in range(b - a)]
-    rows = [(1, "v", now - datetime.timedelta(minutes=5 * k), p, "s") for k, p in enumerate(reversed(power))] + [(1, "v", now, 0.0, "bad"), (2, "v", now - datetime.timedelta(days=2), 0.0, "s")]
+    rows = [(1, "v", now - datetime.timedelta(minutes=5 * k), p, "s") for k, p in enumerate(reversed(power))] + [(1, "v", now, 0.0, "bad"), (2, "v", now - datetime.timedelta(days=2), 0.0, "s"), (1, "w", now, -40.0, "bad")]
     d = spark.createDataFrame(rows, "freq_hz long, dongle_id string, ts timestamp_ntz, power_dbfs double, sweep_id string")
-    (r,) = features.peak_features(d, F.lit(now).cast("timestamp_ntz"), spark.createDataFrame([("bad",)], "sweep_id string")).collect()
+    bad = spark.createDataFrame([("bad", "v")], "sweep_id string, dongle_id string")
+    r, other = features.peak_features(d, F.lit(now).cast("timestamp_ntz"), bad).orderBy("dongle_id").collect()
+    assert (other.dongle_id, other.sweeps_observed_24h) == ("w", 1)  # the other receiver's sweep of that id counts
     on = np.array([p for p in power if p > -54])
     assert (r.duty_cycle_24h, r.duty_cycle_1h, r.sweeps_observed_24h) == (round(14 / 72, 4), 0.0, 72)
     assert (round(r.power_mean_dbfs, 9), round(r.power_std_db, 9), round(r.power_p95_dbfs, 9)) == (round(on.mean(), 9), round(on.std(), 9), round(np.percentile(on, 95), 9))
@@ -216,7 +218,76 @@ def test_spur_frames_and_tiers(spark):
     tiles = spark.createDataFrame(rows, "sweep_id string, dongle_id string, tile long, offset_hz long, power double")
     combs = compression.spur_combs(tiles)
     r = combs.first()
-    assert (r.sig, r["count"], r.offset_mean_hz) == (1, 40, 300_000)
+    assert (r.sig, r["count"], r.offset_mean_hz, r.tile_lo, r.tile_hi) == (1, 40, 300_000, 60, 99)
+    assert compression.emitter(tiles, combs).first().emitter_hz == 88_000_000 + 80 * 2_048_000 + 1_024_000 + 700_000
     t = spark.range(4).select(compression.tier(F.col("id") > 0, F.col("id") > 1, F.col("id") > 2).alias("match_tier"))
     assert [x.match_tier for x in t.collect()] == ["none", "low", "medium", "high"]
     assert compression.from_tier(t).count() == 2
+
+
+def test_an_emitter_is_found_where_tiles_start_at_60(spark):
+    """20 tiles of one offset, tile 70 strong and off it: places in the list are not tile numbers."""
+    rows = [("s", "d", 60 + k, 700_000 if k == 10 else 231_000, 5.0 if k == 10 else -5.0) for k in range(20)]
+    tiles = spark.createDataFrame(rows, "sweep_id string, dongle_id string, tile long, offset_hz long, power double")
+    r = compression.emitter(tiles, compression.spur_combs(tiles)).first()
+    assert (r.tile_lo, r.tile_hi, r.emitter_hz, r.emitter_power) == (60, 79, 88_000_000 + 70 * 2_048_000 + 1_024_000 + 700_000, 5.0)
+    # no comb: places stay, and there is no emitter
+    weak = compression.emitter(tiles.withColumn("power", F.col("power") - 20), compression.spur_combs(tiles.withColumn("power", F.col("power") - 20))).first()
+    assert (weak.sig, weak.tile_lo, weak.tile_hi, weak.emitter_hz) == (0, 0, 19, None)
+
+
+def test_compression_events_by_tier_and_receiver(spark):
+    """A comb, a depression and a clip in different sweeps that share their ids over receivers."""
+    import datetime
+
+    t0 = datetime.datetime(2024, 1, 1)
+    centre = lambda t: 88_000_000 + t * 2_048_000 + 1_024_000
+    comb = lambda p: [(centre(t) + 231_000, p) for t in range(60, 80)]
+    # the frequency of the tiles' strongest bins wanders where there is no comb
+    calm = lambda p: [(centre(t) + 37_000 * (7 * t % 11), p) for t in range(60, 80)]
+    sweeps = {("s1", "a"): (comb(-5.0), 9, 446_000_000), ("s1", "b"): (calm(-5.0), 9, 446_000_000), ("s2", "a"): (comb(-5.0), 1, 0), ("s2", "b"): (calm(-20.0), 9, 95_000_000), ("s3", "a"): (comb(-12.0), 9, 446_000_000)}
+    bins = spark.createDataFrame([(*k, f, p) for k, (b, _, _) in sweeps.items() for f, p in b], "sweep_id string, dongle_id string, freq_hz long, power_dbfs double")
+    health = spark.createDataFrame([(*k, t0 + datetime.timedelta(hours=5, minutes=3), c, w) for k, (_, c, w) in sweeps.items()] + [("s9", "a", t0, 9, 446_000_000)], "sweep_id string, dongle_id string, ts timestamp_ntz, clipped_captures long, worst_clip_freq_hz long")
+    base = spark.createDataFrame([(t0 + datetime.timedelta(hours=4), "a", f, -5.0) for f, _ in comb(0)] + [(t0 + datetime.timedelta(hours=4), "b", f, -5.0) for f, _ in calm(0)], "hour timestamp_ntz, dongle_id string, freq_hz long, mean double")
+    got = {(r.sweep_id, r.dongle_id): r for r in compression.events(bins, base, health, "none").collect()}
+    flags = {k: (r.sig_spur, r.sig_baseline, r.sig_clip, r.sig_clip_fm, r.match_tier) for k, r in got.items()}
+    assert flags == {
+        ("s1", "a"): (1, 0, 1, 0, "medium"),
+        ("s1", "b"): (0, 0, 1, 0, "low"),
+        ("s2", "a"): (1, 0, 0, 0, "low"),
+        ("s2", "b"): (0, 1, 0, 1, "low"),
+        ("s3", "a"): (1, 1, 1, 0, "high"),
+        ("s9", "a"): (0, 0, 1, 0, "low"),
+    }
+    assert (got["s3", "a"].spur_block_tile_lo, got["s3", "a"].spur_block_tile_hi, got["s3", "a"].baseline_depression_db, got["s3", "a"].baseline_bins_sampled) == (60, 79, 7.0, 20)
+    assert sorted((r.sweep_id, r.dongle_id) for r in features.suspects(compression.events(bins, base, health)).collect()) == [("s1", "a"), ("s3", "a")]
+
+
+def test_harmonics_need_a_shared_service(spark):
+    table = spark.createDataFrame([(80, 400, "wide"), (100, 130, "second"), (500, 900, "other")], "lo long, hi long, service string").selectExpr("lo * 1000000 AS lo", "hi * 1000000 AS hi", "service")
+    rows = [("a", 100.0, -10.0), ("a", 200.1, -20.0), ("a", 300.2, -16.0), ("a", 201.2, -40.0), ("a", 202.1, -40.0), ("a", 399.9, -50.0), ("b", 200.0, -40.0), ("a", 600.0, -90.0), ("a", 400.0, -90.0), ("a", 50.0, 5.0)]
+    p = spark.createDataFrame([(g, int(f * 1e6), w) for g, f, w in rows], "dongle_id string, freq_hz long, power double")
+    got = {(r.dongle_id, r.freq_hz / 1e6): (r.harmonic_of_hz / 1e6, r.n) for r in classify.harmonics(p, table, ("dongle_id",)).collect()}
+    # 201.2 / 2 is 0.6 % off; 400.0 is the end of its range, so it has no service; 399.9 / 2 finds 200.1 before 100.0 by n
+    assert got == {("a", 200.1): (100.0, 2), ("a", 300.2): (100.0, 3), ("a", 399.9): (200.1, 2)}
+
+
+def test_feature_rows_leave_one_receivers_suspect_sweep_out(spark):
+    """Two receivers share sweep ids; a compression event of one does not touch the other."""
+    import datetime
+
+    now = datetime.datetime(2024, 1, 20, 12)
+    at = lambda k: now - datetime.timedelta(minutes=20 * k)
+    grid = {100_000_000: -20.0, 100_100_000: -40.0, 100_200_000: -10.0, 100_300_000: -45.0, 199_900_000: -30.0}
+    rows = [(f, g, at(k), p - k % 2, f"full:{k}") for k in range(30) for g in "ab" for f, p in grid.items()]
+    series = spark.createDataFrame(rows, "freq_hz long, dongle_id string, ts timestamp_ntz, power_dbfs double, sweep_id string")
+    peaks = series.where("freq_hz IN (100200000, 199900000)")
+    sweeps = series.groupBy("sweep_id", "dongle_id").agg(F.max("ts").alias("ts")).withColumn("preset", F.lit("full"))
+    suspect = spark.createDataFrame([("full:0", "a"), ("full:7", "a")], "sweep_id string, dongle_id string")
+    table = spark.createDataFrame([(80_000_000, 220_000_000, "wide")], "lo long, hi long, service string")
+    got = {(r.freq_hz, r.dongle_id): r for r in features.feature_rows(series, peaks, sweeps, suspect, table, F.lit(now).cast("timestamp_ntz")).collect()}
+    assert got.keys() == {(f, g) for f in (100_200_000, 199_900_000) for g in "ab"}  # active by peaks only
+    assert [got[199_900_000, g].sweeps_observed_24h for g in "ab"] == [28, 30]
+    assert [got[199_900_000, g].harmonic_of_hz for g in "ab"] == [100_200_000] * 2
+    assert got[100_200_000, "a"].bandwidth_hz == 300_000 and got[199_900_000, "b"].bandwidth_hz == 999_000_000
+    assert len(got[100_200_000, "a"].asDict()) == 16 and got[100_200_000, "a"].computed_at == now
