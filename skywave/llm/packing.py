@@ -5,7 +5,8 @@ pieces are packed into as few sequences as can be found. Full pieces are sequenc
 into chunks of about chunk_rows pieces, so that every chunk has the same mix of lengths. Each chunk
 is evolved on several islands, each a task with its own population of packings: crossover injects
 whole well-filled sequences of one parent into the other, removes the sequences that hold the same
-pieces, and best-fits the displaced ones; mutation breaks up the emptiest sequences. After each epoch
+pieces, and the displaced ones replace pieces where they fill a sequence better, and are best-fitted; mutation does so
+with the pieces of the emptiest sequences. A chunk whose first packing is at the lower bound (least_bins()) is not evolved. After each epoch
 the elite of every island migrates to the next one of its chunk. Sequences of the best packing that
 are at least `keep` full are final; the pieces of the others meet in fewer chunks in the next round,
 until one chunk is left or a round has placed less than a tenth of its pieces (others of the same mix would not
@@ -35,8 +36,9 @@ END = 0
 CHUNK_ROWS = 6000
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 6
-POPULATION = 4
+GENERATIONS = 120
+POPULATION = 6
+STALL = 40
 KEEP = 0.998
 VOCABULARY = "byte_bpe_50k.tiktoken"  # the vocabulary of byte_bpe_50k.json as ranks: the same ids, made faster
 ADDED = "<|endoftext|>"  # its one added token, which the ranks lack: its string in a text is this id
@@ -126,52 +128,122 @@ def best_fit(items: list[int], bins: list[list[int]], capacity: int) -> list[lis
     return bins
 
 
-def exact_fill(items: list[int], capacity: int, rng) -> list[list[int]]:
-    """Another start: opens a sequence with the longest piece and fills its room by the best pair or
-    single piece that is left."""
-    count = np.bincount(items, minlength=capacity + 1)
-    left, bins = len(items), []
+def random_fit(items: list[int], capacity: int, rng) -> list[list[int]]:
+    """Another start: best fit of one piece after another in random order."""
+    bins: list[list[int]] = []
+    by_room: list[list[int]] = [[] for _ in range(capacity + 1)]
     mask = 0
-    for v in np.flatnonzero(count):
-        mask |= 1 << int(v)
-
-    def take(v: int) -> None:
-        nonlocal mask, left
-        count[v] -= 1
-        left -= 1
-        if not count[v]:
-            mask ^= 1 << v
-
-    while left:
-        top = mask.bit_length() - 1
-        take(top)
-        b, room = [top], capacity - top
-        while room and (below := mask & ((1 << (room + 1)) - 1)):
-            big = below.bit_length() - 1
-            if big == room:
-                take(big)
-                b.append(big)
-                break
-            pair = None
-            for first in (big, *(int(v) for v in rng.integers(1, room, 6))):  # a few first pieces whose rest is there exactly
-                if 0 < first < room and mask >> first & 1 and mask >> (room - first) & 1 and (first * 2 != room or count[first] > 1):
-                    pair = first
-                    break
-            v = pair or big
-            take(v)
-            b.append(v)
-            room -= v
-        bins.append(b)
+    for x in rng.permutation(items).tolist():
+        above = mask >> x
+        if above:
+            r = x + (above & -above).bit_length() - 1
+            i = by_room[r].pop()
+            if not by_room[r]:
+                mask ^= 1 << r
+            bins[i].append(x)
+            r -= x
+        else:
+            i, r = len(bins), capacity - x
+            bins.append([x])
+        by_room[r].append(i)
+        mask |= 1 << r
     return bins
 
 
+def least_bins(items: list[int], capacity: int) -> int:
+    """A bound of the number of sequences: for each k, pieces of over capacity - k share with none of k or more, those of over half the
+    capacity not with each other, and what remains of pieces of k or more has to fit in as well."""
+    n = np.bincount(items, minlength=capacity + 1).astype(np.int64)
+    number, total = np.append(0, np.cumsum(n)), np.append(0, np.cumsum(n * np.arange(capacity + 1)))  # of pieces under a length
+    half = capacity // 2
+    k = np.arange(half + 1)
+    big, mid = number[-1] - number[capacity - k + 1], number[capacity - k + 1] - number[half + 1]
+    room = mid * capacity - (total[capacity - k + 1] - total[half + 1])
+    rest = np.maximum(0, -(-(total[half + 1] - total[k] - room) // capacity))
+    return int(max(np.max(big + mid + rest), -(-total[-1] // capacity))) if len(items) else 0
+
+
+class Loose:
+    """Displaced pieces by length, and as bits, so that a piece or pair that fills a room is found at once."""
+
+    def __init__(self, items: list[int], capacity: int) -> None:
+        self.capacity, self.count, self.mask, self.turned = capacity, [0] * (capacity + 1), 0, 0
+        for v in items:
+            self.add(v)
+
+    def add(self, v: int) -> None:
+        self.count[v] += 1
+        self.mask |= 1 << v
+        self.turned |= 1 << (self.capacity - v)
+
+    def take(self, v: int) -> None:
+        self.count[v] -= 1
+        if not self.count[v]:
+            self.mask ^= 1 << v
+            self.turned ^= 1 << (self.capacity - v)
+
+    def longest(self, room: int) -> int:
+        """The longest piece that fits, 0 if none does."""
+        return max(0, (self.mask & ((1 << (room + 1)) - 1)).bit_length() - 1)
+
+    def pair(self, total: int) -> tuple[int, int] | None:
+        """Two pieces of a total, the most equal ones."""
+        found = self.mask & (self.turned >> (self.capacity - total)) & ((1 << (total // 2 + 1)) - 1)
+        while found:
+            v = found.bit_length() - 1
+            if 2 * v != total or self.count[v] > 1:
+                return v, total - v
+            found ^= 1 << v
+        return None
+
+    def items(self) -> list[int]:
+        return [v for v, n in enumerate(self.count) for _ in range(n)]
+
+
+def replace(bins: list[list[int]], displaced: list[int], capacity: int, rng) -> list[list[int]]:
+    """Puts displaced pieces where they fill sequences better than what is there: two pieces of a sequence go for two that fill
+    it, or one for a longer one or for two that fill it. Displaced pieces get shorter by that; they are best-fitted at last."""
+    loose = Loose(displaced, capacity)
+
+    def swap(b: list[int], out: tuple, in_: tuple) -> None:
+        for v in out:
+            b.remove(v)
+            loose.add(v)
+        for v in in_:
+            loose.take(v)
+        b += in_
+
+    for i in rng.permutation(len(bins)).tolist():
+        b = bins[i]
+        room = capacity - sum(b)
+        if not room:
+            continue
+        pairs = [(x, y) for k, x in enumerate(b[:5]) for y in b[k + 1 : 5]]  # few pieces make a sequence hard to fill
+        for x, y in pairs:
+            if x + y + room <= capacity and (two := loose.pair(x + y + room)):
+                swap(b, (x, y), two)
+                room = 0
+                break
+        for x in list(b) if room else ():
+            one = loose.longest(min(capacity, x + room))
+            if one > x:
+                swap(b, (x,), (one,))
+                room += x - one
+            elif x + room <= capacity and (two := loose.pair(x + room)):
+                swap(b, (x,), two)
+                room = 0
+            if not room:
+                break
+    return best_fit(loose.items(), bins, capacity)
+
+
 def cost(bins: list, capacity: int) -> tuple[int, float]:
     """Fewer sequences first; then the more unequal their fill, the better."""
     return len(bins), -sum((sum(b) / capacity) ** 2 for b in bins)
 
 
 def crossover(a: list, b: list, capacity: int, rng) -> list[list[int]]:
-    """Whole sequences of a that are well filled, and what of b does not meet them, best-fitted."""
+    """Whole sequences of a that are well filled, and what of b does not meet them; displaced pieces replace others and are best-fitted."""
     fill = np.array([sum(x) for x in a])
     well = np.flatnonzero(fill >= np.quantile(fill, 0.5))
     injected = [list(a[i]) for i in rng.permutation(well)[: max(1, len(well) // 2)]]
@@ -190,29 +262,36 @@ def crossover(a: list, b: list, capacity: int, rng) -> list[list[int]]:
             displaced += mine
         else:
             kept.append(list(x))
-    return best_fit(displaced, injected + kept, capacity)
+    return replace(injected + kept, displaced, capacity, rng)
 
 
 def mutate(a: list, capacity: int, rng, share: float = 0.05) -> list[list[int]]:
-    """Breaks up the emptiest sequences and as many at random, and best-fits their pieces."""
+    """Breaks up the emptiest sequences and some at random; their pieces replace others and are best-fitted."""
     order = np.argsort([sum(x) for x in a], kind="stable")
     n = max(1, int(len(a) * share))
-    out = set(order[:n].tolist()) | set(rng.choice(len(a), n, replace=False).tolist())
+    out = set(order[: 2 * n].tolist()) | set(rng.choice(len(a), n, replace=False).tolist())
     loose = [v for i in out for v in a[i]]
-    return best_fit(loose, [list(x) for i, x in enumerate(a) if i not in out], capacity)
+    return replace([list(x) for i, x in enumerate(a) if i not in out], loose, capacity, rng)
 
 
-def evolve(population: list, items: list[int], capacity: int, generations: int, size: int, rng) -> list:
-    while len(population) < size:
-        population.append(exact_fill(items, capacity, rng) if len(population) != 1 else best_fit(items, [], capacity))
-    least = -(-sum(items) // capacity)
+def evolve(population: list, items: list[int], capacity: int, generations: int, size: int, rng, stall: int = STALL) -> list:
+    """The population after so many generations, best first; it ends early at the bound, or when `stall` generations have not bettered the
+    best."""
+    least = least_bins(items, capacity)
+    population = [*population, best_fit(items, [], capacity)]
+    idle = 0
     for _ in range(generations):
         population.sort(key=lambda p: cost(p, capacity))
-        if len(population[0]) <= least:
+        if len(population[0]) <= least or idle >= stall:
             break
+        while len(population) < size:
+            population.append(random_fit(items, capacity, rng))
         i, j = sorted(rng.choice(len(population), 2, replace=False))
         child = crossover(population[i], population[j], capacity, rng)
-        population[-1] = mutate(child, capacity, rng) if rng.random() < 0.5 else child
+        if rng.random() < 0.5:
+            child = mutate(child, capacity, rng)
+        idle = 0 if cost(child, capacity) < cost(population[0], capacity) else idle + 1
+        population[-1] = child
     return sorted(population, key=lambda p: cost(p, capacity))
 
 

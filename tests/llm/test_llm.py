@@ -164,12 +164,42 @@ def test_packing_in_rounds(spark):
 def test_genetic_steps_keep_all_items():
     rng = np.random.default_rng(3)
     items = rng.integers(1, 400, 300).tolist()
-    a, b = packing.best_fit(items, [], 512), packing.exact_fill(items, 512, rng)
+    a, b = packing.best_fit(items, [], 512), packing.random_fit(items, 512, rng)
     for p in (a, b, packing.crossover(a, b, 512, rng), packing.mutate(b, 512, rng)):
         assert sorted(v for x in p for v in x) == sorted(items) and max(map(sum, p)) <= 512
     assert packing._unflat(packing._flat(a)) == a
 
 
+def triplets(n, rng, capacity=2048):
+    out = []
+    while len(out) < 3 * n:
+        a, b = (int(x) for x in rng.integers(capacity // 5, capacity // 2, 2))
+        if capacity // 10 <= capacity - a - b <= capacity * 6 // 10:
+            out += [a, b, capacity - a - b]
+    return rng.permutation(out).tolist()
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_evolution_closes_most_of_the_gap_to_the_optimum(seed):
+    """Three pieces fill each of 1,000 sequences: no start is near that, the evolved packing is, and is better than every start."""
+    rng = np.random.default_rng(seed)
+    items = triplets(1000, rng)
+    starts = [packing.best_fit(items, [], 2048)] + [packing.random_fit(items, 2048, rng) for _ in range(packing.POPULATION - 1)]
+    assert packing.least_bins(items, 2048) == 1000 and min(map(len, starts)) >= 1030
+    best = packing.evolve([], items, 2048, packing.GENERATIONS, packing.POPULATION, rng)[0]
+    assert sorted(v for x in best for v in x) == sorted(items) and max(map(sum, best)) <= 2048
+    assert len(best) <= 1020
+
+
+def test_bound_of_long_pieces():
+    assert packing.least_bins([1500] * 9, 2048) == 9 and packing.least_bins([], 2048) == 0
+    assert packing.least_bins([1500] * 4 + [548] * 4 + [1024] * 2, 2048) == 5
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        items = rng.integers(1, 100, 60).tolist()
+        assert -(-sum(items) // 100) <= packing.least_bins(items, 100) <= len(packing.best_fit(items, [], 100))
+
+
 # --- 3 ---
 
 
