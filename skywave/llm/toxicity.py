@@ -7,7 +7,8 @@ squared gradients; L1 leaves few weights, so the model is a short table that is
 
 Training uses at most max_rows labelled rows: those of the least hash of id, so the sample is the
 same on every run, and its ids are a bounded table that is broadcast to fetch their texts. Of the rows that have
-these ids again max_rows are taken, and of these the first ones that have max_bytes of text together. They are
+these ids again max_rows are taken, and of these the first ones that have max_bytes of text together; a text of more than max_bytes is
+passed over. They are
 dealt over `shards` models by that hash, each trained by one task for `epochs` passes (max_bytes
 bounds its memory), and the weights that survive in any are averaged. The bound on the broadcast is
 2**dims_log2 rows of 16 bytes; L1 keeps it far below.
@@ -92,7 +93,7 @@ def fit(docs: DataFrame, labelled: DataFrame, max_rows: int = MAX_ROWS, max_byte
     dims = 1 << dims_log2
     sample = labelled.where("id IS NOT NULL AND label IS NOT NULL").select("id", F.col("label").cast("int").alias("label"), F.xxhash64("id", F.lit(7)).alias("h"))
     sample = sample.orderBy("h", "id", "label").limit(max_rows)
-    rows = docs.select("id", "text").join(F.broadcast(sample), "id")
+    rows = docs.select("id", "text").where(F.octet_length("text") <= max_bytes).join(F.broadcast(sample), "id")
     rows = rows.withColumn("h2", F.xxhash64("text")).orderBy("h", "id", "label", "h2").limit(max_rows)
     upto = Window.orderBy("h", "id", "label", "h2").rowsBetween(Window.unboundedPreceding, 0)  # over max_rows rows
     rows = rows.withColumn("sum", F.sum(F.octet_length("text")).over(upto)).where(F.col("sum") <= max_bytes).drop("sum", "h2")

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -129,6 +130,29 @@ def test_packing(odd, none):
     assert packing.pack_documents(none).count() == 0
 
 
+def test_packing_query_as_a_whole(spark, data):
+    """Every piece of every document, by the tokenizer itself; sequences are filled without gaps, and there are no more than need be."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {}
+    for r in spark.read.parquet(f"{data}/documents.parquet").collect():
+        ids = [*tok.encode(r.text or "", add_special_tokens=False).ids, 0]
+        first = len(ids) % 2048 or min(2048, len(ids))
+        cuts = [0, *range(first, len(ids) + 1, 2048)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            want[r.doc_id, k] = (a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes()))
+    got = packing.op2_packed_sequences(spark, data).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got} == want and len(got) == len(want)
+    bins = {}
+    for r in got:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for b in bins.values():
+        assert [a for a, _ in sorted(b)] == [sum(n for _, n in sorted(b)[:k]) for k in range(len(b))] and sum(n for _, n in b) <= 2048
+    assert len(bins) <= packing.least_bins([n for _, n, _ in want.values()], 2048) + 1
+
+
 def test_ids_are_those_of_the_tokenizer():
     """The added token <|endoftext|> included, and white space of all kinds."""
     import public_tokenizers
@@ -663,3 +687,12 @@ def test_redacted_is_a_plain_cut(spark):
             for a, b in spans:
                 cut, last = cut + t[last:a] + secrets.MARK, b
             assert got[k] == cut + t[last:]
+
+
+def test_a_text_over_the_bound_is_passed_over(spark):
+    """It is not learned from; the others are, wherever it stands among them."""
+    rows = [(i, ("you vile fool " if i % 2 else "kind calm words ") * 3, i % 2) for i in range(60)] + [(900 + i, "vile " * 2000, 0) for i in range(20)]
+    d = spark.createDataFrame(rows, "id long, text string, label int")
+    model = toxicity.fit(d.select("id", "text"), d.select("id", "label"), max_bytes=5000, dims_log2=12)
+    a, b = toxicity.score_texts(pd.Series(["you vile fool", "kind calm words"]), model)
+    assert a > b and len(model["bucket"]) >= 0 and model["bias"] > -35
