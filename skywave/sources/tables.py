@@ -8,6 +8,8 @@ import tempfile
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import state
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share. Where it is unset, a local master (one machine)
@@ -75,3 +77,53 @@ def swap(spark: SparkSession, table: str, change) -> None:
     spark.sql(f"ALTER TABLE {table} RENAME TO {old}")
     spark.sql(f"ALTER TABLE {new} RENAME TO {table}")
     spark.sql(f"DROP TABLE {old}")
+
+
+class Versions:
+    """A table in a shared folder as versions of which readers see one whole one: each is written beside the others, and counts from the moment at which
+    the manifest names it. The manifest is a small file for each version, made by a rename, which takes effect at once or not
+    at all; the greatest complete one is current, so a writer that is lost on the way leaves the last version current."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.spark, self.folder = spark, folder
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _names(self, kind: str) -> list[int]:
+        at = self._path(f"{self.folder}/{kind}")
+        return sorted(int(f.getPath().getName()) for f in self._fs.listStatus(at) if f.getPath().getName().isdigit()) if self._fs.exists(at) else []
+
+    def current(self) -> int | None:
+        return max(self._names("manifest"), default=None)
+
+    def read(self, version: int | None = None) -> DataFrame:
+        version = self.current() if version is None else version
+        if version is None:
+            raise ValueError("the table has no version")
+        return self.spark.read.parquet(f"{self.folder}/data/{version}")
+
+    def write(self, df: DataFrame, keys: list[str] | None = None, buckets: int | None = None) -> int:
+        """A new version, in files by ranges of keys if given; its number. Two writers at a time get two numbers, or one of them an error."""
+        version = max(self._names("data") + self._names("manifest"), default=-1) + 1
+        if keys:
+            df = (df.repartition(buckets, *keys) if buckets else df.repartition(*keys)).sortWithinPartitions(*keys)
+        df.write.mode("errorifexists").parquet(f"{self.folder}/data/{version}")
+        new = self._path(f"{self.folder}/manifest/.{version}")
+        self._fs.create(new, True).close()
+        if not self._fs.rename(new, self._path(f"{self.folder}/manifest/{version}")):
+            raise RuntimeError(f"version {version} could not be named")
+        return version
+
+    def compact(self, keys: list[str], version: str, *ties, buckets: int | None = None) -> int:
+        """A version with the row of the greatest `version` of each key only, in files by key: readers of the one before go on undisturbed."""
+        return self.write(state.latest_by(self.read(), keys, version, *ties), keys, buckets)
+
+    def clean(self, keep: int = 1) -> None:
+        """Removes all but the last `keep` versions, and what lost writers left. Its manifest goes first, so that no reader
+        finds a version of which a part is gone; readers that opened one of them have to be done."""
+        named = self._names("manifest")
+        for v in named[:-keep]:
+            self._fs.delete(self._path(f"{self.folder}/manifest/{v}"), False)
+        for v in self._names("data"):
+            if v not in named[-keep:] and v < max(named, default=-1):
+                self._fs.delete(self._path(f"{self.folder}/data/{v}"), True)

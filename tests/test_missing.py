@@ -273,3 +273,23 @@ def test_run_update_is_of_the_first_full_sweep(spark):
     d = spark.createDataFrame(rows, "run_id string, dongle_id string, sweep_id string, ts timestamp_ntz, freq_hz long, power_dbfs double")
     got = sorted((r.run_id, r.sweep_id, round(r.noise_floor_dbfs, 6), r.peak_signal_dbfs, r.peak_signal_freq_hz) for r in detect.run_update(d).collect())
     assert got == [("r", "full:1", -89.0, -10.0, 100_000_000), ("s", "full:1", -100.0, -5.0, 89_000_000)]
+
+
+def test_versions_switch_at_once(spark, tmp_path):
+    t = tables.Versions(spark, str(tmp_path / "t"))
+    with pytest.raises(ValueError, match="no version"):
+        t.read()
+    rows = [("a", 1, 10), ("a", 2, 20), ("b", 1, 5), ("b", 1, 6)]
+    d = spark.createDataFrame(rows, "k string, v long, x long")
+    assert t.write(d) == 0
+    old = t.read()  # a reader of the version before
+    assert t.compact(["k"], "v", F.desc("x"), buckets=2) == 1
+    assert sorted(map(tuple, t.read().collect())) == [("a", 2, 20), ("b", 1, 6)] and old.count() == 4
+    d.write.parquet(str(tmp_path / "t/data/2"))  # a writer that was lost before it named its version
+    assert t.current() == 1 and t.read().count() == 2 and t.write(d) == 3
+    t.clean()
+    assert t.current() == 3 and t.read().count() == 4
+    assert sorted(p.name for p in (tmp_path / "t/data").iterdir()) == ["3"]
+    t.compact(["k"], "v", F.desc("x"))
+    t.clean(keep=2)
+    assert t.read(3).count() == 4 and t.read().count() == 2
