@@ -36,9 +36,9 @@ END = 0
 CHUNK_ROWS = 6000
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 120
+GENERATIONS = 40
 POPULATION = 6
-STALL = 40
+STALL = 10
 KEEP = 0.998
 VOCABULARY = "byte_bpe_50k.tiktoken"  # the vocabulary of byte_bpe_50k.json as ranks: the same ids, made faster
 ADDED = "<|endoftext|>"  # its one added token, which the ranks lack: its string in a text is this id
@@ -333,8 +333,10 @@ def ga_round(counts: DataFrame, capacity: int, islands: int, epochs: int, genera
         return epoch_run
 
     schema = "chunk long, island int, counts array<struct<length:long,n:long>>, elite array<int>"
+    # few rows of much work: without a number they would be put together by their size
+    tasks = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for e in range(epochs):
-        state = state.repartition("chunk", "island").mapInPandas(epoch_of(e), schema)
+        state = state.repartition(tasks, "chunk", "island").mapInPandas(epoch_of(e), schema)
         # the elite moves on to the next island of its chunk
         state = state.withColumn("island", (F.col("island") + 1) % islands)
 
