@@ -30,3 +30,13 @@ def test_no_task_gets_a_group(spark):
     got = quantiles.quantiles(d, ["k"], "v", {"q": 0.25}, 1.0, counts)
     assert got.first().q == pytest.approx(24.975)
     assert quantiles.quantiles(d.limit(0), ["k"], "v", {"q": 0.5}, 1.0).count() == 0
+
+
+def test_summary_has_all_of_a_group(spark):
+    d = spark.createDataFrame(rows(5, 800), "k string, m int, v double").repartition(3)
+    got = quantiles.summary(d, ["k", "m"], "v", {"q": 0.1, "w": 0.9}, 0.5)
+    assert got.columns == ["k", "m", "n", "mean", "top", "q", "w"]
+    want = d.where("v IS NOT NULL").groupBy("k", "m").agg(F.count("*"), F.avg("v"), F.max("v"), F.percentile("v", F.lit(0.1)), F.percentile("v", F.lit(0.9)))
+    key = lambda r: (str(r.k), r.m)
+    for a, b in zip(sorted(got.collect(), key=key), sorted(want.collect(), key=key), strict=True):
+        assert tuple(a)[:3] == tuple(b)[:3] and tuple(a)[3:] == pytest.approx(tuple(b)[3:], rel=1e-9)
