@@ -652,7 +652,7 @@ def test_secrets_owned_and_copied(spark):
 
 
 def test_all_queries_are_listed():
-    assert [int(k[2:].split("_")[0]) for k in queries.queries()] == list(range(1, 11))
+    assert [int(k[2:].split("_")[0]) for k in queries.queries()] == list(range(1, 14))
 
 
 # --- ties of op3, many secrets of op10 ---
