@@ -250,7 +250,8 @@ def flushed(messages: DataFrame, key: str = "dongle_id", seq: str = "seq", flush
     """A stream of messages in writes: the columns of messages but flush, with `write`, which numbers the writes of a receiver from 0. A write ends
     with a flush marker (a row whose flush is true: the end of a sweep), with `most` rows, or after_s seconds of the clock after it
     began, so that what a receiver sends before it falls silent is written too. Rows of a receiver come in the order of seq; a marker may
-    come in a later batch than its rows. What is open when a run of the stream ends is state, and written by the next run."""
+    come in a later batch than its rows. What is open when the stream is stopped is state, and written when it goes on. Timers of the clock keep
+    a stream going until it is stopped, whatever its trigger."""
     names = [c for c in messages.columns if c not in (key, seq, flush)]
     d = messages.select(key, F.col(seq).cast("long").alias("seq"), F.coalesce(F.col(flush), F.lit(False)).alias("flush"), F.to_json(F.struct(*names)).alias("message"))
     schema = f"{key} {messages.schema[key].dataType.simpleString()}, write long, seq long, message string"
@@ -267,4 +268,4 @@ def written(writes: DataFrame, folder: str, checkpoint: str, key: str = "dongle_
         batch.repartition(key, "write").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key, "write").parquet(folder)
 
     out = writes.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
-    return out.trigger(**(trigger or {"availableNow": True})).start()
+    return out.trigger(**(trigger or {"processingTime": "1 second"})).start()

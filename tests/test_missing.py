@@ -80,21 +80,29 @@ def test_a_write_ends_with_its_marker(spark, tmp_path):
         [row("a", 11, "s3")],  # no marker: due after some time
     ]
 
-    def run():
+    def run(n):
+        """Until n rows are written."""
         stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(src))
-        q = stateful.written(stateful.flushed(stream, most=8, after_s=1.0), str(out), str(tmp_path / "state"))
-        q.awaitTermination(120)
+        q = stateful.written(stateful.flushed(stream, most=8, after_s=1.0), str(out), str(tmp_path / "state"), processingTime="100 milliseconds")
+        written = spark.read.schema("seq long, freq_hz long, sweep_id string, dongle_id string, write long")
+        end, seen = time.time() + 90, 0
+        while seen < n and q.isActive and time.time() < end:
+            time.sleep(0.5)
+            try:
+                seen = written.parquet(str(out)).count()
+            except Exception:  # noqa: BLE001  a write is just being put in its place
+                seen = 0
+        q.stop()
         assert q.exception() is None
-        return spark.read.parquet(str(out))
+        return written.parquet(str(out))
 
     try:
         for k, b in enumerate(batches):
             feed(spark, src, f"{k:03d}", b)
             time.sleep(0.02)
-        run()
-        time.sleep(1.2)
-        feed(spark, src, "100", [row("c", 0, "s1"), mark("c", 1)])  # a run in which other receivers send
-        d = run()
+        run(8)  # stopped with rows that are not written
+        feed(spark, src, "100", [row("c", 0, "s1"), mark("c", 1)])
+        d = run(28)
         got = {}
         for r in d.collect():
             got.setdefault((r.dongle_id, r.write), []).append((r.seq, r.sweep_id))
