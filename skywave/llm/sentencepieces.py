@@ -6,10 +6,11 @@ Viterbi pass gives the best score of each prefix; it is the exact rest of a back
 end, which therefore yields segmentations in order of their score, best first.
 
 The lattice falls apart where no piece spans two characters (before a space that follows another
-character, among others), so segmentations of words combine: the best of a text is that of its words,
+character, between letters and punctuation), so segmentations of words combine: the best of a text is that of its words,
 and the next ones change the words whose second segmentations cost least. The forward pass runs over all
 new words of a group of texts at once, one position after the other, on arrays of edges; so does a pass
-from the ends, which gives what each word's second segmentation costs. Found words are kept. Only the few words whose second
+from the ends, which gives what each word's second segmentation costs. Found words are kept, from task
+to task of a process. Only the few words whose second
 segmentations a text needs are searched by A*.
 
 Scores are those of the model's file; equal scores go to the piece that starts first. Defined
@@ -36,12 +37,20 @@ from .common import read, sliced
 SPACE = "▁"
 N_BEST = 4
 MODEL = "piece_bpe_32k.model"
-_KNOWN = 400_000  # words that are kept
+_KNOWN = 800_000  # words that are kept, some 300 bytes each
+_PATHS = 50_000  # words whose segmentations are kept, some 1,000 bytes each
 _LONG = 64  # longer words are cut or searched one by one
 _CHARS = 1_000_000  # of texts that are encoded together
 _EDGE_CHARS = 100_000  # of words whose edges are held together
 _EMPTY = np.int64(-1)
-_WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+_MADE: dict[str, Pieces] = {}
+
+
+def pieces_of(model: str = MODEL) -> Pieces:
+    """Made once in each process, so that tasks after the first have its tables and the words that it knows."""
+    if model not in _MADE:
+        _MADE[model] = Pieces(model)
+    return _MADE[model]
 
 
 class Pieces:
@@ -60,6 +69,7 @@ class Pieces:
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.byte_score = min(self.score.values()) - 10.0
         self.within = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self.word = self._word()
         self.id_bytes = {p: np.array([i], dtype="<u4").tobytes() for p, i in self.ids.items()}
         self.root: dict = {}  # the pieces by their characters; "" has a piece's score
         for p, s in self.score.items():
@@ -69,13 +79,22 @@ class Pieces:
             node[""] = s
         self.known: dict[str, int] = {}  # a word's place in the lists below
         self.found_ids: list[bytes] = []
-        self.found_bytes: list[bytes] = []
-        self.found_score, self.found_loss = np.empty(0), np.empty(0)
+        self.found_size, self.found_score, self.found_loss = np.empty(0, np.int64), np.empty(0), np.empty(0)
         self.paths: dict[str, list] = {}
         self.text_of = [bytes([int(p[3:5], 16)]) if b else p.replace(SPACE, " ").encode() for p, b in zip(self.pieces, self.is_byte, strict=True)]
 
         self._tabulate()
 
+    def _word(self) -> re.Pattern:
+        """A segment: spaces, and a run of characters that pieces join, directly or by way of others, or a single one."""
+        groups: dict[str, frozenset] = {}
+        for a, b in self.within:
+            if SPACE not in (a, b):
+                both = groups.get(a, frozenset(a)) | groups.get(b, frozenset(b))
+                groups.update(dict.fromkeys(both, both))
+        runs = sorted(("".join(sorted(g)) for g in set(groups.values())), key=lambda r: (-len(r), r))
+        return re.compile(f"{SPACE}*(?:{''.join(f'[{re.escape(r)}]+|' for r in runs)}[^{SPACE}])|{SPACE}+")
+
     def _tabulate(self) -> None:
         """The tree of pieces as a hash table of steps (node, character) -> node, open addressing."""
         steps, self.node_piece, todo = [], [], [(self.root, "")]
@@ -117,7 +136,7 @@ class Pieces:
         return out
 
     def search_many(self, words: list[str]) -> list[tuple[bytes, float, float]]:
-        """search() of each word (none is empty), all at once: place i of word k is node first[k] + i."""
+        """search() of each word (none is empty, none over _LONG), all at once: place i of word k is node first[k] + i."""
         n = np.fromiter(map(len, words), np.int64, len(words))
         char = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         word = np.repeat(np.arange(len(words)), n)
@@ -149,7 +168,7 @@ class Pieces:
         begin, end = begin + owner, end + owner
         # forward: the best of each node, edges by the place of their end
         place = end - first[owner]
-        order = np.lexsort((begin, end, place))
+        order = np.argsort((place << 48) | (end << 24) | begin)  # all differ
         begin, end, piece, score, owner, place = (x[order] for x in (begin, end, piece, score, owner, place))
         best, come = np.zeros(len(char) + len(words)), np.zeros(len(char) + len(words), np.int64)
         bound = np.searchsorted(place, np.arange(1, int(n.max()) + 2))
@@ -171,7 +190,7 @@ class Pieces:
         rest = np.full(len(best), -np.inf)
         rest[first + n] = 0.0
         start = begin - first[owner]
-        order = np.lexsort((begin, -start))
+        order = np.argsort((-start << 24) + begin)
         bound = np.searchsorted(-start[order], np.arange(-int(n.max()) + 1, 2))
         for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True):
             own = order[a:b]
@@ -187,11 +206,10 @@ class Pieces:
         cut = np.searchsorted(owner[used], np.arange(len(words) + 1)).tolist()
         raw, odd = piece[used].astype("<u4").tobytes(), set(word[bare].tolist())
         starts = begin[used] - first[owner[used]]
-        out = []
-        for k, w in enumerate(words):
-            ids = self.encoded(w, starts[cut[k] : cut[k + 1]].tolist()) if k in odd else raw[4 * cut[k] : 4 * cut[k + 1]]
-            out.append((ids, float(total[k]), float(total[k] - second[k])))
-        return out
+        ids = [raw[4 * a : 4 * b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        for k in odd:
+            ids[k] = self.encoded(words[k], starts[cut[k] : cut[k + 1]].tolist())
+        return list(zip(ids, total.tolist(), (total - second).tolist(), strict=True))
 
     def lattice(self, seg: str) -> tuple[list[float], list[list[tuple[int, float]]], list[int]]:
         """Best score of each prefix; by end, the edges (start, score) and the start of the best one."""
@@ -280,7 +298,7 @@ class Pieces:
         return [*out, word[a:]]
 
     def learn(self, words: list[str]) -> None:
-        """Finds new words and keeps them with the bytes that their ids decode to."""
+        """Finds new words and keeps them."""
         found: list[tuple[bytes, float, float]] = []
         held, size, short = [], 0, [w for w in words if len(w) <= _LONG]
         for w in short:
@@ -296,16 +314,15 @@ class Pieces:
             parts = [self.search(part) for part in self._cut(w)]
             found.append((b"".join(f[0] for f in parts), sum(f[1] for f in parts), min(f[2] for f in parts)))
         self.known.update(zip([*short, *long], range(len(self.found_ids), len(self.found_ids) + len(words)), strict=True))
-        text_of = self.text_of
-        self.found_ids += [f[0] for f in found]
-        self.found_bytes += [b"".join([text_of[i] for i in np.frombuffer(f[0], "<u4").tolist()]) for f in found]
-        self.found_score = np.concatenate((self.found_score, [f[1] for f in found]))
-        self.found_loss = np.concatenate((self.found_loss, [f[2] for f in found]))
+        ids, score, loss = zip(*found, strict=True)
+        self.found_ids += ids
+        self.found_size = np.concatenate((self.found_size, np.fromiter(map(len, ids), np.int64, len(ids))))
+        self.found_score, self.found_loss = np.concatenate((self.found_score, score)), np.concatenate((self.found_loss, loss))
 
     def _options(self, word: str, n: int) -> list[tuple[float, list[int]]]:
         key = (word, n)
         if key not in self.paths:
-            if len(self.paths) >= _KNOWN:
+            if len(self.paths) >= _PATHS:
                 self.paths.clear()
             self.paths[key] = self.n_best(word, n)
         return self.paths[key]
@@ -319,15 +336,15 @@ class Pieces:
             while end < len(texts) and (end == at or size + len(texts[end] or "") <= _CHARS):
                 size += len(texts[end] or "")
                 end += 1
-            segs = [_WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts[at:end]]
+            segs = [self.word.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts[at:end]]
             words = set().union(*segs)
             new = words - self.known.keys()
             if len(self.known) + len(new) > _KNOWN and self.known:
-                self.known, self.found_ids, self.found_bytes = {}, [], []
-                self.found_score, self.found_loss = np.empty(0), np.empty(0)
+                self.known, self.found_ids = {}, []
+                self.found_size, self.found_score, self.found_loss = np.empty(0, np.int64), np.empty(0), np.empty(0)
                 new = words
             if new:
-                self.learn(sorted(new))
+                self.learn(list(new))
             yield from (self._segmentations(s, n) for s in segs)
             at = end
 
@@ -343,16 +360,15 @@ class Pieces:
         for at in sorted(int(i) for i in some if np.isfinite(loss[i])):
             options = self._options(segs[at], n)
             paths = heapq.nsmallest(n, [(d + options[0][0] - s, [*p, (at, starts)]) for d, p in paths for s, starts in options], key=lambda x: x[0])
-        ids = list(map(self.found_ids.__getitem__, place))
-        out = []
-        for d, path in paths[:n]:
-            mine = ids
-            if out:
-                mine = list(ids)
-                for at, starts in path:
-                    mine[at] = self.encoded(segs[at], starts)
-            out.append((base - d, b"".join(mine)))
-        return out, b"".join(map(self.found_bytes.__getitem__, place))[1:]
+        ids, ends = b"".join(map(self.found_ids.__getitem__, place)), np.cumsum(self.found_size[where])
+        out = [(base, ids)]
+        for d, path in paths[1:n]:
+            parts, done = [], 0
+            for at, starts in path:
+                parts += [ids[done : ends[at] - self.found_size[place[at]]], self.encoded(segs[at], starts)]
+                done = ends[at]
+            out.append((base - d, b"".join([*parts, ids[done:]])))
+        return out, b"".join(map(self.text_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))[1:]
 
     def encode(self, text: str | None, n: int = N_BEST) -> list[tuple[float, bytes]]:
         """The n best segmentations of a text: (score, ids as little-endian unsigned 32-bit numbers)."""
@@ -367,7 +383,7 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", n: int = N_BEST, m
     """(id, n_pieces, score, ids_crc32, nbest_scores, nbest_crc32, decoded_sha256, round_trip)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sp = Pieces(model)
+        sp = pieces_of(model)
         for b in sliced(batches, 1000):
             rows = []
             for id_, text, (best, back) in zip(b["id"], b["text"], sp.encode_many(b["text"].tolist(), n), strict=True):

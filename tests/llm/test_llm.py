@@ -259,6 +259,21 @@ def test_pieces_at_once_are_as_one_by_one():
         assert (ids, pytest.approx(score), pytest.approx(loss)) == one
 
 
+def test_pieces_words_end_where_no_piece_goes_on():
+    p, rng = sentencepieces.pieces_of(), random.Random(5)
+    assert sentencepieces.pieces_of() is p  # tasks of a process share what it knows
+    assert p.word.findall("▁one,▁▁two.\nThree▁▁") == ["▁one", ",", "▁▁two", ".", "\n", "Three", "▁▁"]
+    for _ in range(300):
+        text = "".join(rng.choice("abth.,-' \n▁é9中Ж\U0001f600") for _ in range(rng.randrange(1, 60)))
+        whole = "▁" + text.replace(" ", "▁")
+        assert "".join(p.word.findall(whole)) == whole
+        (score, ids), *others = p.encode(text)
+        best = p.search(whole)
+        assert ids == best[0] and abs(score - best[1]) < 1e-9
+        assert np.allclose([score, *(s for s, _ in others)], [s for s, _ in p.n_best(whole, 4)])
+
+
+
 def test_best_path_is_no_worse_than_the_librarys(data):
     import duckdb
     import public_tokenizers
