@@ -2,13 +2,14 @@
 more, linked to whole components.
 
 Shingles are made as in simhash (words of the bytes after lower-casing A-Z; fewer words than five: all of
-them; none: no shingle), as a set of XXH64. Equal sets are one node. Candidates are the nodes that share
-one of BANDS keys, each the hash of ROWS minimum hashes: of pairs at exactly 0.8 one in 300,000 shares
-none (0.59 ** 24), of more similar ones fewer. Every link is then verified on the sets themselves, so no
-pair under 0.8 is linked.
-
-Keys with the same nodes are one group. First each node is searched in the largest of its groups only; groups all
-of whose nodes are in one component after that are done, and so are most. The others are searched whole. A search
+them; none: no shingle), as a set of XXH64. Equal sets are one node. Candidates are first the nodes of one SimHash
+group: fingerprints of the sets, linked by simhash.links() at 3 or fewer differing bits. At a similarity of 0.8 some ten
+bits differ, so nodes that share one of BANDS keys, each the hash of ROWS minimum hashes, are candidates too: of
+pairs at exactly 0.8 one in 300,000 shares none (0.59 ** 24), of more similar ones fewer. Every link is then
+verified on the sets themselves, so no pair under 0.8 is linked.
+
+Keys with the same nodes are one group. First each node is searched in its SimHash group only, or where it is alone there
+in the largest of its groups; groups all of whose nodes are in one component after that are done, and so are most. The others are searched whole. A search
 is a spanning forest of a group's links, never all pairs; nodes already in one component are not compared. A group of
 more than GROUP nodes is first dealt into blocks which all hold its least node; what is
 not connected to that node afterwards then meets all of the group, block by block.
@@ -27,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import cut_lineage, sliced
 from .components import components
 
@@ -68,17 +70,21 @@ def _node(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 42)).view(np.int64))
 
 
+def _fingerprint(hashes: np.ndarray) -> int:
+    return simhash.majority(hashes.astype(">u8").tobytes())
+
+
 def prints(docs: DataFrame, id_col: str) -> DataFrame:
-    """(id, text_hash, node, keys): text_hash is Spark's xxhash64 of the text."""
+    """(id, text_hash, node, fp, keys): text_hash is Spark's xxhash64 of the text, fp the SimHash of its set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in sliced(batches, 1000):
             sets = [shingles(t) for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "text_hash": b["text_hash"], "node": np.array([_node(s) for s in sets], np.int64), "keys": [band_keys(s) for s in sets]})
+            yield pd.DataFrame({"id": b["id"], "text_hash": b["text_hash"], "node": np.array([_node(s) for s in sets], np.int64), "fp": np.array([_fingerprint(s) for s in sets], np.int64), "keys": [band_keys(s) for s in sets]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("id", F.col("id").cast("string"))  # pandas has no long with nulls
-    return rows.mapInPandas(run, "id string, text_hash long, node long, keys array<long>").withColumn("id", F.col("id").cast("long"))
+    return rows.mapInPandas(run, "id string, text_hash long, node long, fp long, keys array<long>").withColumn("id", F.col("id").cast("long"))
 
 
 def sets_of(docs: DataFrame, id_col: str, wanted: DataFrame) -> DataFrame:
@@ -163,16 +169,19 @@ def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 def links(nodes: DataFrame, sets_for, group: int = GROUP) -> DataFrame:
     """(a, b): verified links that connect what all links of nodes(node, keys, distinct) do; sets_for gives
-    (node, hashes) of a frame of nodes."""
-    keyed = nodes.select("node", F.explode("keys").alias("key")).distinct()
+    (node, hashes) of a frame of nodes. Nodes may have a column simhash, a key to be searched before the others."""
+    keyed = nodes.select("node", F.explode("keys").alias("key"), F.lit(False).alias("first"))
+    if "simhash" in nodes.columns:
+        keyed = keyed.union(nodes.select("node", "simhash", F.lit(True)))
+    keyed = keyed.distinct()
     same = [F.bit_xor(F.xxhash64("node", F.lit(k))) for k in (1, 2)]
-    found = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), same[0].alias("x"), same[1].alias("y")).where("n > 1")
-    found = cut_lineage(found.groupBy("n", "least", "x", "y").agg(F.min("key").alias("key")))
-    members = cut_lineage(keyed.join(found.select("key", "n", "least"), "key"))
+    found = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), same[0].alias("x"), same[1].alias("y"), F.max("first").alias("first")).where("n > 1")
+    found = cut_lineage(found.groupBy("n", "least", "x", "y").agg(F.min("key").alias("key"), F.max("first").alias("first")))
+    members = cut_lineage(keyed.drop("first").join(found.select("key", "n", "least", "first"), "key"))
     sets = cut_lineage(sets_for(members.select("node").distinct()))
 
-    # each node in the largest of its groups
-    own = members.groupBy("node").agg(F.max(F.struct("n", "key")).alias("m")).select("node", F.col("m.key").alias("key"))
+    # each node in its SimHash group, or the largest of its groups
+    own = members.groupBy("node").agg(F.max(F.struct("first", "n", "key")).alias("m")).select("node", F.col("m.key").alias("key"))
     sizes = own.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
     first = own.join(sizes, "key").withColumn("root", F.col("node"))
     met = cut_lineage(_search(_dealt(first, group), sets))
@@ -195,11 +204,19 @@ def links(nodes: DataFrame, sets_for, group: int = GROUP) -> DataFrame:
     return met.union(_search(ones.union(twos), sets))
 
 
+def simhash_groups(nodes: DataFrame) -> DataFrame:
+    """nodes(fp) with a column simhash, one key for all whose fingerprints are connected by links of 3 or fewer bits."""
+    roots = components(simhash.links(nodes.select("fp").distinct()))
+    named = roots.select(F.col("node").alias("_fp"), F.col("root").alias("_root"))
+    key = F.xxhash64(F.lit("simhash"), F.coalesce("_root", "fp")).alias("simhash")
+    return nodes.join(named, F.col("fp") == F.col("_fp"), "left").select(*nodes.columns, key)
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", group: int = GROUP) -> DataFrame:
     """(id, text_hash, component) for each row of docs: rows of one component are near copies."""
     rows = cut_lineage(prints(docs, id_col))
-    nodes = cut_lineage(rows.groupBy("node").agg(F.min("id").alias("id"), F.first("keys").alias("keys")))
-    found = links(nodes.select("node", "keys"), lambda some: sets_of(docs, id_col, nodes.join(some, "node", "left_semi").select("id", "node")), group)
+    nodes = cut_lineage(rows.groupBy("node").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    found = links(simhash_groups(nodes).select("node", "keys", "simhash"), lambda some: sets_of(docs, id_col, nodes.join(some, "node", "left_semi").select("id", "node")), group)
     roots = components(found)
     named = roots.select(F.col("node").alias("_node"), "root")
     return rows.join(named, rows.node == named["_node"], "left").select("id", "text_hash", F.coalesce("root", "node").alias("component"))

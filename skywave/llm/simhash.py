@@ -44,12 +44,15 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     if not found:
         return 0
     if len(found) <= words:
-        digests = xxhash.xxh64_digest(b" ".join(found), 42)
-    else:
-        joined, digest = b" ".join(found), xxhash.xxh64_digest
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
-        starts = np.concatenate(([0], ends[: len(found) - words])).tolist()
-        digests = b"".join([digest(joined[a:b], 42) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)])
+        return majority(xxhash.xxh64_digest(b" ".join(found), 42))
+    joined, digest = b" ".join(found), xxhash.xxh64_digest
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
+    starts = np.concatenate(([0], ends[: len(found) - words])).tolist()
+    return majority(b"".join([digest(joined[a:b], 42) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist(), strict=True)]))
+
+
+def majority(digests: bytes) -> int:
+    """The fingerprint of hashes of 8 bytes each, as a signed long: bits that more than half of them have."""
     n = len(digests) // 8
     ones = np.zeros(64, dtype=np.int64)
     raw = np.frombuffer(digests, dtype=np.uint8).reshape(n, 8)

@@ -89,6 +89,40 @@ def test_groups_that_fall_apart_meet_all_of_their_group(spark):
     assert len(set(root.values())) == len({want[i] for i in root})
 
 
+def test_simhash_groups_are_linked_where_no_band_is(spark):
+    """Without any band key what remains is SimHash: near copies within 3 bits, each verified on its set."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(3)
+    texts = []
+    for _ in range(20):
+        base = [f"w{rng.randrange(9000)}" for _ in range(1500)]
+        texts += [" ".join(base), " ".join([*base, "end"]), " ".join(["begin", *base])]
+    texts += ["", "one", "one two", "one two three"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = nearcopies.prints(docs, "doc_id").collect()
+    assert {r.id: r.fp for r in rows}[60] == 0
+    frame = spark.createDataFrame([(r.id, r.node, r.fp) for r in rows], "id long, node long, fp long").withColumn("keys", F.array().cast("array<long>"))
+    groups = nearcopies.simhash_groups(frame)
+    found = nearcopies.links(groups.select("node", "keys", "simhash"), lambda some: nearcopies.sets_of(docs, "doc_id", frame.join(some, "node", "left_semi"))).collect()
+    at = {r.node: r.id for r in rows}
+    pairs = {tuple(sorted((at[r.a], at[r.b]))) for r in found}
+    near = [(a, b) for a in range(60) for b in range(a + 1, 60) if (rows_fp(rows, a) ^ rows_fp(rows, b)).bit_count() <= 3]
+    assert len(near) >= 30 and all(a // 3 == b // 3 for a, b in pairs)
+    root = {i: i for i in range(60)}
+    for _ in range(3):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    assert all(root[a] == root[b] for a, b in near)
+    # the same group by fingerprint, unlike by their sets: no link
+    apart = frame.where("id in (0, 3)").withColumn("simhash", F.lit(1).cast("long"))
+    assert not nearcopies.links(apart.select("node", "keys", "simhash"), lambda some: nearcopies.sets_of(docs, "doc_id", frame.join(some, "node", "left_semi"))).collect()
+
+
+def rows_fp(rows, i):
+    return next(r.fp for r in rows if r.id == i) & (2**64 - 1)
+
+
 def test_stage_keeps_one_of_a_pair_that_few_bits_do_not_link(spark, data):
     rng = random.Random(1)
     base = [f"w{rng.randrange(9000)}" for _ in range(200)]
