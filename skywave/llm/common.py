@@ -38,6 +38,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def in_few_files(df: DataFrame) -> DataFrame:
+    """cut_lineage() in no more tasks than four a core, each of which goes through its partitions one by one. Each
+    file of a checkpoint costs time, and on Hadoop's local file system two processes (chmod) besides."""
+    return cut_lineage(df.coalesce(max(32, 4 * df.sparkSession.sparkContext.defaultParallelism)))
+
+
 def fixed_layout(df: DataFrame) -> DataFrame:
     """cut_lineage() that keeps the partitioning which df was given by repartition(n, key), so that
     later joins and cogroups on the key need no exchange of these rows."""

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import in_few_files
 
 #: Edges of 16 bytes that one task can hold; fewer are finished by one task in memory.
 IN_MEMORY = 1_000_000
@@ -43,7 +43,7 @@ def components(edges: DataFrame, in_memory: int = IN_MEMORY) -> DataFrame:
     edges is pre-aggregated by min() and its edges are joined to that one number, so no list of
     neighbours is made. Only counts reach the driver. Nulls and loops are ignored; no edges give no rows.
     """
-    now = cut_lineage(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    now = in_few_files(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     seen = None
     while True:
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -59,4 +59,4 @@ def components(edges: DataFrame, in_memory: int = IN_MEMORY) -> DataFrame:
         # small star: the node and its smaller neighbours hang from the least of these
         low = large.groupBy("b").agg(F.min("a").alias("low"))
         small = large.join(low, "b").select(F.col("low").alias("a"), F.explode(F.array("a", "b")).alias("b"))
-        now = cut_lineage(small.where("a <> b").distinct())
+        now = in_few_files(small.where("a <> b").distinct())

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import cut_lineage, sliced
+from .common import in_few_files, sliced
 from .components import components
 
 WORDS = 5
@@ -176,26 +176,26 @@ def links(nodes: DataFrame, sets_for, group: int = GROUP) -> DataFrame:
     keyed = keyed.distinct()
     same = [F.bit_xor(F.xxhash64("node", F.lit(k))) for k in (1, 2)]
     found = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least"), same[0].alias("x"), same[1].alias("y"), F.max("first").alias("first")).where("n > 1")
-    found = cut_lineage(found.groupBy("n", "least", "x", "y").agg(F.min("key").alias("key"), F.max("first").alias("first")))
-    members = cut_lineage(keyed.drop("first").join(found.select("key", "n", "least", "first"), "key"))
-    sets = cut_lineage(sets_for(members.select("node").distinct()))
+    found = in_few_files(found.groupBy("n", "least", "x", "y").agg(F.min("key").alias("key"), F.max("first").alias("first")))
+    members = in_few_files(keyed.drop("first").join(found.select("key", "n", "least", "first"), "key"))
+    sets = in_few_files(sets_for(members.select("node").distinct()))
 
     # each node in its SimHash group, or the largest of its groups
     own = members.groupBy("node").agg(F.max(F.struct("first", "n", "key")).alias("m")).select("node", F.col("m.key").alias("key"))
     sizes = own.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
     first = own.join(sizes, "key").withColumn("root", F.col("node"))
-    met = cut_lineage(_search(_dealt(first, group), sets))
-    members = _rooted(members, cut_lineage(components(met)))
+    met = in_few_files(_search(_dealt(first, group), sets))
+    members = _rooted(members, in_few_files(components(met)))
     open_ = members.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    members = cut_lineage(members.join(open_, "key"))
-    met = met.union(cut_lineage(_search(_dealt(members, group), sets)))
+    members = in_few_files(members.join(open_, "key"))
+    met = met.union(in_few_files(_search(_dealt(members, group), sets)))
     hot = members.where(F.col("n") > group)
     if not hot.limit(1).count():
         return met
 
     # large groups: what is not connected to the least node meets all others of the group
     blocks = F.ceil(F.col("n") / group).cast("int")
-    named = cut_lineage(_rooted(hot, cut_lineage(components(met))).withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")))
+    named = in_few_files(_rooted(hot, in_few_files(components(met))).withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")))
     heads = named.where("node = least").select("key", F.col("root").alias("head"))
     rest = named.join(heads, "key").where("root <> head")
     tried = rest.groupBy("key").agg(F.collect_set("own").alias("tried"))  # at most n / group numbers a key
@@ -214,8 +214,8 @@ def simhash_groups(nodes: DataFrame) -> DataFrame:
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", group: int = GROUP) -> DataFrame:
     """(id, text_hash, component) for each row of docs: rows of one component are near copies."""
-    rows = cut_lineage(prints(docs, id_col))
-    nodes = cut_lineage(rows.groupBy("node").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
+    rows = in_few_files(prints(docs, id_col))
+    nodes = in_few_files(rows.groupBy("node").agg(F.min("id").alias("id"), F.first("fp").alias("fp"), F.first("keys").alias("keys")))
     found = links(simhash_groups(nodes).select("node", "keys", "simhash"), lambda some: sets_of(docs, id_col, nodes.join(some, "node", "left_semi").select("id", "node")), group)
     roots = components(found)
     named = roots.select(F.col("node").alias("_node"), "root")

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, read, sliced
+from .common import cut_lineage, in_few_files, read, sliced
 from .components import components
 from .golay import keys as golay_keys
 
@@ -174,9 +174,9 @@ def links(fps: DataFrame, bits: int = BITS, group: int = GROUP) -> DataFrame:
             yield pd.DataFrame({"key": keys[keep], "fp": np.repeat(fp, keep.sum(axis=1))})
 
     keyed = fps.select("fp").mapInPandas(emit, "key long, fp long")
-    keyed = cut_lineage(keyed)
+    keyed = in_few_files(keyed)
     counts = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = cut_lineage(keyed.join(counts, "key"))
+    shared = in_few_files(keyed.join(counts, "key"))
     blocks = F.ceil(F.col("n") / group).cast("int")
     own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
     cold = shared.where(F.col("n") <= group).select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp")

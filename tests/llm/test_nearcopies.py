@@ -119,6 +119,16 @@ def test_simhash_groups_are_linked_where_no_band_is(spark):
     assert not nearcopies.links(apart.select("node", "keys", "simhash"), lambda some: nearcopies.sets_of(docs, "doc_id", frame.join(some, "node", "left_semi"))).collect()
 
 
+def test_checkpoints_of_many_partitions_have_few_files(spark):
+    """Each file costs processes of the executor, whose memory was read twice where one was just being made."""
+    from skywave.llm.common import in_few_files
+
+    most = max(32, 4 * spark.sparkContext.defaultParallelism)
+    df = in_few_files(spark.range(5000).repartition(most + 100))
+    assert df.rdd.getNumPartitions() == most and df.count() == 5000
+    assert in_few_files(spark.range(10).repartition(2)).rdd.getNumPartitions() == 2
+
+
 def rows_fp(rows, i):
     return next(r.fp for r in rows if r.id == i) & (2**64 - 1)
 
