@@ -25,7 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group: that of the least doc_id, of rows that share this id the one of the least hash
+    """Near copies by SimHash groups, then MinHash bands for what few bits do not link, every link verified.
+    One row of each group: that of the least doc_id, of rows that share this id the one of the least hash
     of its text. A null doc_id stays only where its group has no other."""
     groups = nearcopies.near_copies(docs).groupBy("component", "id", "text_hash").agg(F.count("*").alias("n"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash", "n")).alias("first")
