@@ -6,6 +6,7 @@ live deployment's, as the driver's events are sparse.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -41,7 +42,8 @@ def sql_since(hours: int, ts: str = "ts") -> str:
 
 
 def r(c: str | Column, n: int) -> Column:
-    return F.round(c, n)
+    """A double rounded as the SQL rounds it; whole numbers and decimals take F.round()."""
+    return S.rounded(F.col(c) if isinstance(c, str) else c, n)
 
 
 # --- families ---
@@ -78,14 +80,14 @@ def top(name: str, rel: str, key: str, n: int | None, hours: int, where: str = "
 
 
 def rows(name: str, rel: str, cols: str, where: str, order: str, n: int | None = None) -> None:
-    """Rows of a relation: projection, filter, order and limit are the same text in both."""
+    """Rows of a relation: projection, filter, order and limit are the same text in both, but for how doubles are rounded (see r())."""
     tail = f" ORDER BY {order} LIMIT {n}" if n else ""
 
     def plan(rel_):
         d = rel_(rel).where(where)
         if n:
             d = d.orderBy(*[F.desc(c.split()[0]) if c.endswith(" DESC") else F.asc(c) for c in order.split(", ")]).limit(n)
-        return d.selectExpr(*[c.strip() for c in cols.split(";")])
+        return d.selectExpr(*[re.sub(r"round\((.+), (\d)\)", r"round((\1) * 1e\2) / 1e\2", c.strip()) for c in cols.split(";")])
 
     add(name, plan, f"SELECT {cols.replace(';', ',')} FROM {rel} WHERE {where}{tail}")
 
@@ -101,7 +103,7 @@ per_minutes("q_ac5", "messages", 1, 48, lambda: F.count("*"), "count(*)")
 top("q_ac6", "messages", "flight", 15, 240, "flight <> ''")
 top("q_ac7", "messages", "tail", 15, 240, "tail <> ''")
 top("q_ac8", "messages", "label", 20, 240, "label <> ''")
-top("q_ac9", "messages", "freq", None, 240, expr=lambda: r("freq_mhz", 3).cast("string"), sql_expr="CAST(round(freq_mhz, 3) AS VARCHAR)")
+top("q_ac9", "messages", "freq", None, 240, expr=lambda: F.round("freq_mhz", 3).cast("string"), sql_expr="CAST(round(freq_mhz, 3) AS VARCHAR)")
 per_minutes("q_ac10", "messages", 15, 240, lambda: r(F.avg("level_db"), 6), "round(avg(level_db), 6)")
 top("q_ac11", "messages", "route", 15, 240, "depa <> '' AND dsta <> ''", lambda: F.concat("depa", F.lit("-"), "dsta"), "depa || '-' || dsta")
 rows("q_ac12", "messages", "event_id; ts; freq_mhz; level_db; label; flight; tail; text", f"ts <= '{AS_OF}'", "ts DESC, event_id", 100)
@@ -237,7 +239,7 @@ def pass_latest(rel) -> DataFrame:
 for _name, _where in (("q_no1", "1 = 1"), ("q_no2", "status = 'decoded'"), ("q_no3", "status = 'failed'")):
     add(_name, lambda rel, w=_where: pass_latest(rel).where(f"pass_start > '{PASS_NOW}' AND {w}").agg(F.count("*").alias("n")), f"SELECT count(*) AS n FROM ({SQL_PASSES}) WHERE pass_start > '{PASS_NOW}' AND {_where}")
 add("q_no4", lambda rel: pass_latest(rel).where("status = 'decoded'").agg(r(F.avg("snr_db"), 6).alias("snr")), f"SELECT round(avg(snr_db), 6) AS snr FROM ({SQL_PASSES}) WHERE status = 'decoded'")
-add("q_no5", lambda rel: pass_latest(rel).orderBy(F.desc("pass_start"), "seq").limit(50).select("seq", "pass_start", "satellite", r("max_elevation", 1).alias("max_el"), "duration_s", "status", r("snr_db", 1).alias("snr")), f"SELECT seq, pass_start, satellite, round(max_elevation, 1) AS max_el, duration_s, status, round(snr_db, 1) AS snr FROM ({SQL_PASSES}) ORDER BY pass_start DESC, seq LIMIT 50")
+add("q_no5", lambda rel: pass_latest(rel).orderBy(F.desc("pass_start"), "seq").limit(50).select("seq", "pass_start", "satellite", F.round("max_elevation", 1).alias("max_el"), "duration_s", "status", r("snr_db", 1).alias("snr")), f"SELECT seq, pass_start, satellite, round(max_elevation, 1) AS max_el, duration_s, status, round(snr_db, 1) AS snr FROM ({SQL_PASSES}) ORDER BY pass_start DESC, seq LIMIT 50")
 add("q_no6", lambda rel: pass_latest(rel).groupBy("satellite").agg(F.count("*").alias("passes"), F.sum(F.when(F.col("status") == "decoded", 1).otherwise(0)).alias("decoded")), f"SELECT satellite, count(*) AS passes, sum(CASE WHEN status = 'decoded' THEN 1 ELSE 0 END)::BIGINT AS decoded FROM ({SQL_PASSES}) GROUP BY 1")
 add("q_no7", lambda rel: pass_latest(rel).groupBy(S.bucket(F.col("pass_start"), "day").alias("day")).agg(F.count("*").alias("passes")), f"SELECT date_trunc('day', pass_start)::TIMESTAMP AS day, count(*) AS passes FROM ({SQL_PASSES}) GROUP BY 1")
 
