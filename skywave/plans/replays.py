@@ -61,10 +61,9 @@ add("st5_silence_replay", _silence, _SQL_SILENCE)
 
 def _lonely(rel) -> DataFrame:
     e = rel("transients").where("event_type = 'appeared'").select("freq_hz", "ts")
-    # a frequency of its own: rows without one are filtered before the watermark sees them
-    end = e.agg(F.lit(-1).cast("long").alias("freq_hz"), (F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
-    out = replay.replayed(_with_end(e, end), "ts", lambda s: stateful.lonely(s, late="2 minutes"))
-    return out.where("freq_hz > 0").groupBy("freq_hz").agg(F.count("*").alias("n"))
+    end = e.agg(F.lit(True).alias("end"), (F.max("ts") + F.expr("INTERVAL 1 DAY")).alias("ts"))
+    out = replay.replayed(_with_end(e.withColumn("end", F.lit(False)), end), "ts", lambda s: stateful.lonely(s, ("freq_hz", "end"), late="2 minutes"))
+    return out.where("NOT end").groupBy("freq_hz").agg(F.count("*").alias("n"))
 
 
 add("j17_lonely_replay", _lonely, BATCH["j17_lonely_bursts"][1])

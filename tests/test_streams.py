@@ -1,13 +1,16 @@
 """Streams with state against batch operators, over random cuts of their input into batches."""
 
 import datetime as dt
+import os
 import random
 import uuid
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from skywave.operators import detect
+from skywave.plans import catalogue
 from skywave.streaming import stateful, views
 
 T0 = dt.datetime(2024, 1, 1)
@@ -100,6 +103,40 @@ def test_lonely_rows_come_out_when_their_time_has_passed(spark, tmp_path):
         assert [r for r in got if r[0] != 9] == want
 
 
+def test_lonely_keeps_open_sessions_only(spark, tmp_path):
+    """4,000 rows of a frequency, a second apart: work and state do not grow with the pairs of them."""
+    src = tmp_path / "in"
+    row = lambda a, f=1: spark.range(1).select(F.lit(f).cast("long").alias("freq_hz"), F.lit(T0 + dt.timedelta(seconds=a)).cast("timestamp_ntz").alias("ts"))
+    spark.range(4000).select(F.lit(1).cast("long").alias("freq_hz"), (F.lit(T0) + F.make_dt_interval(secs=F.col("id"))).cast("timestamp_ntz").alias("ts")).coalesce(1).write.parquet(str(src))
+    row(9000).unionByName(row(90_000, 2)).coalesce(1).write.mode("append").parquet(str(src))
+    for k, f in enumerate(sorted(src.glob("part-*"), key=lambda f: -f.stat().st_size)):
+        os.utime(f, (1_600_000_000 + k, 1_600_000_000 + k))
+    out = stateful.lonely(spark.readStream.schema("freq_hz long, ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(str(src)))
+    q = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert not q.isActive and q.exception() is None
+    assert [(r.freq_hz, r.ts) for r in spark.read.schema(out.schema).parquet(f"{tmp_path}/out").collect()] == [(1, T0 + dt.timedelta(seconds=9000))]
+    assert max(o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]) < 10
+
+
+def test_lonely_without_a_time_or_a_key(spark, tmp_path):
+    at = lambda s: T0 + dt.timedelta(seconds=s)
+    rows = [(None, at(5)), (None, at(6)), (None, None), (1, None), (1, at(10)), (1, dt.timedelta(microseconds=-1) + at(311)), (2, at(10)), (2, at(311)), (-3, at(20))]
+    got = run(spark, tmp_path, rows + [(9, at(9000))], "freq_hz long, ts timestamp_ntz", [len(rows)], stateful.lonely)
+    assert [r for r in got if r[0] != 9] == sorted([(None, at(5)), (None, at(6)), (None, None), (1, None), (2, at(10)), (2, at(311)), (-3, at(20))], key=str)
+
+
+def test_lonely_replay_of_odd_users(spark, tmp_path):
+    users = [None, None, 3, 3, 3, -140, -140, 5, 5, 5]
+    rows = [(k, T0 + dt.timedelta(seconds=100 * k) if k % 4 else None, u, "click", 1.0, "{}") for k, u in enumerate(users)] + [(99, T0 + dt.timedelta(days=3), -140, "purchase", 1.0, "{}")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = con.execute("SELECT freq_hz, n FROM (" + catalogue.oracle_sql()["j17_lonely_replay"] + ")").fetchall()
+    got = [(r.freq_hz, r.n) for r in catalogue.queries()["j17_lonely_replay"](spark, str(tmp_path)).select("freq_hz", "n").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and None in dict(want) and min(f for f in dict(want) if f) < 0
+
+
 def facts(rng, n=600):
     return [(T0 + dt.timedelta(seconds=rng.randrange(20_000), microseconds=k), rng.choice([100, 101]), rng.choice(["v3", "v4"]), rng.choice([None, rng.uniform(-60, 0)]), rng.choice(["A", "B", "", None]), rng.choice(["x", "y", None])) for k in range(n)]
 
