@@ -53,7 +53,8 @@ def _silence(rel) -> DataFrame:
     h = _heard(rel)
     stateful.with_state_store(h.sparkSession)
     end = h.sparkSession.range(1).select(F.lit("clock").alias("dongle_id"), (now() + F.expr("INTERVAL '1 00:00:00.001' DAY TO SECOND")).alias("ts"))
-    return replay.replayed(_with_end(h, end), "ts", lambda s: stateful.silence_levels(s, warn_s=_WARN, crit_s=_CRIT, late="1 day"))
+    out = replay.replayed(_with_end(h, end), "ts", lambda s: stateful.silence_levels(s, warn_s=_WARN, crit_s=_CRIT, late="1 day"))
+    return out.where(F.col("ts") <= now())  # the watermark has milliseconds
 
 
 add("st5_silence_replay", _silence, _SQL_SILENCE)

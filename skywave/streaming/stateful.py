@@ -6,6 +6,7 @@ The state store has to be one that keeps several states a key: with_state_store(
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,55 +135,92 @@ def transients(bins: DataFrame, within: tuple[str, ...] = ("dongle_id", "run_id"
 
 
 LEVELS = ("OK", "WARN", "CRITICAL")
+_NEVER = np.iinfo("<i8").min
 
 
-class _Silence(InOrder):
-    """State: when the receiver was last heard, and its level since."""
-
-    columns = "none int"
-    output = ("ts", "was", "level")
+class _Silence(StatefulProcessor):
+    """State of a part of the receivers, handled at once as arrays: of each when it was last heard and its level since, rows that the
+    watermark has not passed, and the one timer of the part."""
 
     def __init__(self, after_ms: tuple[int, ...]) -> None:
         self.after = after_ms
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "at long, level int")
-
-    def step(self, key: tuple, rows: pd.DataFrame, until_ms: int) -> list[tuple]:
-        at, level = self.last.get() if self.last.exists() else (None, 0)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "names string, at binary, level binary, code binary, held binary, timer long")
+
+    def _next(self, at: np.ndarray, level: np.ndarray, held: np.ndarray) -> int:
+        """The millisecond at which the watermark next passes a change or a row; 0 if none."""
+        due = [held, *(at[(level == k) & (at != _NEVER)] + ms * 1000 for k, ms in enumerate(self.after))]
+        return min((int(d.min()) // 1000 + 1 for d in due if len(d)), default=0)
+
+    def _step(self, names: np.ndarray, times: np.ndarray, until_ms: int, fired: bool) -> Iterator[pd.DataFrame]:
+        """Changes that are due up to until_ms, with new rows: names and times."""
+        known, timer = np.array([], object), 0
+        at, level, code, held = (np.array([], k) for k in ("<i8", "i1", "<i4", "<i8"))
+        if self.state.exists():
+            text, *packed, timer = self.state.get()
+            known = np.array(json.loads(text), object)
+            at, level, code, held = (np.frombuffer(v, k) for v, k in zip(packed, ("<i8", "i1", "<i4", "<i8"), strict=True))
+        codes, uniques = pd.factorize(np.concatenate([known, names]))
+        fresh = len(uniques) - len(known)
+        at, level = np.concatenate([at, np.full(fresh, _NEVER, "<i8")]), np.concatenate([level, np.zeros(fresh, "i1")])
+        code, held = np.concatenate([code, codes[len(known) :].astype("<i4")]), np.concatenate([held, times])
+        # the watermark has milliseconds: a row of the last one may not be the last of it
+        whole = held // 1000 < until_ms
+        was = np.flatnonzero(at != _NEVER)  # the last rows of before come first
+        c, t, cur = np.concatenate([was, code[whole]]), np.concatenate([at[was], held[whole]]), np.concatenate([level[was], np.zeros(whole.sum(), "i1")])
+        code, held = code[~whole], held[~whole]
+        order = np.lexsort((t, c))
+        c, t, cur = c[order], t[order], cur[order]
+        follows = np.append(c[1:] == c[:-1], False)[: len(c)]
+        after = np.append(t[1:], 0)[: len(t)]
+        until = np.where(follows, after - 1, until_ms * 1000 - 1)
         out = []
+        for k, ms in enumerate(self.after, 1):
+            due = (cur < k) & (t + ms * 1000 <= until)
+            out.append((c[due], t[due] + ms * 1000, cur[due], np.full(due.sum(), k, "i1")))
+            cur = np.where(due, k, cur).astype("i1")
+        back = follows & (cur > 0)
+        out.append((c[back], after[back], cur[back], np.zeros(back.sum(), "i1")))
+        at[c[~follows]], level[c[~follows]] = t[~follows], cur[~follows]
+        due = self._next(at, level, held)
+        if timer != due:
+            if timer and not fired:
+                self.handle.deleteTimer(timer)
+            if due:
+                self.handle.registerTimer(due)  # fires though no row comes
+        self.state.update((json.dumps(uniques.tolist()), at.tobytes(), level.tobytes(), code.tobytes(), held.tobytes(), due))
+        c, *rest = (np.concatenate(x) for x in zip(*out, strict=True))
+        if len(c):
+            yield pd.DataFrame(dict(zip(("name", "at", "was", "level"), (uniques[c], *rest), strict=True))).astype({"was": "int32", "level": "int32"})
 
-        def silent(until: int) -> None:
-            nonlocal level
-            for k, ms in enumerate(self.after, 1):
-                if level < k and at + ms * 1000 <= until:
-                    out.append((at + ms * 1000, LEVELS[level], LEVELS[k]))
-                    level = k
-
-        for a in rows["at"].tolist():
-            if at is not None:
-                silent(a - 1)
-                if level:
-                    out.append((a, LEVELS[level], LEVELS[0]))
-            at, level = a, 0
-        if at is None:
-            return []
-        silent(until_ms * 1000 - 1)
-        self.last.update((at, level))
-        for ms in self.after[level:]:
-            self.handle.registerTimer(at // 1000 + ms + 1)  # fires though no row comes
-        return [(*key, pd.Timestamp(a, unit="us"), was, now) for a, was, now in out]
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        d = pd.concat([d[["name", "at"]] for d in rows])
+        yield from self._step(d["name"].to_numpy(object), d["at"].to_numpy("<i8"), timerValues.getCurrentWatermarkInMs(), False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._step(np.array([], object), np.array([], "<i8"), timerValues.getCurrentWatermarkInMs(), True)
+
+    def close(self) -> None:
+        pass
 
 
-def silence_levels(sweeps: DataFrame, key: str = "dongle_id", ts: str = "ts", warn_s: int = 600, crit_s: int = 1500, late: str = "1 minute") -> DataFrame:
+def silence_levels(sweeps: DataFrame, key: str = "dongle_id", ts: str = "ts", warn_s: int = 600, crit_s: int = 1500, late: str = "1 minute", parts: int = 256) -> DataFrame:
     """detect.silence_changes() of a stream: (key, ts, was, level). A receiver of which nothing is heard changes its level
     warn_s and crit_s seconds after its last row, by a timer of event time: when the watermark, which
-    other receivers drive, has passed that time. It is OK again with its next row."""
-    d = _by_time(sweeps, ts, late).select(key, "seen", "at", F.lit(0).alias("none"))
-    processor = _Silence((warn_s * 1000, crit_s * 1000))
-    processor.output = (key, *_Silence.output)
-    schema = f"{key} {sweeps.schema[key].dataType.simpleString()}, ts timestamp_ntz, was string, level string"
-    return d.groupBy(key).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    other receivers drive, has passed that time. It is OK again with its next row. Rows without a time are none.
+
+    Receivers are dealt to so many parts by a hash, each with one state and one timer: a call of Python costs some milliseconds, and there
+    may be millions of receivers. A part's rows of a batch are in memory at once. The number of a stream does not change."""
+    name = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))  # a missing key is one too
+    d = _by_time(sweeps.withColumn("name", name), ts, late).where("at IS NOT NULL").select("name", "seen", "at", F.pmod(F.xxhash64("name"), F.lit(parts)).alias("part"))
+    out = d.groupBy("part").transformWithStateInPandas(
+        statefulProcessor=_Silence((warn_s * 1000, crit_s * 1000)), outputStructType="name string, at long, was int, level int", outputMode="Append", timeMode="EventTime"
+    )
+    level = lambda c: F.element_at(F.array(*map(F.lit, LEVELS)), F.col(c) + 1).alias(c)
+    own = F.when(F.col("name") != "", F.expr("substring(name, 2)")).cast(sweeps.schema[key].dataType)
+    return out.select(own.alias(key), F.timestamp_micros("at").cast("timestamp_ntz").alias("ts"), level("was"), level("level"))
 
 
 def lonely(events: DataFrame, keys: tuple[str, ...] = ("freq_hz",), ts: str = "ts", within_s: int = 300, late: str = "1 minute") -> DataFrame:

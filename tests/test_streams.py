@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from skywave.operators import detect
 from skywave.plans import catalogue
+from skywave.plans.relations import AS_OF
 from skywave.streaming import stateful, views
 
 T0 = dt.datetime(2024, 1, 1)
@@ -90,6 +91,46 @@ def test_a_silent_receiver_changes_its_level(spark, tmp_path):
         assert run(spark, tmp_path, rows + end, "dongle_id string, ts timestamp_ntz", cuts, stateful.silence_levels) == want
 
 
+def test_many_receivers_are_few_states(spark, tmp_path):
+    rng = random.Random(8)
+    receivers = [None, "", "x=1", "clock2", *(f"r{k}" for k in range(3000))]
+    rows = [(rng.choice(receivers), T0 + dt.timedelta(seconds=rng.randrange(9000), microseconds=rng.randrange(10**6))) for _ in range(9000)]
+    rows += [(g, t) for g, t in rows[:50]] + [(None, T0), ("once", None)]  # copies, and rows without a time
+    late = [r for r in rows if r[1] is None]
+    rows = late + sorted((r for r in rows if r[1] is not None), key=lambda r: r[1] + dt.timedelta(seconds=rng.uniform(0, 50)))
+    schema, until = "dongle_id string, ts timestamp_ntz", T0 + dt.timedelta(seconds=9001)
+    want = detect.silence_changes(spark.createDataFrame(rows, schema).where("ts IS NOT NULL"), "dongle_id", "ts", F.lit(until).cast("timestamp_ntz"))
+    want = sorted(map(tuple, want.collect()), key=str)
+    src = tmp_path / "in"
+    src.mkdir()
+    cuts = [0, 10, 3000, 3001, 7000, len(rows)]
+    for k, (a, b) in enumerate([*zip(cuts, cuts[1:]), (None, None)]):
+        part = rows[a:b] if a is not None else [("clock", until + dt.timedelta(minutes=1, milliseconds=1))]
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{src}/b={k}")
+    for f in src.glob("b=*/part-*"):
+        os.utime(f, (1_600_000_000 + int(f.parent.name[2:]),) * 2)
+    out = stateful.silence_levels(spark.readStream.schema(schema + ", b int").option("maxFilesPerTrigger", 1).parquet(str(src)))
+    q = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    assert not q.isActive and q.exception() is None
+    got = sorted(map(tuple, spark.read.schema(out.schema).parquet(f"{tmp_path}/out").collect()), key=str)
+    assert got == [w for w in want if w[1] <= until] and {None, "", "x=1"} <= {g[0] for g in got} and len(got) > 3000
+    assert max(o["numRowsTotal"] for p in q.recentProgress for o in p["stateOperators"]) < 1000
+
+
+def test_silence_replay_ends_at_its_time(spark, tmp_path):
+    now = dt.datetime.fromisoformat(AS_OF)
+    at = lambda h, us: now - dt.timedelta(hours=h) + dt.timedelta(microseconds=us)
+    rows = [(k, at(h, us), u, "click", 1.0, "{}") for k, (u, h, us) in enumerate([(1, 20, 500), (2, 20, 0), (3, 40, 1), (3, 90, 7), (4, 40, 0), (4, -5, 0), (None, 60, 0), (None, 30, 0)])]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    names = ["dongle_id", "ts", "was", "level"]
+    want = con.execute(f"SELECT {', '.join(names)} FROM (" + catalogue.oracle_sql()["st5_silence_replay"] + ")").fetchall()
+    got = catalogue.queries()["st5_silence_replay"](spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and len(want) > 7
+
+
 def test_lonely_rows_come_out_when_their_time_has_passed(spark, tmp_path):
     at = lambda s: T0 + dt.timedelta(seconds=s)
     rows = [(1, at(0)), (2, at(10)), (1, at(300)), (1, at(601)), (1, at(602)), (2, at(320)), (2, at(321)), (3, at(700)), (3, at(700)), (2, at(1300))]
