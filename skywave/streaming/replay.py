@@ -11,8 +11,8 @@ from ..sources.tables import shared_folder
 
 
 def in_batches(df: DataFrame, ts: str, batches: int, files: int = 1) -> tuple[DataFrame, str]:
-    """A stream that gives df in so many batches, cut by ranges of ts, and the shared folder that holds them. A batch is so many files, which
-    tasks read side by side. Files are stamped in the order of their ranges, since a file source reads the oldest first."""
+    """A stream that gives df in so many batches, cut by ranges of ts, and the shared folder that holds them. A batch is up to so many files, which
+    tasks read side by side, or more where Spark writes more. Files are stamped in the order of their ranges, since a file source reads the oldest first."""
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/replay-{uuid.uuid4().hex}"
     df.repartitionByRange(batches * files, ts).write.parquet(f"{folder}/in")
@@ -21,7 +21,7 @@ def in_batches(df: DataFrame, ts: str, batches: int, files: int = 1) -> tuple[Da
     paths = sorted(f.getPath().toString() for f in fs.listStatus(path) if f.getPath().getName().startswith("part-"))
     for k, f in enumerate(paths):
         fs.setTimes(spark._jvm.org.apache.hadoop.fs.Path(f), 1_600_000_000_000 + 1000 * k, -1)
-    stream = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).option("maxFilesPerTrigger", files).parquet(f"{folder}/in")
+    stream = spark.readStream.schema(spark.read.parquet(f"{folder}/in").schema).option("maxFilesPerTrigger", max(1, -(-len(paths) // batches))).parquet(f"{folder}/in")
     return stream, folder
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from skywave.operators import detect
 from skywave.plans import catalogue
 from skywave.plans.relations import AS_OF
-from skywave.streaming import stateful, views
+from skywave.streaming import replay, stateful, views
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -178,6 +178,16 @@ def test_lonely_replay_of_odd_users(spark, tmp_path):
     assert sorted(got, key=str) == sorted(want, key=str) and None in dict(want) and min(f for f in dict(want) if f) < 0
 
 
+@pytest.mark.parametrize(("rows", "files", "most"), [(2000, 5, 6), (2000, 1, 6), (7, 8, 6), (1, 3, 1)])
+def test_a_replay_is_so_many_batches(spark, rows, files, most):
+    d = spark.range(rows).select((F.lit(T0) + F.make_dt_interval(secs=F.col("id"))).alias("ts"), "id")
+    stream, folder = replay.in_batches(d, "ts", 6, files)
+    seen = []
+    q = stream.writeStream.foreachBatch(lambda b, i: seen.append(sorted(r.id for r in b.select("id").collect()))).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination(60)
+    assert [x for b in seen for x in b] == list(range(rows)) and len(seen) <= most and (rows < 6 or len(seen) > 2)
+
+
 def facts(rng, n=600):
     return [(T0 + dt.timedelta(seconds=rng.randrange(20_000), microseconds=k), rng.choice([100, 101]), rng.choice(["v3", "v4"]), rng.choice([None, rng.uniform(-60, 0)]), rng.choice(["A", "B", "", None]), rng.choice(["x", "y", None])) for k in range(n)]
 
