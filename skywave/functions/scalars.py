@@ -41,9 +41,9 @@ def plain(text: Column) -> Column:
 
 def rounded(x: Column, digits: int) -> Column:
     """A double to so many digits as C and DuckDB round it: x * 10^digits goes to the next whole number, halves away from zero. F.round()
-    rounds the decimal form of x, and so takes 28.049999999999997 to 28.0 where this takes it to 28.1."""
+    rounds the decimal form of x, and so takes 28.049999999999997 to 28.0 where this takes it to 28.1; a zero keeps its sign."""
     scaled = x * F.lit(10.0**digits)
-    return F.when(F.abs(scaled) < float("inf"), F.round(scaled) / F.lit(10.0**digits)).otherwise(x)
+    return F.when(F.abs(scaled) < 0.5, x * F.lit(0.0)).when(F.abs(scaled) < float("inf"), F.round(scaled) / F.lit(10.0**digits)).otherwise(x)
 
 
 def epoch_ms(seconds: Column) -> Column:

@@ -87,7 +87,7 @@ def rows(name: str, rel: str, cols: str, where: str, order: str, n: int | None =
         d = rel_(rel).where(where)
         if n:
             d = d.orderBy(*[F.desc(c.split()[0]) if c.endswith(" DESC") else F.asc(c) for c in order.split(", ")]).limit(n)
-        return d.selectExpr(*[re.sub(r"round\((.+), (\d)\)", r"round((\1) * 1e\2) / 1e\2", c.strip()) for c in cols.split(";")])
+        return d.selectExpr(*[re.sub(r"round\((.+), (\d)\)", r"if(abs((\1) * 1e\2) < 5e-1, (\1) * 0e0, round((\1) * 1e\2) / 1e\2)", c.strip()) for c in cols.split(";")])
 
     add(name, plan, f"SELECT {cols.replace(';', ',')} FROM {rel} WHERE {where}{tail}")
 
